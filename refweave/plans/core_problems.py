@@ -61,7 +61,7 @@ def _votes(spark: SparkSession, d: str, name: str, key: str, at: str, fields: li
     t = table(spark, d, name)
     dated = F.col(at).isNotNull() & (F.col(at) < F.lit(CUTOFF).cast("timestamp_ntz"))
     # Undated rows are on equal terms with each other and older than all dated ones.
-    tier = F.struct(dated.alias("dated"), F.when(dated, micros(at)).otherwise(F.lit(0)).alias("at")) if recent_first else F.lit(0)
+    tier = F.struct(dated.alias("dated"), F.when(dated, micros(at)).otherwise(F.lit(0)).alias("at"), F.col("ingest_seq")) if recent_first else F.lit(0)
     full = sum((F.coalesce(F.col(f).cast("string"), F.lit("")) != "").cast("int") for f in fields)
     source = F.concat_ws("/", F.when(dated, "dated").otherwise("undated"), full.cast("string"))
     return representatives.claims(t, F.col(key), {f: F.col(f) for f in fields}, source, tier, F.col("ingest_seq"))

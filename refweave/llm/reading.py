@@ -15,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,18 @@ _NO_PROSE = re.compile(
     re.M,
 )
 _HEAD = re.compile(r"^[ \t>]*(?:[-*+][ \t]+|\d+[.)][ \t]+)*(?:#{1,6}[ \t]+\S+(?=[ \t]{2}|[ \t]*$))?", re.M)
-_CODE = regex.compile(r"`[^`\n]*`|\w+://\S+|\S*(?:[/_=<>{}|\\@]|\w[.]\w)\S*|\b\p{L}+\p{Ll}\p{Lu}\S*|\b[0-9a-f]*\d[0-9a-f]{6,}\b")
+_TICKS = re.compile(r"`[^`\n]*`")
+_CODE = regex.compile(r"[/_=<>{}|\\@`]|\w[.]\w|\p{L}\p{Ll}\p{Lu}|\b[0-9a-f]*\d[0-9a-f]{6,}\b")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’\-]\p{L}[\p{L}\p{M}]*)*")
 _STOP = regex.compile(r"(?<=[.!?;:。！？])[\s)\"'»”]+|\n[ \t]*\n|\n(?=[ \t>]*(?:[-*+]|\d+[.)]|#)[ \t])")
 
 
+@lru_cache(200_000)
+def _words(token: str) -> tuple[str, ...]:
+    """The words of what stands between blanks, lower case; none if it looks like code, a path or a hash."""
+    return () if _CODE.search(token) else tuple(w.lower() for w in _WORD.findall(token))
+
+
 def sentences(text: str | None) -> list[str]:
     """The sentences of running prose, as lower-case words with single blanks; code, logs, tables and listings are left out."""
     if not text:
@@ -55,7 +63,7 @@ def sentences(text: str | None) -> list[str]:
     text = _NO_PROSE.sub("\n\n", _FENCE.sub("\n\n", text.replace("\r\n", "\n")))
     found = []
     for piece in _STOP.split(text):
-        words = [w.lower() for w in _WORD.findall(_CODE.sub(" ", _HEAD.sub(" ", piece)))]
+        words = [w for token in _TICKS.sub(" ", _HEAD.sub(" ", piece)).split() for w in _words(token)]
         for i in range(0, len(words), MAX_SENTENCE):
             part = words[i : i + MAX_SENTENCE]
             if len(part) >= MIN_WORDS:

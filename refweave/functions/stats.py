@@ -17,7 +17,10 @@ from refweave.session import materialize
 
 
 def ranked(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
-    """``df`` with rank (1-based, by value then ties), running (sum of the values so far), n and total."""
+    """``df`` with rank (1-based, by value then ties), running (sum of the values so far), n and total.
+
+    ``df`` has no columns of these names. Null values have no rank and are left out.
+    """
     parts = materialize(df.where(F.col(value).isNotNull()).repartitionByRange(*[F.col(c) for c in (value, *ties)]).withColumn("_part", F.spark_partition_id()))
     # Partition numbers are those of the range exchange; a narrow window per partition needs no sort across them.
     w = W.partitionBy("_part").orderBy(value, *ties)
@@ -71,13 +74,17 @@ def _position(values: list[float], q: float) -> float:
     return values[min(len(values) - 1, max(0, round((len(values) - 1) * q)))]
 
 
-def bootstrap(df: DataFrame, label: str, value: str, order: list[str], iterations: int = 500, seed: int = 42, top_k: int | None = None) -> DataFrame:
+def bootstrap(df: DataFrame, label: str, value: str, order: list[str], iterations: int = 500, seed: int = 42, top_k: int | None = None, most: int = 2_000_000) -> DataFrame:
     """Per label the mean (or the share of the top_k values) with its 95 % percentile interval.
 
-    Resampling is spread over iterations: every label's values go to each block of iterations, so a label is bound
-    by what one task holds of its values, not by iterations x values. Values are drawn in ``order``.
+    The draws follow one seeded generator over the values in ``order``, so one task holds a label's values: meant
+    for the few indicators of a report, and refused beyond ``most`` values. bootstrap_means has no such bound.
     """
 
+    largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"{largest} values under one label: use bootstrap_means")
+
     def estimate(values: list[float]) -> float:
         if top_k is None:
             return sum(values) / len(values)

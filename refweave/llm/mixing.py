@@ -21,6 +21,8 @@ from refweave.session import materialize
 
 #: Documents of one flight.
 BLOCK = 20_000
+#: A document with more than this share of its source's tokens is decided before the others.
+OUTSIZED = 0.001
 _EPS = 1e-9
 
 
@@ -102,7 +104,7 @@ def _fly(seed: int, land: bool):
 
         def close(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
             t = pa.concat_tables(rows)
-            p = flight(t["p"].to_numpy(), t["n_tokens"].to_numpy(), np.random.default_rng([seed, t["block"][0].as_py(), t.num_rows]), land)
+            p = flight(t["p"].to_numpy(), t["n_tokens"].to_numpy(), np.random.default_rng([seed & 0xFFFFFFFF, t["block"][0].as_py(), t.num_rows]), land)
             yield from t.select(["source", "doc_id", "n_tokens", "base"]).append_column("p", pa.array(p)).cast(schema).to_batches()
 
         held, key = [], None
@@ -140,6 +142,23 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return both.crossJoin(whole).select("source", (F.col("target_share") / F.col("s")).alias("target_share"), "max_repeats", "available", "documents", rate.alias("rate"))
 
 
+def _with_rate(rows: DataFrame) -> DataFrame:
+    """Whole copies (base) and the probability of one more (p) from a rate."""
+    base = F.least(F.floor(F.col("rate") + _EPS), F.col("max_repeats")).cast("long")
+    return rows.select("source", "doc_id", "n_tokens", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("p"))
+
+
+def _round(rows: DataFrame, blocks: int, seed: int, land: bool) -> DataFrame:
+    """One flight per source and block."""
+    order = F.xxhash64("doc_id", F.lit(seed))
+    return (
+        rows.withColumn("block", F.pmod(order, F.lit(blocks)).cast("long")).withColumn("o", order)
+        .repartition("source", "block").sortWithinPartitions("source", "block", F.desc("n_tokens"), "o", "doc_id")
+        .select("source", "block", "doc_id", "n_tokens", "base", "p")
+        .mapInArrow(_fly(seed, land), "source string, doc_id long, n_tokens long, base long, p double")
+    )
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """doc_id, source, n_tokens, copies (1 to max_repeats) of the documents chosen.
 
@@ -150,22 +169,23 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     same input and seed give the same choice.
     """
     per_source = materialize(plan(sizes, targets, total_tokens))
-    base = F.least(F.floor(F.col("rate") + _EPS), F.col("max_repeats")).cast("long")
     rows = sizes.where("n_tokens > 0 and source is not null").select("source", F.col("doc_id").cast("long").alias("doc_id"), F.col("n_tokens").cast("long").alias("n_tokens"))
-    rows = rows.join(F.broadcast(per_source.select("source", base.alias("base"), F.greatest(F.col("rate") - base, F.lit(0.0)).alias("p"))), "source")  # one row per target
+    rows = rows.join(F.broadcast(per_source), "source").withColumn("outsized", F.col("n_tokens") > OUTSIZED * F.col("available"))  # one row per target
+    # Documents that hold more than their share of a source, fewer than 1 / OUTSIZED of them, are decided first;
+    # what they take or leave, the others make up for.
+    large = materialize(_round(_with_rate(rows.where("outsized")), 1, seed - 1, True))
+    taken = large.groupBy("source").agg(F.sum("n_tokens").alias("held"), F.sum((F.col("base") + F.col("p")) * F.col("n_tokens")).alias("taken"))
+    left = per_source.join(taken, "source", "left").select(
+        "source", (F.col("rate") * F.col("available") - F.coalesce("taken", F.lit(0))).alias("_want"), (F.col("available") - F.coalesce("held", F.lit(0))).alias("_have")
+    )
+    rest = F.least(F.greatest(F.col("_want") / F.nullif("_have", F.lit(0)), F.lit(0.0)), F.col("max_repeats").cast("double"))
+    rows = _with_rate(rows.where("not outsized").join(F.broadcast(left), "source").withColumn("rate", rest))  # one row per target
     most = per_source.agg(F.max("documents")).first()[0] or 0
-    done: list[DataFrame] = []
+    done: list[DataFrame] = [large]
     level, now = 0, rows
     while True:
         blocks = max(1, -(-most // block))
-        order = F.xxhash64("doc_id", F.lit(seed + level))
-        flown = (
-            now.withColumn("block", F.pmod(order, F.lit(blocks)).cast("long")).withColumn("o", order)
-            .repartition("source", "block").sortWithinPartitions("source", "block", F.desc("n_tokens"), "o", "doc_id")
-            .select("source", "block", "doc_id", "n_tokens", "base", "p")
-            .mapInArrow(_fly(seed + level, blocks == 1), "source string, doc_id long, n_tokens long, base long, p double")
-        )
-        flown = materialize(flown)
+        flown = materialize(_round(now, blocks, seed + level, blocks == 1))
         open_ = (F.col("p") > 0) & (F.col("p") < 1)
         done.append(flown.where(~open_))
         if blocks == 1:

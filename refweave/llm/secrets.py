@@ -117,7 +117,7 @@ def is_literal(value: str) -> bool:
 
 def is_usable(value: str, least: int = 8) -> bool:
     """A literal with the irregularity of a key or password: words, versions, numbers and identifiers are none."""
-    if len(value) < least or not is_literal(value) or _VERSION.match(value) or " " in value.strip():
+    if len(value) < least or "=" in value.rstrip("=") or not is_literal(value) or _VERSION.match(value) or " " in value.strip():
         return False
     digits, lower, upper = (any(map(f, value)) for f in (str.isdigit, str.islower, str.isupper))
     if digits:

@@ -67,15 +67,19 @@ def _votes(spark: SparkSession, d: str, name: str, key: str, at: str, fields: li
     return representatives.claims(t, F.col(key), {f: F.col(f) for f in fields}, source, tier, F.col("ingest_seq"))
 
 
-def _resolved(spark: SparkSession, d: str, recent_first: bool) -> list[tuple[str, DataFrame]]:
-    both = [("repository", ("repositories", "repo_id", "collected_at", REPOSITORY_FIELDS)), ("action", ("actions", "action_id", "discovered_at", ACTION_FIELDS))]
-    return [(entity, representatives.discover(_votes(spark, d, *args, recent_first)).truths) for entity, args in both]
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Which row each surviving field comes from; recency decides before votes."""
-    parts = [t.select(F.lit(entity).alias("entity"), "group_key", F.col("field").alias("field_name"), "from_seq") for entity, t in _resolved(spark, d, True)]
-    return parts[0].unionByName(parts[1])
+    """Which row each surviving field comes from; recency decides before votes.
+
+    Both tables' votes go through one truth discovery, their groups and sources kept apart by a prefix.
+    """
+    both = [("repository", ("repositories", "repo_id", "collected_at", REPOSITORY_FIELDS)), ("action", ("actions", "action_id", "discovered_at", ACTION_FIELDS))]
+    parts = [
+        _votes(spark, d, *args, True).withColumns({c: F.concat(F.lit(f"{entity}|"), c) for c in ("group_key", "source")}) for entity, args in both
+    ]
+    t = representatives.discover(parts[0].unionByName(parts[1])).truths
+    return t.select(
+        F.substring_index("group_key", "|", 1).alias("entity"), F.expr("substring(group_key, instr(group_key, '|') + 1)").alias("group_key"), F.col("field").alias("field_name"), "from_seq"
+    )
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:

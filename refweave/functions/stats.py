@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from refweave.session import materialize
 
 
-def ranked(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
+def ranked(df: DataFrame, value: str, ties: list[str], by: list[str] | None = None) -> DataFrame:
     """``df`` with rank (1-based, by value then ties), running (sum of the values so far), n and total.
 
-    ``df`` has no columns of these names. Null values have no rank and are left out.
+    ``df`` has no columns of these names. Null values have no rank and are left out. ``by``: another order.
     """
-    parts = materialize(df.where(F.col(value).isNotNull()).repartitionByRange(*[F.col(c) for c in (value, *ties)]).withColumn("_part", F.spark_partition_id()))
+    order = by or [value, *ties]
+    parts = materialize(df.where(F.col(value).isNotNull()).repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
     # Partition numbers are those of the range exchange; a narrow window per partition needs no sort across them.
-    w = W.partitionBy("_part").orderBy(value, *ties)
+    w = W.partitionBy("_part").orderBy(*order)
     own = parts.withColumn("_rank", F.row_number().over(w)).withColumn("_sum", F.sum(value).over(w.rowsBetween(W.unboundedPreceding, 0)))
     held = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per partition

@@ -15,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refweave.functions.stats import ranked
+from refweave.session import materialize
+
 
 def nested_sets(links: list[tuple[int, int]], n: int) -> dict[str, list]:
     """The hierarchy of nodes 0..n-1 (numbered in the order of their ids) under distinct links.
@@ -173,19 +176,121 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def hierarchies(links: DataFrame, scope: list[str], src: str, dst: str) -> DataFrame:
+#: Links of a scope, repeats included, up to which one task solves it. Larger ones are solved level by level in joins.
+MAX_SCOPE = 200_000
+
+
+def hierarchies(links: DataFrame, scope: list[str], src: str, dst: str, max_scope: int = MAX_SCOPE) -> DataFrame:
     """Every node's root, depth, path, number of descendants, loop flag and nested-set range, per scope.
 
     Result: the scope columns, node_id, root_node_id ('' if none), depth (-1 if none), n_descendants, on_cycle,
     parent_id, path (root first), range_start, range_end. A node reached from several roots belongs to the
     nearest, on equal depth to the smallest id. Links with a null scope column, src or dst are left out;
-    repeated links count once; a link to itself is a loop. An empty table gives no rows.
+    repeated links count once; a link to itself is a loop. An empty table gives no rows. Scopes of up to
+    ``max_scope`` links are solved in one task each, larger ones by joins over all of them together.
     """
     both = F.col(src).isNotNull() & F.col(dst).isNotNull()
     for s in scope:
         both &= F.col(s).isNotNull()
     packed = F.to_json(F.struct(*scope))
-    distinct = links.where(both).select(packed.alias("scope"), F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"))
-    solved = distinct.repartition("scope").distinct().sortWithinPartitions("scope", "src", "dst").mapInArrow(_solve, SCHEMA)
+    rows = links.where(both).select(packed.alias("scope"), F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"))
+    large = materialize(rows.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > max_scope).select("scope"))
+    some = not large.isEmpty()
+    small = rows.join(large, "scope", "left_anti") if some else rows
+    solved = small.repartition("scope").distinct().sortWithinPartitions("scope", "src", "dst").mapInArrow(_solve, SCHEMA)
+    if some:
+        solved = solved.unionByName(solve_large(materialize(rows.join(large, "scope", "left_semi").distinct())))
     keys = F.from_json("scope", ", ".join(f"`{s}` {dict(links.dtypes)[s]}" for s in scope))
     return solved.withColumn("_s", keys).select(*[F.col(f"_s.`{s}`").alias(s) for s in scope], *[c for c in solved.columns if c != "scope"])
+
+
+def _levels(starts: DataFrame, links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Breadth first from (scope, node): scope, node, root, parent, depth, path; one join a level."""
+    front = materialize(starts.select("scope", "node", F.col("node").alias("root"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("depth"), F.array("node").alias("path")))
+    out, seen, depth = front, front.select("scope", "node"), 0
+    if known is not None:
+        seen = seen.unionByName(known.select("scope", "node"))
+    while not front.isEmpty():
+        depth += 1
+        step = front.select("scope", F.col("node").alias("src"), "root", "path").join(links, ["scope", "src"])
+        best = step.groupBy("scope", F.col("dst").alias("node")).agg(F.min(F.struct("root", "src", "path")).alias("b"))
+        best = best.join(seen, ["scope", "node"], "left_anti")
+        front = materialize(best.select("scope", "node", "b.root", F.col("b.src").alias("parent"), F.lit(depth).cast("long").alias("depth"), F.array_append("b.path", F.col("node")).alias("path")))
+        out, seen = out.unionByName(front), seen.unionByName(front.select("scope", "node"))
+    return materialize(out)
+
+
+def solve_large(links: DataFrame) -> DataFrame:
+    """The rows of SCHEMA for distinct links (scope, src, dst), in joins whose number grows with the depth.
+
+    No scope and no family is gathered: sibling ranges come from one range-partitioned running sum. Pairs of
+    nodes are listed only for nodes from whose subtree a link leads out of it.
+    """
+    src, dst = links.select("scope", F.col("src").alias("node")), links.select("scope", F.col("dst").alias("node"))
+    nodes = materialize(src.union(dst).distinct())
+    tree = _levels(nodes.join(dst.distinct(), ["scope", "node"], "left_anti"), links)
+    rest = materialize(nodes.join(tree.select("scope", "node"), ["scope", "node"], "left_anti"))
+    if not rest.isEmpty():  # loops without a root: start from every node that no smaller one reaches
+        inside = materialize(links.join(rest.withColumnRenamed("node", "src"), ["scope", "src"], "left_semi"))
+        label = materialize(rest.withColumn("label", F.col("node")))
+        while True:
+            sent = label.withColumnRenamed("node", "src").join(inside, ["scope", "src"]).select("scope", F.col("dst").alias("node"), "label")
+            now = materialize(label.unionByName(sent).groupBy("scope", "node").agg(F.min("label").alias("label")).join(rest, ["scope", "node"], "left_semi"))
+            moved = now.join(label.withColumnRenamed("label", "_was"), ["scope", "node"]).where("label <> _was").isEmpty()
+            label = now
+            if moved:
+                break
+        loose = _levels(label.where("label = node"), inside, tree)
+        tree = materialize(tree.withColumn("real", F.lit(True)).unionByName(loose.withColumn("real", F.lit(False))))
+    else:
+        tree = materialize(tree.withColumn("real", F.lit(True)))
+    deepest = tree.agg(F.max("depth")).first()[0]
+    up = tree.select("scope", "node", "parent", "depth")
+
+    def upward(start: DataFrame, values: list[str], merge) -> DataFrame:
+        """Combines (scope, node, values) of children into their parents, deepest level first."""
+        now = materialize(start)
+        for level in range(deepest, 0, -1):
+            sent = now.join(up.where(F.col("depth") == level), ["scope", "node"]).select("scope", F.col("parent").alias("node"), *values)
+            now = materialize(now.unionByName(sent).groupBy("scope", "node").agg(*[merge(v).alias(v) for v in values]))
+        return now
+
+    size = upward(nodes.withColumn("size", F.lit(1).cast("long")), ["size"], lambda v: F.sum(v))
+    sized = tree.join(size, ["scope", "node"]).withColumn("family", F.coalesce("parent", F.lit("")))
+    order = ranked(sized.select("scope", "family", "node", "size"), "size", [], by=["scope", "family", "node"])
+    order = materialize(order.select("scope", "family", "node", (F.col("running") - F.col("size")).alias("before")))
+    first = order.groupBy("scope", "family").agg(F.min("before").alias("base"))
+    offset = materialize(sized.join(order, ["scope", "family", "node"]).join(first, ["scope", "family"]).select("scope", "node", "parent", "depth", "size", (F.col("before") - F.col("base")).alias("offset")))
+    placed = materialize(offset.where("parent is null").select("scope", "node", F.col("offset").alias("start"), "size"))
+    ranges = placed
+    for level in range(1, deepest + 1):
+        above = placed.select("scope", F.col("node").alias("parent"), F.col("start").alias("_s"))
+        placed = materialize(offset.where(F.col("depth") == level).join(above, ["scope", "parent"]).select("scope", "node", (F.col("_s") + 1 + F.col("offset")).alias("start"), "size"))
+        ranges = ranges.unionByName(placed)
+    ranges = materialize(ranges.select("scope", "node", "start", (F.col("start") + F.col("size")).alias("end")))
+    own = tree.select("scope", F.col("node").alias("dst"), F.col("parent").alias("_p"))
+    extra = links.join(own, ["scope", "dst"]).where("_p is null or _p <> src").drop("_p")
+    a, b = (ranges.select("scope", F.col("node").alias(n), F.col("start").alias(f"{n}_s"), F.col("end").alias(f"{n}_e")) for n in ("src", "dst"))
+    extra = materialize(extra.join(a, ["scope", "src"]).join(b, ["scope", "dst"]))
+    reach = ranges.select("scope", "node", F.col("start").alias("low"), F.col("end").alias("high"))
+    led = extra.select("scope", F.col("src").alias("node"), F.col("dst_s").alias("low"), F.col("dst_e").alias("high"))
+    span = upward(reach.unionByName(led).groupBy("scope", "node").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("high", -F.col("high")), ["low", "high"], lambda v: F.min(v))
+    solved = ranges.join(span, ["scope", "node"]).withColumn("leaves", (F.col("low") < F.col("start")) | (-F.col("high") > F.col("end")))
+    solved = materialize(solved)
+    # A link from inside a node's range back to the node is a loop; where links lead out, list what is reached.
+    back = extra.where("src_s >= dst_s and src_s < dst_e").select("scope", F.col("dst").alias("node")).distinct().withColumn("back", F.lit(True))
+    front = materialize(solved.where("leaves").select("scope", F.col("node").alias("origin"), "node"))
+    pairs = front.limit(0)
+    while not front.isEmpty():
+        step = front.join(links.withColumnRenamed("src", "node"), ["scope", "node"]).select("scope", "origin", F.col("dst").alias("node")).distinct()
+        front = materialize(step.join(pairs, ["scope", "origin", "node"], "left_anti"))
+        pairs = pairs.unionByName(front)
+    listed = pairs.groupBy("scope", F.col("origin").alias("node")).agg(F.count_if(F.col("node") != F.col("origin")).alias("k"), F.bool_or(F.col("node") == F.col("origin")).alias("self"))
+    out = tree.join(solved, ["scope", "node"]).join(back, ["scope", "node"], "left").join(listed, ["scope", "node"], "left")
+    real = F.col("real")
+    return out.select(
+        "scope", F.col("node").alias("node_id"), F.when(real, F.col("root")).otherwise("").alias("root_node_id"), F.when(real, F.col("depth")).otherwise(-1).cast("long").alias("depth"),
+        F.when(F.col("leaves"), F.coalesce("k", F.lit(0))).otherwise(F.col("end") - F.col("start") - 1).cast("long").alias("n_descendants"),
+        F.when(F.col("leaves"), F.coalesce("self", F.lit(False))).otherwise(F.coalesce("back", F.lit(False))).cast("long").alias("on_cycle"),
+        F.when(real, F.col("parent")).alias("parent_id"), F.when(real, F.col("path")).otherwise(F.array().cast("array<string>")).alias("path"), F.col("start").alias("range_start"), F.col("end").alias("range_end"),
+    )

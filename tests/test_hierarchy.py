@@ -53,3 +53,20 @@ def test_operator(spark):
         ("q", "x"): ("", -1, 0, 1, []), ("q", "y"): ("y", 0, 1, 0, ["y"]), ("q", "z"): ("y", 1, 0, 0, ["y", "z"]),
     }
     assert hierarchies(df.limit(0), ["rep"], "s", "d").count() == 0
+
+
+def test_large_scopes_are_solved_alike(spark):
+    """Both ways give the same roots, depths, descendants, loops and paths."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("s1", "w", "a"), ("s1", "a", "b"), ("s1", "b", "c"), ("s1", "c", "a"), ("s1", "w", "d"), ("s1", "d", "d"), ("s2", "x", "y"), ("s2", "y", "x"), ("s2", "y", "z"), ("s2", "k", "z"), ("s3", "r", "s")]
+    rows += [("s4", f"n{rng.randrange(14)}", f"n{rng.randrange(14)}") for _ in range(18)] + [("s5", f"t{(i - 1) // 2}", f"t{i}") for i in range(1, 25)] + [("s5", "t20", "t2")]
+    df = spark.createDataFrame(rows, "scope string, s string, d string")
+    keep = ["scope", "node_id", "root_node_id", "depth", "n_descendants", "on_cycle"]
+    small = sorted(map(tuple, hierarchies(df, ["scope"], "s", "d").select(*keep).collect()))
+    large = sorted(map(tuple, hierarchies(df, ["scope"], "s", "d", max_scope=0).select(*keep).collect()))
+    mixed = sorted(map(tuple, hierarchies(df, ["scope"], "s", "d", max_scope=6).select(*keep).collect()))
+    assert small == large == mixed
+    path = lambda f: {(r["scope"], r["node_id"]): (r["path"], r["range_end"] - r["range_start"]) for r in f.where("scope in ('s1', 's3', 's5')").collect()}
+    assert path(hierarchies(df, ["scope"], "s", "d", max_scope=0)) == path(hierarchies(df, ["scope"], "s", "d"))

@@ -67,6 +67,7 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SECRET_NAME = re.compile(
     r"(?:^|_)(?:token|secret|secrets|password|passwd|passphrase|pass|pwd|pw|psw|apikey|key|keys|auth|authtoken|credential|credentials|creds|cred|jwt|bearer|hmac|dsn|conn|bot)(?:$|_)"
 )
+_PASSWORD_NAME = re.compile(r"(?i)pass|pwd|(?:^|[_-])pw(?:$|[_\d-])")
 _OTHER_NAME = re.compile(
     r"(?:^|_)(?:url|uri|name|file|path|env|ref|limit|ttl|type|count|size|host|user|username|header|public|pub|cache|restore|hash|checksum|sha|sha1|sha256|sha512"
     r"|integrity|fingerprint|digest|expiry|expires|version|length|field|prefix|endpoint|store|run|build|commit|pinned|expected|partition|sort|primary|foreign)(?:$|_)|(?:^|_)id_token$"
@@ -115,8 +116,11 @@ def is_literal(value: str) -> bool:
     return bool(value) and not _PLACEHOLDER.search(value) and not _REFERENCE.search(value)
 
 
-def is_usable(value: str, least: int = 8) -> bool:
-    """A literal with the irregularity of a key or password: words, versions, numbers and identifiers are none."""
+def is_usable(value: str, least: int = 8, stated: bool = False) -> bool:
+    """A literal with the irregularity of a key or password: words, versions, numbers and identifiers are none.
+
+    ``stated``: it stands where only a password can, so one capital inside it is enough.
+    """
     if len(value) < least or "=" in value.rstrip("=") or not is_literal(value) or _VERSION.match(value) or " " in value.strip():
         return False
     digits, lower, upper = (any(map(f, value)) for f in (str.isdigit, str.islower, str.isupper))
@@ -124,7 +128,7 @@ def is_usable(value: str, least: int = 8) -> bool:
         return lower or upper
     turns = sum(a.islower() and b.isupper() for a, b in zip(value, value[1:]))
     symbols = sum(not c.isalnum() and c not in "-_./" for c in value)
-    return (lower and upper and (turns >= 2 or symbols > 0)) or symbols >= 2
+    return (lower and upper and (turns >= (1 if stated and len(value) >= 10 else 2) or symbols > 0)) or symbols >= 2
 
 
 def _decoded(value: str) -> str | None:
@@ -148,12 +152,12 @@ def _passes(rule: str, value: str) -> bool:
     return True
 
 
-def _generic(value: str, least: int = 8) -> bool:
+def _generic(value: str, least: int = 8, stated: bool = False) -> bool:
     """A usable value under a secret's name. One that decodes to user:password is judged by its password."""
     plain = _decoded(value) if len(value) >= 12 else None
     if plain and ":" in plain and len(plain) > 4:
         return is_literal(plain.split(":", 1)[1])
-    return is_usable(value, least)
+    return is_usable(value, least, stated)
 
 
 def _unquote(text: str, at: int, value: str) -> tuple[str, int, int]:
@@ -200,19 +204,20 @@ def find(content: str | None, path: str = "") -> list[Found]:
                 add(at + m.start(), [(at + m.start(), at + m.end())], m.lastgroup)
         for m in _URL.finditer(line):
             value = m["value"]
-            if is_usable(value, 6 if ":" in m[0][m[0].index("://") + 3 :] else 16):
+            with_user = ":" in m[0][m[0].index("://") + 3 :]
+            if is_usable(value, 6 if with_user else 16, with_user):
                 add(at + m.start("value"), [(at + m.start("value"), at + m.end("value"))], "url")
         for m in _HEADER.finditer(line):
             if _generic(m["value"]):
                 add(at + m.start("value"), [(at + m.start("value"), at + m.end("value"))], "header")
         for m in _FLAG.finditer(line):
             value, s, e = _unquote(line, m.start(m.lastgroup), m[m.lastgroup])
-            if _generic(value, 6):
+            if _generic(value, 6, True):
                 add(at + s, [(at + s, at + e)], "command")
         if m := _BLOCK.match(line):
             if is_secret_name(m["name"]) and stop < len(content):
                 nxt = _NEXT.match(content, stop + 1)
-                if nxt and _generic(nxt[1]):
+                if nxt and _generic(nxt[1], stated=bool(_PASSWORD_NAME.search(m["name"]))):
                     add(nxt.start(1), [nxt.span(1)], "block")
             continue
         if re.search(r"[\"'](?:auth|credentials?|login)[\"'][ \t]*:[ \t]*\{[ \t]*\r?$", line):
@@ -237,7 +242,7 @@ def find(content: str | None, path: str = "") -> list[Found]:
             if len(names) > 1 and not re.sub(r"\$\{?[A-Za-z_]\w*\}?", "", text) and all(n in literal for n in names):
                 text, spans = "".join(literal[n][0] for n in names), [literal[n][1:] for n in names]
             issued = _ISSUER.fullmatch(text) if named or len(spans) > 1 else None
-            if (is_quoted or comment or not quoted_only) and (named and _generic(text) or issued and _passes(issued.lastgroup, text)):
+            if (is_quoted or comment or not quoted_only) and (named and _generic(text, stated=bool(_PASSWORD_NAME.search(m["name"]))) or issued and _passes(issued.lastgroup, text)):
                 add(spans[0][0], spans, "pieces" if len(spans) > 1 else "assignment")
     return [found[k] for k in sorted(found)]
 

@@ -196,3 +196,48 @@ ORACLE = {
     "unobserved_repositories": q("", """select name, count(*) as refs from (select lower(a.owner || '/' || a.repo) as name from ed e join ac a on a.action_id = e.dst_node_id) r
       where not exists (select 1 from repositories p where lower(p.full_name) = r.name) group by 1"""),
 }
+
+_KEYED = "kn as (select action_id, owner || '/' || repo || coalesce('/' || subpath, '') || '@' || ref as key, ref_type from ac),\n"
+ORACLE["cdg_recursive"] = q(LINKS + _KEYED + """ex(c, w, src, dst, depth, down, seen, bound) as (
+    select e.consumer_repository, e.workflow_path, 'workflow::' || e.consumer_repository || '::' || e.workflow_path, e.dst_node_id, 1, false, [k.key], k.ref_type
+    from (select distinct consumer_repository, workflow_path, dst_node_id from sc where edge_type = 'direct') e join kn k on k.action_id = e.dst_node_id
+    union select x.c, x.w, x.dst, l.dst, x.depth + 1, x.bound = 'sha' and k.ref_type = 'tag', list_append(x.seen, k.key), k.ref_type
+    from ex x join al l on l.src = x.dst join kn k on k.action_id = l.dst where x.depth < 4 and not list_contains(x.seen, k.key)),
+  eu as (select c, w, src, dst, depth, bool_or(down) as down from ex group by all),""",
+  "select c as consumer_repository, depth, count(*) as edges, count(*) filter (where down) as downgrades from eu group by 1, 2")
+
+_PLAIN = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
+
+
+def _part(c: str, i: int) -> str:
+    return _PLAIN.format(f"split_part({c}, '/', {i})")
+
+
+_O, _R, _PO, _PR = _part("n.name", 1), _part("n.name", 2), _part("p.name", 1), _part("p.name", 2)
+_FULL, _OD, _RD = f"levenshtein({_PLAIN.format('n.name')}, {_PLAIN.format('p.name')})", f"levenshtein({_O}, {_PO})", f"levenshtein({_R}, {_PR})"
+_RAW = "split_part({0}.name, '/', {1})"
+_CONFUSION = f"""greatest(
+  case when {_RAW.format('n', 1)} = {_RAW.format('p', 1)} and {_RD} <= 2 then 0.82 - 0.08 * least({_RD}, 2) else 0 end,
+  case when {_RAW.format('n', 2)} = {_RAW.format('p', 2)} and {_OD} <= 2 then 0.78 - 0.08 * least({_OD}, 2) else 0 end,
+  case when {_R} = {_PR} and {_O} <> {_PO} and {_OD} <= 1 then 0.88 else 0 end, case when {_O} = {_PO} and {_R} = {_PR} then 0.9 else 0 end,
+  case when {_R} <> {_PR} and {_R} <> '' and {_PR} <> '' and (starts_with({_R}, {_PR}) or starts_with({_PR}, {_R}) or ends_with({_R}, {_PR}) or ends_with({_PR}, {_R})) and {_O} = {_PO} then 0.7 else 0 end,
+  case when {_FULL} <= 2 then 0.68 - 0.06 * least({_FULL}, 2) else 0 end)::double"""
+DISCOVERY = TRANSFER + CHANGES + f"""dn as (select name, count(*) as usage from (
+    select lower(a.owner || '/' || a.repo) as name from ed e join ac a on a.action_id = e.dst_node_id
+    union all select lower(split_part({_NAME}, '/', 1) || '/' || split_part({_NAME}, '/', 2)) from (select *, unnest(list_distinct(list_concat(uses_before, uses_after))) as u from ch) where {_OK}) group by 1),
+df as (select lower(a.owner || '/' || a.repo) as name, count(distinct consumer_repository) as repos from sc e join ac a on a.action_id = e.dst_node_id group by 1),
+dm as (select lower(owner || '/' || repo) as name, bool_or(author_verified = 'verified') as v from ac where marketplace_published group by 1),
+di as (select lower(full_name) as name, arg_max(archived, (case when collected_at is null then 0 else 1 end, coalesce(epoch_us(collected_at), 0), ingest_seq)) as archived from repositories group by 1),
+nm as (select dn.name, usage, coalesce(repos, 0) as repos, v as verified_creator, ip.status, di.archived from dn left join df using (name) left join dm using (name) left join ip using (name) left join di using (name)),
+pp as (select name, row_number() over (order by usage desc, repos desc, coalesce(verified_creator, false) desc, name desc) as place from nm where usage > 1 or repos > 1 or verified_creator qualify place <= 20),
+pc as (select n.name, p.name as near, {_FULL} as distance, {_CONFUSION} as confusion, place from nm n, pp p where n.name not in (select name from pp)),
+pb as (select name, arg_min(near, (distance, -confusion, place)) as near, min(distance) as distance, arg_min(confusion, (distance, -confusion, place)) as confusion from pc group by 1),
+dc as (select nm.*, near, distance, coalesce(confusion, 0) as cf from nm left join pb using (name)),
+dd as (select name, usage, repos, verified_creator, status, archived, near, distance, round(cf, 4) as confusion,
+  round(least(100.0, 60 * cf + case when status = 'redirected' then 35 else 0 end + case when status in ('missing', 'inaccessible') then 45 else 0 end + case when archived then 10 else 0 end
+    + case when not verified_creator then 5 else 0 end + 0.5 * least(usage, 20) + 0.5 * least(repos, 20)), 4)::double as score,
+  case when status in ('missing', 'inaccessible') then 'unresolved_candidate' when status = 'redirected' then 'redirection_candidate' when distance <= 2 then 'potential_typosquat'
+    when cf >= 0.55 then 'potential_brand_confusion' else 'none' end as kind from dc),
+"""
+ORACLE["discovery_candidates"] = q(DISCOVERY, "select * from dd")
+ORACLE["discovery_top"] = q(DISCOVERY, "select name, score, kind from dd where score > 0 order by score desc, repos desc, usage desc, name desc limit 15")

@@ -23,9 +23,9 @@ def clean_sha(col: Column | str) -> Column:
 
 
 def micros(col: Column | str) -> Column:
-    """Microseconds since 1970-01-01 of a timestamp, with or without a zone (read as UTC)."""
+    """Microseconds since 1970-01-01 of a timestamp without a zone, read as UTC whatever the session's zone is."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.unix_micros(c.cast("timestamp"))
+    return F.unix_micros(F.from_utc_timestamp(c.cast("timestamp"), F.current_timezone()))
 
 
 def filled(col: Column | str) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from refweave.session import materialize
+
 DAY_US = 86_400_000_000
 #: Width of a slice. A key's largest group is its share of one slice, whatever its share of the table.
 SLICE_US = 30 * DAY_US
@@ -58,8 +60,9 @@ def build_history(
     states = sliced_states(rows, "_key", "_ts", "_seq", slice_us)
     w = W.partitionBy("_key", "_slice").orderBy("_ts", "_seq")
     whole = W.partitionBy("_key", "_slice").orderBy("_ts", "_seq").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    # Versions inside a slice: the rows at which the hash differs from the row before.
-    versions = (
+    # Versions inside a slice: the rows at which the hash differs from the row before. They are written once and
+    # read twice, else the observations would be shuffled twice.
+    versions = materialize(
         states.withColumn("_before", F.lag("_hash").over(w))
         .withColumn("_last_hash", F.last("_hash").over(whole))
         .where(F.col("_before").isNull() | (F.col("_before") != F.col("_hash")))

@@ -30,10 +30,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/refweave/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application has written to the shared folder; tables made from it can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written once below the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/refweave/{uuid.uuid4().hex}"
+    path = f"{_own(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

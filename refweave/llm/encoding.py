@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refweave.session import spread
+
 #: Where the vocabulary files are.
 TOKENIZERS = os.environ.get("REFWEAVE_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
@@ -159,7 +161,7 @@ def encode(df: DataFrame, text: str, keep: list[str], out: str = "ids", lengths_
     picked = df.select(*[F.col(c) for c in keep], F.col(text).alias("out"))
     kind = "long" if lengths_only else "array<int>"
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-1])
-    rows = picked.mapInArrow(_encoder(folder, name, lengths_only), f"{schema}, `out` {kind}")
+    rows = spread(picked).mapInArrow(_encoder(folder, name, lengths_only), f"{schema}, `out` {kind}")
     return rows.withColumnRenamed("out", out)
 
 

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from refweave.session import materialize
+from refweave.session import materialize, spread
 
 LEVELS = 4
 #: Rated documents used for fitting (the only sample here) and the length of the high-frequency list.
@@ -79,7 +79,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prose(documents: DataFrame) -> DataFrame:
     """doc_id and sentences (array<string>) of the documents with running prose."""
-    return documents.select("doc_id", "text").mapInArrow(_cut, "doc_id long, sentences array<string>").where("size(sentences) > 0")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_cut, "doc_id long, sentences array<string>").where("size(sentences) > 0")
 
 
 class Formula:

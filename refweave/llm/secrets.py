@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from refweave.session import spread
+
 #: Keywords of the automaton, lower case: a line without any of them holds no secret that is looked for.
 KEYWORDS = (
     "token secret pass pwd pw key auth bearer private :// conn jwt hmac akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ npm_ sg. xox sk_live rk_live sk_test"
@@ -298,7 +300,7 @@ def find_secrets(files: DataFrame, content: str, path: str, keep: list[str]) ->
     """
     picked = files.where(F.col(content).isNotNull()).select(*keep, F.col(path).alias("_path"), F.col(content).alias("_content"))
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-2])
-    return picked.mapInArrow(_scan, f"{schema}, line_no long, rule string, length long")
+    return spread(picked).mapInArrow(_scan, f"{schema}, line_no long, rule string, length long")
 
 
 def redact_files(files: DataFrame, content: str, path: str) -> DataFrame:
@@ -311,4 +313,4 @@ def redact_files(files: DataFrame, content: str, path: str) -> DataFrame:
             clean = [redact(t, find(t, p or "")) for t, p in zip(batch.column(content).to_pylist(), paths)]
             yield batch.set_column(at, content, pa.array(clean, batch.schema.field(at).type))
 
-    return files.mapInArrow(run, ", ".join(kinds))
+    return spread(files).mapInArrow(run, ", ".join(kinds))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from refweave.llm.languages import EXTENSIONS, failure
+from refweave.session import spread
 
 
 def language_of(path: Column) -> Column:
@@ -38,7 +39,7 @@ def parse_files(files: DataFrame, content: str, path: str, keep: list[str]) -> D
     rows = files.select(*keep, language_of(F.col(path)).alias("_language"), F.col(content).alias("_content"))
     rows = rows.where("_language is not null and _content is not null and _content <> ''")
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1])
-    return rows.mapInArrow(_parse, f"{schema}, failing_token long").withColumnRenamed("_language", "language")
+    return spread(rows).mapInArrow(_parse, f"{schema}, failing_token long").withColumnRenamed("_language", "language")
 
 
 def failure_rates(parsed: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,6 +24,11 @@ TOKEN_PATTERNS = (
 )
 REMOTE_CALL = r"(?i)^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/\.github/workflows/[^@]+\.(?:yml|yaml)@.+$"
 LOCAL_CALL = r"(?i)^\./\.github/workflows/[^@]+\.(?:yml|yaml)$"
+# Names that are always among the popular ones, where they occur.
+CANONICAL_NAMES = (
+    "actions/checkout", "actions/setup-node", "actions/upload-artifact", "actions/download-artifact",
+    "actions/cache", "actions/setup-python", "docker/login-action", "github/codeql-action",
+)
 PLATFORM_OWNERS = ("actions", "github")
 
 
@@ -196,3 +201,24 @@ def nearest_rank(values: Column, q: float) -> Column:
 def stable_id_parts(*columns: str) -> Column:
     """SHA-1 of columns joined by ``::``; nulls count as empty."""
     return F.sha1(F.concat_ws("::", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+
+
+def marketplace_cards(html: Column) -> Column:
+    """The cards of a listing page: slug, title, owner, repo, category, description, verified, in page order.
+
+    A card begins at a link to an action's page and ends where the next one begins; what it lacks is null.
+    """
+    pieces = F.split(html, r'(?=<a\b[^>]*href="/marketplace/actions/[^"]+")')
+
+    def first(piece: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(piece, pattern, 1), F.lit(""))
+
+    def card(piece: Column) -> Column:
+        repo = r"github\.com/([^/]+)/([^/\"?#<\s]+)"
+        return F.struct(
+            first(piece, r'href="/marketplace/actions/([^"?#]+)').alias("slug"), strip_html(first(piece, r"(?s)<h3[^>]*>(.*?)</h3>")).alias("title"),
+            first(piece, repo).alias("owner"), F.nullif(F.regexp_extract(piece, repo, 2), F.lit("")).alias("repo"), strip_html(first(piece, r'data-testid="marketplace-category">(.*?)<')).alias("category"),
+            strip_html(first(piece, r"(?s)<p[^>]*>(.*?)</p>")).alias("description"), F.regexp_like(piece, F.lit(r"(?i)Verified creator|Partner|Creator verified")).alias("verified"),
+        )
+
+    return F.transform(F.filter(pieces, lambda p: p.contains('href="/marketplace/actions/')), card)

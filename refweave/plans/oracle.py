@@ -229,7 +229,7 @@ df as (select lower(a.owner || '/' || a.repo) as name, count(distinct consumer_r
 dm as (select lower(owner || '/' || repo) as name, bool_or(author_verified = 'verified') as v from ac where marketplace_published group by 1),
 di as (select lower(full_name) as name, arg_max(archived, (case when collected_at is null then 0 else 1 end, coalesce(epoch_us(collected_at), 0), ingest_seq)) as archived from repositories group by 1),
 nm as (select dn.name, usage, coalesce(repos, 0) as repos, v as verified_creator, ip.status, di.archived from dn left join df using (name) left join dm using (name) left join ip using (name) left join di using (name)),
-pp as (select name, row_number() over (order by usage desc, repos desc, coalesce(verified_creator, false) desc, name desc) as place from nm where usage > 1 or repos > 1 or verified_creator qualify place <= 20),
+pp as (select name, row_number() over (order by name in {_in(X.CANONICAL_NAMES)} desc, usage desc, repos desc, coalesce(verified_creator, false) desc, name desc) as place from nm where usage > 1 or repos > 1 or verified_creator or name in {_in(X.CANONICAL_NAMES)} qualify place <= 20),
 pc as (select n.name, p.name as near, {_FULL} as distance, {_CONFUSION} as confusion, place from nm n, pp p where n.name not in (select name from pp)),
 pb as (select name, arg_min(near, (distance, -confusion, place)) as near, min(distance) as distance, arg_min(confusion, (distance, -confusion, place)) as confusion from pc group by 1),
 dc as (select nm.*, near, distance, coalesce(confusion, 0) as cf from nm left join pb using (name)),

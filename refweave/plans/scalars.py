@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from refweave.functions import exprs as X
 from refweave.functions import stats
-from refweave.functions.text import stable_id
+from refweave.functions.text import stable_id, strip
 from refweave.plans import domain as D
 from refweave.plans.oracle import BLAST, CAT, HIGH, OWNERS, category, q
+from refweave.plans.core_problems import _WS
 from refweave.plans.graph_metrics import blast_radius, categorized
 from refweave.session import table
 
@@ -139,6 +140,17 @@ def html_links(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "actions").select("ingest_seq", X.next_page(page).alias("next"))
 
 
+def marketplace_cards(s: SparkSession, d: str) -> DataFrame:
+    """A listing page written for every owner's published actions, and its cards read back."""
+    a = D.actions(s, d).where("marketplace_published").select("owner", "action_id", "repo", F.nullif(strip("marketplace_category"), F.lit("")).alias("c"), (F.col("author_verified") == "verified").alias("v"))
+    card = F.concat(
+        F.lit('<li><a class="x" href="/marketplace/actions/'), "action_id", F.lit('"><h3>'), "repo", F.lit(" &amp; more</h3></a><p>By <b>"), "owner", F.lit('</b></p><a href="https://github.com/'), "owner", F.lit("/"), "repo", F.lit('">code</a>'),
+        F.coalesce(F.concat(F.lit('<span data-testid="marketplace-category">'), "c", F.lit("</span>")), F.lit("")), F.when(F.col("v"), "<i>Verified creator</i>").otherwise(""), F.lit("</li>"),
+    )
+    pages = a.groupBy("owner", F.pmod(F.xxhash64("action_id"), F.lit(16)).alias("page")).agg(F.concat(F.lit("<ul>"), F.array_join(F.collect_list(card), ""), F.lit("</ul>")).alias("html"))
+    return pages.select(F.explode(X.marketplace_cards(F.col("html"))).alias("k")).select("k.slug", "k.title", "k.owner", "k.repo", "k.category", "k.description", "k.verified")
+
+
 def iso_timestamps(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "repositories").select("ingest_seq", X.iso(F.col("collected_at")).alias("collected"), X.owner_of(F.col("full_name")).alias("owner_part"))
 
@@ -308,7 +320,7 @@ def top_orders_per_customer(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scan_actions, scoped_edges, direct_edges, high_star_repos, stable_ids, classify_ref, ref_category, parse_action_ref, trust_domain, depth_bucket, normalize_name,
-    name_lookalikes, prefix_confusion, contains_keywords, token_patterns, script_paths, permission_levels, callee_identifier, html_strip, html_links, iso_timestamps,
+    marketplace_cards, name_lookalikes, prefix_confusion, contains_keywords, token_patterns, script_paths, permission_levels, callee_identifier, html_strip, html_links, iso_timestamps,
     identity_status, latest_per_key, edges_actions, marketplace_left, impact, reference_union, concentration, percentile_stars, reasons, component_types,
     ref_type_comparison, trust_entities, lift_cross_same, depth_token_rate, top_reuse, lineitem_pricing, top_orders_per_customer,
 )}
@@ -347,6 +359,8 @@ ORACLE = {
     "callee_identifier": f"""select u, regexp_matches(u, '(?i)^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/\\.github/workflows/[^@]+\\.(?:yml|yaml)@.+$') as is_remote, case when is_remote then {_N} || '@' || {_R} else regexp_replace(u, '^\\./', '') end as callee
       from {_U} where is_remote or regexp_matches(u, '(?i)^\\./\\.github/workflows/[^@]+\\.(?:yml|yaml)$')""",
     "html_strip": "select ingest_seq, trim(regexp_replace(action_name || ' &  ' || coalesce(marketplace_category, ''), '\\s+', ' ', 'g')) as text from actions",
+    "marketplace_cards": q("", f"""select action_id as slug, repo || ' & more' as title, owner, repo, nullif(trim(marketplace_category, {_WS}), '') as category, 'By ' || owner as description,
+      author_verified = 'verified' as verified from ac where marketplace_published"""),
     "html_links": "select ingest_seq, '/market?page=' || ingest_seq as next from actions",
     "iso_timestamps": "select ingest_seq, coalesce(strftime(collected_at, '%Y-%m-%dT%H:%M:%S'), '') as collected, split_part(full_name, '/', 1) as owner_part from repositories",
     "identity_status": """select case when r is not null and lower(r) = lower(full_name) then 'canonical' when r is not null then 'redirected' when html_url is null then 'missing' else 'inaccessible' end as identity_status, count(*) as rows

@@ -242,8 +242,10 @@ def discovery_candidates(s: SparkSession, d: str) -> DataFrame:
     n = reference_union(s, d).select("name", (F.col("edges") + F.col("changes")).alias("usage")).where("usage > 0")
     n = n.join(reach, "name", "left").join(m, "name", "left").join(i, "name", "left").withColumn("repos", F.coalesce("repos", F.lit(0).cast("long")))
     n = D.once(s, d, "discovery_names", lambda: n)
-    popular = n.where("usage > 1 or repos > 1 or verified_creator").orderBy(F.desc("usage"), F.desc("repos"), F.desc(F.coalesce("verified_creator", F.lit(False))), F.desc("name")).limit(20)
-    popular = popular.withColumn("place", F.row_number().over(W.orderBy(F.desc("usage"), F.desc("repos"), F.desc(F.coalesce("verified_creator", F.lit(False))), F.desc("name")))).select(F.col("name").alias("popular"), "place")
+    hint = F.col("name").isin(*X.CANONICAL_NAMES)
+    order = [F.desc(hint), F.desc("usage"), F.desc("repos"), F.desc(F.coalesce("verified_creator", F.lit(False))), F.desc("name")]
+    popular = n.where((F.col("usage") > 1) | (F.col("repos") > 1) | F.col("verified_creator") | hint).orderBy(*order).limit(20)
+    popular = popular.withColumn("place", F.row_number().over(W.orderBy(*order))).select(F.col("name").alias("popular"), "place")
     pairs = n.join(popular, F.col("name") == F.col("popular"), "left_anti").crossJoin(F.broadcast(popular))  # 20 names
 
     def plain(c: str, i: int):

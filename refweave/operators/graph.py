@@ -82,25 +82,32 @@ def expand(direct: DataFrame, nested: DataFrame, max_depth: int = 6) -> DataFram
     direct: repository, path, action_id, key, ref_type. nested: parent (action_id), action_id, key, ref_type.
     A branch never enters a key it has passed; an edge reached again at the same depth is one edge. Result:
     edge_id, src_node_id, dst_node_id, edge_type, consumer_repository, workflow_path, depth, binding_downgrade
-    (a sha-bound parent that uses a tag). One round per level; only branches, not graphs, are carried on.
+    (a sha-bound parent that uses a tag). One round per level; only branches, not graphs, are carried on. What
+    lies below an action does not depend on the workflow, so branches are followed once per direct action, in
+    any order of what they have passed, and joined to the workflows at the end.
     """
-    first = direct.select(
+    direct = materialize(direct.select("repository", "path", "action_id", "key", "ref_type").distinct())
+    level = direct.select(
         "repository", "path", workflow_id(F.col("repository"), F.col("path")).alias("src"), F.col("action_id").alias("dst"), F.lit("direct").alias("edge_type"),
-        F.lit(1).alias("depth"), F.lit(False).alias("down"), F.array("key").alias("seen"), F.col("ref_type").alias("bound"),
+        F.lit(1).alias("depth"), F.lit(False).alias("down"),
     )
     n = nested.select(F.col("parent").alias("_p"), F.col("action_id").alias("_a"), F.col("key").alias("_k"), F.col("ref_type").alias("_t")).distinct()
-    front = materialize(first.distinct())
-    levels = [front]
+    start = ["action_id", "key", "ref_type"]
+    front = direct.select(*start, F.col("action_id").alias("dst"), F.array("key").alias("seen"), F.col("ref_type").alias("bound")).distinct()
+    levels = [level]
     for depth in range(2, max_depth + 1):
-        front = materialize(
-            front.join(n, F.col("dst") == F.col("_p")).where(~F.array_contains("seen", F.col("_k"))).select(
-                "repository", "path", F.col("dst").alias("src"), F.col("_a").alias("dst"), F.lit("transitive").alias("edge_type"), F.lit(depth).alias("depth"),
-                ((F.col("bound") == "sha") & (F.col("_t") == "tag")).alias("down"), F.array_append("seen", F.col("_k")).alias("seen"), F.col("_t").alias("bound"),
-            ).distinct()
+        step = front.join(n, F.col("dst") == F.col("_p")).where(~F.array_contains("seen", F.col("_k"))).select(
+            *start, F.col("dst").alias("src"), F.col("_a").alias("dst"), F.lit(depth).alias("depth"), ((F.col("bound") == "sha") & (F.col("_t") == "tag")).alias("down"),
+            F.array_sort(F.array_append("seen", F.col("_k"))).alias("seen"), F.col("_t").alias("bound"),
         )
-        if front.isEmpty():
+        step = materialize((step if depth < max_depth else step.drop("seen", "bound")).distinct())
+        if step.isEmpty():
             break
-        levels.append(front)
+        found = step.select(*start, "src", "dst", "depth", "down").distinct()
+        same = (direct["action_id"] == found["action_id"]) & (direct["key"] == found["key"]) & direct["ref_type"].eqNullSafe(found["ref_type"])
+        levels.append(direct.join(found, same).select("repository", "path", "src", "dst", F.lit("transitive").alias("edge_type"), "depth", "down"))
+        if depth < max_depth:
+            front = step.select(*start, "dst", "seen", "bound").distinct()
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

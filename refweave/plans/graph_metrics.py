@@ -9,6 +9,7 @@ from refweave.functions import exprs as X
 from refweave.functions import stats
 from refweave.operators import graph
 from refweave.plans import domain as D
+from refweave.sources.files import Settings
 
 WF = ["consumer_repository", "workflow_path"]
 HIGH_STARS = 50
@@ -224,13 +225,13 @@ def blast_estimate_error(s: SparkSession, d: str) -> DataFrame:
 
 
 def cdg_recursive(s: SparkSession, d: str) -> DataFrame:
-    """The graph built again from direct uses and what actions use, down to depth 4."""
+    """The graph built again from direct uses and what actions use, down to the default depth of Settings (6)."""
     e = D.edges(s, d)
     name = D.actions(s, d).select("action_id", F.concat_ws("/", "owner", "repo", "subpath").alias("n"), "ref", "ref_type").withColumn("key", F.concat_ws("@", "n", "ref"))
     direct = D.scoped(s, d).where("edge_type = 'direct'").select(F.col("consumer_repository").alias("repository"), F.col("workflow_path").alias("path"), F.col("dst_node_id").alias("action_id"))
     direct = direct.join(name.select("action_id", "key", "ref_type"), "action_id")
     nested = graph.action_links(e).select(F.col("src").alias("parent"), F.col("dst").alias("action_id")).join(name.select("action_id", "key", "ref_type"), "action_id")
-    out = graph.expand(direct, nested, 4)
+    out = graph.expand(direct, nested, Settings().max_depth)
     return out.groupBy("consumer_repository", "depth").agg(F.count("*").alias("edges"), F.count_if("binding_downgrade").alias("downgrades"))
 
 

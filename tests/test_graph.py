@@ -1,6 +1,10 @@
 """Graph operators on small hand-made graphs."""
 
+import random
+from itertools import pairwise
+
 from refweave.operators import graph
+from refweave.plans import graph_metrics
 
 E = "src_node_id string, dst_node_id string, src_kind string, dst_kind string, consumer_repository string, workflow_path string"
 
@@ -38,3 +42,37 @@ def test_expand(spark):
         ("C", "D", 3): False, ("C", "D", 4): False,
     }
     assert ("C", "A", 4) not in got  # the branch through A does not come back to it
+
+
+def test_cdg_recursive_goes_to_depth_six(spark, tmp_path):
+    names, w = "ABCDEFGH", "workflow::o/r::a.yml"
+    links = [(w, "A", "workflow", "direct"), *[(a, b, "action", "transitive") for a, b in pairwise(names)]]
+    e = [(str(i), *x[:3], "action", x[3], "o/r", "a.yml", None, i) for i, x in enumerate(links)]
+    a = [(x, "o", x, None, "1", "tag", None, i) for i, x in enumerate(names)]
+    kinds = "edge_id string, src_node_id string, dst_node_id string, src_kind string, dst_kind string, edge_type string, consumer_repository string, workflow_path string, discovered_at timestamp, ingest_seq long"
+    spark.createDataFrame(e, kinds).write.parquet(f"{tmp_path}/edges.parquet")
+    spark.createDataFrame(a, "action_id string, owner string, repo string, subpath string, ref string, ref_type string, discovered_at timestamp, ingest_seq long").write.parquet(f"{tmp_path}/actions.parquet")
+    assert sorted((r["depth"], r["edges"]) for r in graph_metrics.cdg_recursive(spark, str(tmp_path)).collect()) == [(d, 1) for d in range(1, 7)]
+
+
+def test_expand_equals_single_branches(spark):
+    rng = random.Random(6)
+    kind = {x: rng.choice(["sha", "tag"]) for x in "ABCDEFG"}
+    direct = sorted({(f"o/r{rng.randrange(3)}", rng.choice(["a.yml", "b.yml"]), rng.choice("ABC")) for _ in range(7)})
+    links = sorted({(rng.choice("ABCDEFG"), rng.choice("ABCDEFG")) for _ in range(26)})
+    want = {}
+
+    def follow(repo, path, seen):
+        for _, b in (x for x in links if x[0] == seen[-1] and x[1] not in seen):
+            if len(seen) < 6:
+                want[repo, path, seen[-1], b, len(seen) + 1] = kind[seen[-1]] == "sha" and kind[b] == "tag"
+                follow(repo, path, [*seen, b])
+
+    for repo, path, a in direct:
+        want[repo, path, f"workflow::{repo}::{path}", a, 1] = False
+        follow(repo, path, [a])
+    d = spark.createDataFrame([(*x, x[2], kind[x[2]]) for x in direct], "repository string, path string, action_id string, key string, ref_type string")
+    n = spark.createDataFrame([(a, b, b, kind[b]) for a, b in links], "parent string, action_id string, key string, ref_type string")
+    rows = graph.expand(d, n).collect()
+    got = {(r["consumer_repository"], r["workflow_path"], r["src_node_id"], r["dst_node_id"], r["depth"]): r["binding_downgrade"] for r in rows}
+    assert max(k[4] for k in want) == 6 and got == want and len(rows) == len(want)

@@ -1,6 +1,7 @@
 """Credentials embedded in source code: find them at their place and redact them without breaking the file.
 
-A keyword automaton marks the lines worth a look. On those, issuer formats, assignments to names that stand for
+A keyword automaton and the places where pieces meet mark the lines worth a look; in files that put names together
+every line is looked at. On those, issuer formats, assignments to names that stand for
 secrets, credentials in URLs, headers and commands, private keys and secrets in pieces are matched by regular
 expressions; what is matched must then pass for a usable literal (structure, no placeholder, no reference).
 """
@@ -20,30 +21,30 @@ from pyspark.sql import functions as F
 
 from refweave.session import spread
 
-#: Keywords of the automaton, lower case: a line without any of them holds no secret that is looked for.
-KEYWORDS = (
-    "token secret pass pwd pw key auth bearer private :// conn jwt hmac akia asia ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ npm_ sg. xox sk_live rk_live sk_test"
-    " aiza glpat- eyj credential cred dsn webhook login curl bot part value cookie session hf_ dop_v1_ pypi- whsec_"
-).split()
-
-#: issuers' formats. Not part of a longer word on either side.
+#: The prefixes issuers begin theirs with, and what follows. Not part of a longer word on either side.
 ISSUERS = {
-    "aws_key_id": r"(?:AKIA|ASIA)[A-Z0-9]{16}",
-    "github": r"gh[pousr]_[A-Za-z0-9]{36,251}",
-    "github_fine": r"github_pat_[A-Za-z0-9]{22}_[A-Za-z0-9]{59}",
-    "npm": r"npm_[A-Za-z0-9]{36}",
-    "sendgrid": r"SG\.[\w-]{16,32}\.[\w-]{16,64}",
-    "slack": r"xox[abeoprs]-[A-Za-z0-9-]{20,}",
-    "stripe": r"(?:sk|rk)_(?:live|test)_[A-Za-z0-9]{16,}",
-    "google": r"AIza[\w-]{35}",
-    "gitlab": r"glpat-[\w-]{20,}",
-    "jwt": r"eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}",
-    "pypi": r"pypi-[\w-]{50,}",
-    "hugging": r"hf_[A-Za-z0-9]{30,}",
-    "digitalocean": r"dop_v1_[0-9a-f]{64}",
-    "webhook": r"whsec_[A-Za-z0-9+/=]{24,}",
+    "aws_key_id": (("AKIA", "ASIA"), r"[A-Z0-9]{16}"),
+    "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"[A-Za-z0-9]{36,251}"),
+    "github_fine": (("github_pat_",), r"[A-Za-z0-9]{22}_[A-Za-z0-9]{59}"),
+    "npm": (("npm_",), r"[A-Za-z0-9]{36}"),
+    "sendgrid": (("SG.",), r"[\w-]{16,32}\.[\w-]{16,64}"),
+    "slack": (tuple(f"xox{c}-" for c in "abeoprs"), r"[A-Za-z0-9-]{20,}"),
+    "stripe": (("sk_live_", "sk_test_", "rk_live_", "rk_test_"), r"[A-Za-z0-9]{16,}"),
+    "google": (("AIza",), r"[\w-]{35}"),
+    "gitlab": (("glpat-",), r"[\w-]{20,}"),
+    "jwt": (("eyJ",), r"[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}"),
+    "pypi": (("pypi-",), r"[\w-]{50,}"),
+    "hugging": (("hf_",), r"[A-Za-z0-9]{30,}"),
+    "digitalocean": (("dop_v1_",), r"[0-9a-f]{64}"),
+    "webhook": (("whsec_",), r"[A-Za-z0-9+/=]{24,}"),
 }
-_ISSUER = re.compile(r"(?<![\w+/-])(?:" + "|".join(f"(?P<{n}>{p})" for n, p in ISSUERS.items()) + r")(?![\w+/])")
+#: Words that make a name that of a secret, and names whose values count inside an auth object.
+SECRET_WORDS = "token secret secrets password passwd passphrase pass pwd pw psw apikey key keys auth authtoken credential credentials creds cred jwt bearer hmac dsn conn bot".split()
+AUTH_VALUES = ("value", "data", "content")
+#: Keywords of the automaton, lower case: a line without any of them, and without pieces (_PIECES), holds no secret that is
+#: looked for. The rules' own words and prefixes, then what URLs, headers and commands need.
+KEYWORDS = sorted({*SECRET_WORDS, *AUTH_VALUES, *(p.lower() for prefixes, _ in ISSUERS.values() for p in prefixes), "://", "private", "login", "-u"})
+_ISSUER = re.compile(r"(?<![\w+/-])(?:" + "|".join(f"(?P<{n}>(?:{'|'.join(map(re.escape, prefixes))}){rest})" for n, (prefixes, rest) in ISSUERS.items()) + r")(?![\w+/])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
@@ -52,6 +53,9 @@ _ASSIGN = re.compile(
     rf"(?<![\w$.-])(?P<q>[\"']?)(?P<name>[A-Za-z_][\w.-]*)(?P=q)[ \t]*(?::=|=(?!=)|:(?=[ \t]))[ \t]*(?P<value>{_QUOTED}|{_BARE})?"
 )
 _JOIN = re.compile(rf"[ \t]*\+[ \t]*({_QUOTED})")
+#: Places where pieces meet: names one after the other, quoted strings added up.
+_NAMES = re.compile(r"\$\{?[A-Za-z_]\w*\}?\$\{?[A-Za-z_]")
+_PIECES = re.compile(rf"{_NAMES.pattern}|[\"'][ \t]*\+[ \t]*[\"']")
 _BLOCK = re.compile(r"^(?P<lead>[ \t]*(?:-[ \t]+)?)[\"']?(?P<name>[A-Za-z_][\w.-]*)[\"']?:[ \t]*[>|][+-]?\d?[ \t]*\r?$")
 _NEXT = re.compile(r"(?:[ \t]*\r?\n)*[ \t]+(\S+)[ \t]*\r?(?:\n|$)")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^\s/:@\"'<>]*:)?(?P<value>[^\s/@\"'<>]+)@(?=[\w\[])")
@@ -66,9 +70,7 @@ _FLAG = re.compile(
     r"|\bmachine[ \t]+\S+[ \t]+login[ \t]+\S+[ \t]+password[ \t]+(?P<m>\S+))"
 )
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
-_SECRET_NAME = re.compile(
-    r"(?:^|_)(?:token|secret|secrets|password|passwd|passphrase|pass|pwd|pw|psw|apikey|key|keys|auth|authtoken|credential|credentials|creds|cred|jwt|bearer|hmac|dsn|conn|bot)(?:$|_)"
-)
+_SECRET_NAME = re.compile(rf"(?:^|_)(?:{'|'.join(SECRET_WORDS)})(?:$|_)")
 _PASSWORD_NAME = re.compile(r"(?i)pass|pwd|(?:^|[_-])pw(?:$|[_\d-])")
 _OTHER_NAME = re.compile(
     r"(?:^|_)(?:url|uri|name|file|path|env|ref|limit|ttl|type|count|size|host|user|username|header|public|pub|cache|restore|hash|checksum|sha|sha1|sha256|sha512"
@@ -173,13 +175,14 @@ def find(content: str | None, path: str = "") -> list[Found]:
     if not content:
         return []
     low = content.lower()
-    if len(low) == len(content):
-        hits = sorted({end for end, _ in automaton().iter(low)})
+    if len(low) != len(content) or _NAMES.search(content):
+        # lower case changed lengths, or names are put together, whose pieces may stand on any line: look at every line
+        starts = [0, *(m.end() for m in re.finditer("\n", content))]
+    else:
+        hits = sorted({end for end, _ in automaton().iter(low)} | {m.start() for m in _PIECES.finditer(content)})
         if not hits:
             return []
         starts = sorted({content.rfind("\n", 0, h + 1) + 1 if content[h] != "\n" else h + 1 for h in hits})
-    else:  # lower case changed lengths: look at every line
-        starts = [0, *(m.end() for m in re.finditer("\n", content))]
     quoted_only = path.lower().rsplit(".", 1)[-1] in ("py", "json", "toml")
     found: dict[int, Found] = {}
     covered: list[tuple[int, int]] = []
@@ -234,7 +237,7 @@ def find(content: str | None, path: str = "") -> list[Found]:
             is_quoted = raw[0] in "\"'"
             if is_quoted or not quoted_only:
                 literal[m["name"]] = (value, s, e)
-            named = is_secret_name(m["name"]) or at < inside_auth and m["name"].lower() in ("value", "data", "content")
+            named = is_secret_name(m["name"]) or at < inside_auth and m["name"].lower() in AUTH_VALUES
             spans, text, after = [(s, e)], value, m.end()
             while is_quoted and (more := _JOIN.match(line, after)):
                 piece, a, b = _unquote(line, more.start(1), more[1])

@@ -59,3 +59,20 @@ def test_operator(spark):
     assert got == {("s3", 50_001, "assignment"), ("s4", 1, "assignment"), ("s5", 1, "assignment")}
     assert {r["sha"]: r["content"] for r in secrets.redact_files(df, "content", "path").collect()}["s4"] == "password: 'Xxxxxx0000.x0'"
     assert secrets.find_secrets(df.limit(0), "content", "path", ["sha"]).count() == 0
+
+
+@pytest.mark.parametrize("text, line", [
+    (f"run: |\n  HEAD='ghp_{A36[:10]}'\n  TAIL='{A36[10:]}'\n  export BOT_TOKEN=\"${{HEAD}}${{TAIL}}\"\n", 2), (f"A='gh'\nB='p_{A36}'\nexport X=\"$A$B\"\n", 1), (f"x = 'gh' + 'p_{A36}'\n", 1),
+    ("DB_PSW=216c77d0fdbec5b30bd9839d35b17d2e\n", 1), (f"x: rk_test_{A36[:24]}\n", 1), ("run: |\n  wget \\\n  -u deploy:'l5CgH188duLYWdi4'\n", 3),
+    ('{"auth": {\n"data": "216c77d0fdbec5b30bd9839d35b17d2e"}}\n', 2),
+])
+def test_no_line_a_rule_needs_is_skipped(text, line):
+    found = secrets.find(text, "a.yml")
+    assert [text.count("\n", 0, f.start) + 1 for f in found] == [line]
+    clean = secrets.redact(text, found)
+    assert all(text[a:b] not in clean for f in found for a, b in f.spans)
+
+
+def test_keywords_cover_names_and_issuers():
+    starts = [p.lower() for prefixes, _ in secrets.ISSUERS.values() for p in prefixes]
+    assert all(any(k in w for k in secrets.KEYWORDS) for w in [*starts, *secrets.SECRET_WORDS, *secrets.AUTH_VALUES])

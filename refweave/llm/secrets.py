@@ -47,6 +47,12 @@ KEYWORDS = sorted({*SECRET_WORDS, *AUTH_VALUES, *(p.lower() for prefixes, _ in I
 _ISSUER = re.compile(r"(?<![\w+/-])(?:" + "|".join(f"(?P<{n}>(?:{'|'.join(map(re.escape, prefixes))}){rest})" for n, (prefixes, rest) in ISSUERS.items()) + r")(?![\w+/])")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: One line of a key without END: what leads to it (ends of lines, in quotes or escaped), and key material or a header up to its end.
+_PEM_LINE = re.compile(
+    r"(?:\\+[nrt]|[\"'`]?[ \t]*[+,.\\]?[ \t]*\r?\n[ \t]*(?:[#*>|][ \t]*)?[\"'`]?)+"
+    r"(?:(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset): (?:(?!\\+[nrt]|[\"'`])[^\n\r])*|(?P<key>=?[A-Za-z0-9+/]+={0,2}))(?=\\+[nrt]|[\"'`]?[ \t]*[-+,.;)\]}\\]*[ \t]*(?:\r?\n|$))"
+)
+_BRACE = re.compile(r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|[{}]')
 _QUOTED = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
 _BARE = r"[^\s\"'#,;&|<>(){}\[\]`\\]+"
 _ASSIGN = re.compile(
@@ -170,6 +176,26 @@ def _unquote(text: str, at: int, value: str) -> tuple[str, int, int]:
     return value, at, at + len(value)
 
 
+def _unended(content: str, at: int) -> int:
+    """Where a key without END stops: before the first line that is no key material. A short line must look like the rest of a key."""
+    while m := _PEM_LINE.match(content, at):
+        key = m["key"]
+        if key and len(key) < 16 and not (key[0] == "=" or key[-1] == "=" or re.search(r"\d|[a-z][A-Z]", key)):
+            break
+        at = m.end()
+    return at
+
+
+def _closing(content: str, at: int) -> int:
+    """Where the object that is open at ``at`` is closed; the end of the file if it is not."""
+    depth = 1
+    for m in _BRACE.finditer(content, at):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
+        if not depth:
+            return m.start()
+    return len(content)
+
+
 def find(content: str | None, path: str = "") -> list[Found]:
     """The secrets of a file in order, each once. ``path`` tells by its extension whether bare words can be values."""
     if not content:
@@ -194,8 +220,9 @@ def find(content: str | None, path: str = "") -> list[Found]:
 
     literal: dict[str, tuple[str, int, int]] = {}  # what a name was last set to, for secrets in pieces
     for m in _PEM.finditer(content):
-        end = _PEM_END.search(content, m.end())
-        body = content[m.end() : end.start() if end else min(len(content), m.end() + 4000)]
+        after = _PEM.search(content, m.end())
+        end = _PEM_END.search(content, m.end(), after.start() if after else len(content))
+        body = content[m.end() : end.start() if end else _unended(content, m.end())]
         plain = re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", body)
         if len(plain) >= 64 and len(set(plain)) > 16 and not _REFERENCE.search(body.strip()[:40]) and (not covered or m.start() >= covered[-1][1]):
             add(m.start(), [(m.start(), end.end() if end else m.end() + len(body))], "private_key")
@@ -225,8 +252,8 @@ def find(content: str | None, path: str = "") -> list[Found]:
                 if nxt and _generic(nxt[1], stated=bool(_PASSWORD_NAME.search(m["name"]))):
                     add(nxt.start(1), [nxt.span(1)], "block")
             continue
-        if re.search(r"[\"'](?:auth|credentials?|login)[\"'][ \t]*:[ \t]*\{[ \t]*\r?$", line):
-            inside_auth = stop + 400
+        if at >= inside_auth and re.search(r"[\"'](?:auth|credentials?|login)[\"'][ \t]*:[ \t]*\{[ \t]*\r?$", line):
+            inside_auth = max(inside_auth, _closing(content, stop))
         comment = line.lstrip()[:1] in ("#", "/", ";")
         for m in _ASSIGN.finditer(line):
             raw = m["value"]

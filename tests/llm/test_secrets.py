@@ -76,3 +76,26 @@ def test_no_line_a_rule_needs_is_skipped(text, line):
 def test_keywords_cover_names_and_issuers():
     starts = [p.lower() for prefixes, _ in secrets.ISSUERS.values() for p in prefixes]
     assert all(any(k in w for k in secrets.KEYWORDS) for w in [*starts, *secrets.SECRET_WORDS, *secrets.AUTH_VALUES])
+
+
+@pytest.mark.parametrize("end", ["\n", "\\n", "\r\n"])
+def test_keys_without_end(end):
+    lines = [f"{i:04d}" + (A36 * 2)[:60] for i in range(100)] + ["Zm9vYmFyQQ=="]
+    begin = "-----BEGIN RSA PRIVATE KEY-----"
+    text = begin + end + end.join(lines) + "\nname: build\nDB_PASSWORD: 'Winter1837.v8'\n" + begin + end + end.join(lines) + end + "-----END RSA PRIVATE KEY-----\n"
+    found = secrets.find(text, "a.yml")
+    assert [f.rule for f in found] == ["private_key", "assignment", "private_key"]
+    clean = secrets.redact(text, found)
+    assert len(clean) == len(text) and not any(x in clean for x in lines) and "\nname: build\nDB_PASSWORD: 'Xxxxxx0000.x0'\n" in clean and clean.count(begin) == 2
+
+
+def test_unended_key_stops_at_other_members():
+    text = json.dumps({"key": "-----BEGIN PRIVATE KEY-----\n" + "\n".join([A36 + "Qq1"] * 200) + "\n", "name1Two": "plain", "password": "Winter1837.v8"}, indent=1)
+    found = secrets.find(text, "a.json")
+    clean = json.loads(secrets.redact(text, found))
+    assert [f.rule for f in found] == ["private_key", "assignment"] and A36 not in clean["key"] and clean["name1Two"] == "plain" and clean["password"] == "Xxxxxx0000.x0"
+
+
+def test_auth_object_ends_at_its_brace():
+    far = json.dumps({"auth": {"note": "{" + "words " * 100, "value": "216c77d0fdbec5b30bd9839d35b17d2e"}, "value": "9f3c77d0fdbec5b30bd9839d35b17d2a"}, indent=1)
+    assert [far[f.start :][:4] for f in secrets.find(far, "a.json")] == ["216c"]

@@ -83,10 +83,14 @@ def prose(documents: DataFrame) -> DataFrame:
 
 
 class Formula:
-    """grades: word -> lowest level at which it is familiar; weights: per boundary (constant, share outside, log length)."""
+    """grades: word -> lowest level at which it is familiar; weights: per boundary (constant, share outside, log length).
 
-    def __init__(self, grades: dict[str, int], weights: np.ndarray | None = None):
+    rest: the grade of words without one; LEVELS, outside all lists, where the list was too short for all words.
+    """
+
+    def __init__(self, grades: dict[str, int], weights: np.ndarray | None = None, rest: int | None = None):
         self.grades = grades
+        self.rest = rest
         self.weights = weights if weights is not None else np.array([[-2.0, 10.0, 0.0]] * (LEVELS - 1))
 
     def shares(self, sentence: str) -> list[float]:
@@ -94,7 +98,7 @@ class Formula:
         counts, n = [0] * (LEVELS + 1), 0
         words = sentence.split(" ")
         for w in words:
-            if (g := self.grades.get(w)) is not None:
+            if (g := self.grades.get(w, self.rest)) is not None:
                 counts[g] += 1
                 n += 1
         out, above = [], n
@@ -192,13 +196,15 @@ def _counter(formula: Formula | None):
     return run
 
 
-def _frequencies(rows: DataFrame, formula: Formula | None) -> dict[str, int]:
+def _frequencies(rows: DataFrame, formula: Formula | None) -> tuple[dict[str, int], int | None]:
+    """The graded lists, and the grade of all other words: none if the lists hold every word counted."""
     counts = rows.mapInArrow(_counter(formula), "word string, level int, n long").groupBy("word").agg(
         F.sum("n").alias("n"), *[F.sum(F.when(F.col("level") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(1, LEVELS + 1)]
     )
-    got = counts.orderBy(F.desc(F.col("word") == ""), F.desc("n"), "word").limit(MAX_WORDS + 1).collect()  # the list's length bounds this
+    got = counts.orderBy(F.desc(F.col("word") == ""), F.desc("n"), "word").limit(MAX_WORDS + 2).collect()  # the list's length bounds this
     table = {r["word"]: [float(r[f"n{k}"]) for k in range(1, LEVELS + 1)] for r in got}
-    return grade({w: c for w, c in table.items() if w}, table.get("", [1.0] * LEVELS))
+    words = {w: c for w, c in table.items() if w}
+    return grade(words, table.get("", [1.0] * LEVELS)), LEVELS if len(words) > MAX_WORDS else None
 
 
 def fit_formula(found: DataFrame, ratings: DataFrame, rounds: int = 2) -> Formula:
@@ -206,10 +212,12 @@ def fit_formula(found: DataFrame, ratings: DataFrame, rounds: int = 2) -> Formul
     rated = rated_levels(ratings).join(found, "doc_id")
     rated = materialize(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_RATED))
     sample = [(r["sentences"], r["level"]) for r in rated.select("sentences", "level").toLocalIterator()]
-    formula = Formula(_frequencies(rated.select("sentences", "level"), None))
+    grades, rest = _frequencies(rated.select("sentences", "level"), None)
+    formula = Formula(grades, rest=rest)
     formula.fit(sample)
     for _ in range(rounds):
-        formula = Formula(_frequencies(found.select("sentences"), formula), formula.weights)
+        grades, rest = _frequencies(found.select("sentences"), formula)
+        formula = Formula(grades, formula.weights, rest)
         formula.fit(sample)
     return formula
 

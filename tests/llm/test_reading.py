@@ -50,3 +50,16 @@ def test_held_out_ratings(spark):
     levels = reading.reading_levels(docs, ratings.where("doc_id % 2 = 0"))
     held = reading.rated_levels(ratings.where("doc_id % 2 = 1")).join(levels, "doc_id").collect()
     assert len(held) > 20 and sum(r["level"] == r["reading_level"] for r in held) / len(held) > 0.75
+
+
+def test_words_beyond_the_list_are_outside_it(spark, monkeypatch):
+    easy, hard = ["the cat sat on the mat"] * 3, ["the cat sat quixotically perspicacious ontological"]
+    rows = spark.createDataFrame([(easy, 1), (easy, 1), (hard, 4)], "sentences array<string>, level int")
+    grades, rest = reading._frequencies(rows, None)
+    assert len(grades) == 8 and rest is None and grades["ontological"] == 4
+    whole = reading.Formula(grades).shares("cat ontological perspicacious")[:3]
+    monkeypatch.setattr(reading, "MAX_WORDS", 5)
+    grades, rest = reading._frequencies(rows, None)
+    short = reading.Formula(grades, rest=rest)
+    assert len(grades) == 5 and "ontological" not in grades and short.shares("cat ontological perspicacious")[:3] == whole
+    assert short.level("ontological perspicacious quixotically") == short.document(["ontological perspicacious quixotically"]) == 4

@@ -15,7 +15,7 @@ def scoped_edges(edges: DataFrame) -> DataFrame:
     return edges.where(known).withColumn("workflow_id", workflow_id(F.col("consumer_repository"), F.col("workflow_path")))
 
 
-def _spread(start: DataFrame, links: DataFrame, label: str, most: int) -> DataFrame:
+def _spread(start: DataFrame, links: DataFrame, label: str) -> DataFrame:
     """(label, node, hops): every node reached from ``start`` along ``links`` with its fewest links.
 
     One round per link away: only pairs that are new are carried on, joined with the links and held against
@@ -23,7 +23,7 @@ def _spread(start: DataFrame, links: DataFrame, label: str, most: int) -> DataFr
     """
     frontier = materialize(start.select(label, "node").distinct().withColumn("hops", F.lit(0)))
     known, hops = frontier, 0
-    while hops < most:
+    while True:
         hops += 1
         step = frontier.join(links, frontier["node"] == links["src"]).select(label, F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(known.select(label, "node"), [label, "node"], "left_anti").withColumn("hops", F.lit(hops)))
@@ -38,7 +38,7 @@ def action_links(edges: DataFrame) -> DataFrame:
     return edges.where("src_kind = 'action' and dst_kind = 'action'").select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst")).distinct()
 
 
-def downstream_repositories(edges: DataFrame, most: int = 200) -> DataFrame:
+def downstream_repositories(edges: DataFrame) -> DataFrame:
     """(action_id, repository): which repositories' workflows reach an action, directly or through actions.
 
     The pairs are as many as the answer has. Where repositories x actions is too much to list, use
@@ -46,17 +46,17 @@ def downstream_repositories(edges: DataFrame, most: int = 200) -> DataFrame:
     """
     direct = edges.where("src_kind = 'workflow' and dst_kind = 'action'")
     start = direct.select(F.split(F.col("src_node_id"), "::").getItem(1).alias("repository"), F.col("dst_node_id").alias("node"))
-    return _spread(start, action_links(edges), "repository", most).select(F.col("node").alias("action_id"), "repository")
+    return _spread(start, action_links(edges), "repository").select(F.col("node").alias("action_id"), "repository")
 
 
-def forward_reach(edges: DataFrame, most: int = 200) -> DataFrame:
+def forward_reach(edges: DataFrame) -> DataFrame:
     """(node_id, reached, hops) for every action and workflow: what it depends on, itself left out."""
     links = edges.select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst")).distinct()
     start = links.select(F.col("src").alias("node_id"), F.col("src").alias("node")).distinct()
-    return _spread(start, links, "node_id", most).where("hops > 0 and node <> node_id").select("node_id", F.col("node").alias("reached"), "hops")
+    return _spread(start, links, "node_id").where("hops > 0 and node <> node_id").select("node_id", F.col("node").alias("reached"), "hops")
 
 
-def downstream_estimate(edges: DataFrame, rounds: int = 50, log2_size: int = 12) -> DataFrame:
+def downstream_estimate(edges: DataFrame, log2_size: int = 12) -> DataFrame:
     """(action_id, repositories): HyperLogLog estimates of downstream repositories in work proportional to the links.
 
     Each round merges the sketches of an action's parents into its own, until no estimate grows.
@@ -65,12 +65,12 @@ def downstream_estimate(edges: DataFrame, rounds: int = 50, log2_size: int = 12)
     start = direct.select(F.split(F.col("src_node_id"), "::").getItem(1).alias("r"), F.col("dst_node_id").alias("node"))
     links = materialize(action_links(edges))
     now = materialize(start.groupBy("node").agg(F.hll_sketch_agg("r", F.lit(log2_size)).alias("sketch")))
-    size = -1.0
-    for _ in range(rounds):
+    size = None
+    for _ in range(links.select("src").distinct().count() + 1):  # no shortest path has more links than nodes with one
         moved = now.join(links, now["node"] == links["src"]).select(F.col("dst").alias("node"), "sketch")
         now = materialize(now.unionByName(moved).groupBy("node").agg(F.hll_union_agg("sketch").alias("sketch")))
-        total = now.agg(F.sum(F.hll_sketch_estimate("sketch"))).first()[0] or 0
-        if total <= size:
+        total = now.agg(F.count("*"), F.sum(F.hll_sketch_estimate("sketch"))).first()
+        if total == size:
             break
         size = total
     return now.select(F.col("node").alias("action_id"), F.hll_sketch_estimate("sketch").alias("repositories"))

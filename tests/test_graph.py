@@ -76,3 +76,10 @@ def test_expand_equals_single_branches(spark):
     rows = graph.expand(d, n).collect()
     got = {(r["consumer_repository"], r["workflow_path"], r["src_node_id"], r["dst_node_id"], r["depth"]): r["binding_downgrade"] for r in rows}
     assert max(k[4] for k in want) == 6 and got == want and len(rows) == len(want)
+
+
+def test_estimate_follows_deep_chains(spark):
+    w, names = "workflow::o/r1::a.yml", [f"n{i}" for i in range(54)]
+    rows = [(w, "n0", "workflow", "action", "o/r1", "a.yml"), *[(a, b, "action", "action", "o/r1", "a.yml") for a, b in pairwise(names)]]
+    est = {r["action_id"]: r["repositories"] for r in graph.downstream_estimate(spark.createDataFrame(rows, E).coalesce(1)).collect()}
+    assert est == dict.fromkeys(names, 1)

@@ -22,8 +22,8 @@ def ref_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Periods during which each tracked reference pointed to one sha."""
-    h = history.build_history(ref_states(spark, d), "action_id", "ts", "ingest_seq", ["sha"])
+    """Periods during which each tracked reference pointed to one sha, by merging the observations as periodic updates."""
+    h = history.build_history(ref_states(spark, d), "action_id", "ts", "ingest_seq", ["sha"], periods=history.PERIODS)
     return h.select("action_id", F.col("valid_from").alias("valid_from_us"), F.coalesce("valid_to", F.lit(-1)).cast("long").alias("valid_to_us"), "sha")
 
 

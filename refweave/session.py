@@ -40,12 +40,18 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written once below the shared folder and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
+    """``df`` written once below the shared folder and read back: cuts lineage, survives lost executors.
+
+    ``parts``: columns of few values; reading back by one of them touches its files only.
+    """
     spark = df.sparkSession
     path = f"{_own(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not parts:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

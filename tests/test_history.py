@@ -3,6 +3,7 @@
 import random
 
 from refweave.operators.history import build_history, merge_history
+from refweave.operators.slices import cut, widths
 from refweave.operators.snapshots import snapshot_changes, snapshot_intervals
 
 OBS = "k string, ts long, seq long, v string"
@@ -33,8 +34,25 @@ def sample(n, seed, keys="abc", span=400):
 
 def test_history_equals_brute_force_across_slices(spark):
     rows = sample(600, 1) + [("hot", i, 1000 + i, "xy"[i // 7 % 2]) for i in range(400)] + [(None, 1, 1, "x"), ("a", None, 2, "x")]
-    for width in (1, 10, 1000):
-        assert result(build_history(spark.createDataFrame(rows, OBS), "k", "ts", "seq", ["v"], width)) == brute(rows)
+    for most, periods in ((3, 1), (40, 3), (10_000, 5), (25, 1)):
+        assert result(build_history(spark.createDataFrame(rows, OBS), "k", "ts", "seq", ["v"], most, periods)) == brute(rows)
+
+
+def test_slices_hold_no_more_than_asked(spark):
+    """A burst: half of a hot key's rows within a hundredth of its time, and rows of one moment."""
+    rows = [("hot", i * 1000, i, "x") for i in range(300)] + [("hot", 150_000 + i, i, "x") for i in range(300)] + [("cold", i, i, "x") for i in range(20)]
+    df = spark.createDataFrame(rows + [("same", 5, i, "x") for i in range(60)], OBS)
+    plan = widths(df, "k", "ts", 50)
+    assert {r["k"] for r in plan.collect()} == {"hot", "same"}
+    held = {(r["k"], r["_slice"]): r["count"] for r in cut(df, "k", "ts", plan).groupBy("k", "_slice").count().collect()}
+    assert max(n for (k, _), n in held.items() if k != "same") <= 50 and widths(df, "k", "ts", 1000) is None
+
+
+def test_last_seen_of_open_versions(spark):
+    rows = [("a", 1, 1, "x"), ("a", 5, 2, "x"), ("b", 1, 1, "x"), ("b", 7, 2, "y")]
+    for periods in (1, 3):
+        h = build_history(spark.createDataFrame(rows, OBS), "k", "ts", "seq", ["v"], periods=periods)
+        assert {(r["k"], r["v"], r["last_seen"]) for r in h.collect()} == {("a", "x", 5), ("b", "x", None), ("b", "y", 7)}
 
 
 def test_history_edges(spark):

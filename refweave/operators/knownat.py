@@ -1,9 +1,13 @@
-"""Attributes as known at event time: path-copied persistent search trees per shard.
+"""Attributes as known at event time: path-copied persistent search trees per entity.
 
-A shard is a (key, time slice). Its versions enter a persistent treap in the order in which they became
-known; each insertion copies the path it changes and leaves a new root, so every earlier state of knowledge
-stays searchable. An event picks the last root known at its time and searches it for the greatest valid time
-not after its own. What a shard cannot answer is answered by the key's earlier shards.
+The versions of a key enter a persistent treap in the order in which they became known; each insertion copies
+the path it changes and leaves a new root, so every earlier state of knowledge stays searchable. An event picks
+the last root known at its time and searches it for the greatest valid time not after its own.
+
+Keys with many versions are cut into shards in time (slices from counts). A version belongs to the shard in which
+it is first both known and valid, an event to that of its time; of all versions of earlier shards only the one of
+the greatest valid time can be an answer, so it is carried into the shard as its first insertion. Every answer is
+thus one search from one root.
 """
 
 from __future__ import annotations
@@ -16,8 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refweave.operators.history import SLICE_US, slice_of
-from refweave.session import materialize
+from refweave.operators.slices import cut, widths
+
+#: Versions of one key that one tree may hold; keys with more are cut.
+MAX_SHARD = 50_000
 
 
 class PersistentTree:
@@ -88,50 +94,41 @@ class PersistentTree:
         return None if best < 0 else (self.key[best], self.value[best])
 
 
+ORDER = ["_key", "_slice", "_kind", "_known", "_valid", "_seq"]
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (_key, _slice, _kind, _known, _valid, _seq), versions (kind 0) before events (kind 1)."""
+    """Rows sorted by ORDER, versions (kind 0) before events (kind 1); one row per event with an answer."""
     shard, tree, waiting = None, None, []
     for batch in batches:
         keys, slices, kinds = (batch.column(c).to_pylist() for c in ("_key", "_slice", "_kind"))
         knowns, valids, seqs, values, payloads = (batch.column(c).to_pylist() for c in ("_known", "_valid", "_seq", "_value", "_event"))
-        out_key, out_slice, out_event, out_value, out_valid, out_hit, out_known = [], [], [], [], [], [], []
+        events, found, times = [], [], []
         for i, key in enumerate(keys):
             if (key, slices[i]) != shard:
                 shard, tree, waiting = (key, slices[i]), None, []
             if kinds[i] == 0:
-                waiting.append((knowns[i], (valids[i], seqs[i]), values[i]))
+                waiting.append((knowns[i], (valids[i], seqs[i] if seqs[i] is not None else -1), values[i]))
                 continue
             if waiting:  # the tree is grown only where an event asks
                 tree = tree or PersistentTree()
                 for version in waiting:
                     tree.insert(*version)
                 waiting = []
-            hit = tree.find(knowns[i], valids[i]) if tree else None
-            out_key.append(key)
-            out_slice.append(slices[i])
-            out_event.append(payloads[i])
-            out_value.append(hit[1] if hit else None)
-            out_valid.append(hit[0][0] if hit else valids[i])
-            out_hit.append(hit is not None)
-            out_known.append(knowns[i])
-        if out_key:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_key, pa.string()), pa.array(out_slice, pa.int64()), pa.array(out_event, pa.string()), pa.array(out_value, pa.string()),
-                 pa.array(out_valid, pa.int64()), pa.array(out_hit, pa.bool_()), pa.array(out_known, pa.int64())],
-                names=["_key", "_slice", "_event", "_value", "_valid", "_hit", "_known"],
-            )
-
-
-def _ask(versions: DataFrame, events: DataFrame) -> DataFrame:
-    left = versions.select("_key", "_slice", F.lit(0).alias("_kind"), "_known", "_valid", "_seq", "_value", F.lit(None).cast("string").alias("_event"))
-    right = events.select("_key", "_slice", F.lit(1).alias("_kind"), "_known", "_valid", F.lit(0).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_value"), "_event")
-    rows = left.unionByName(right).repartition("_key", "_slice").sortWithinPartitions("_key", "_slice", "_kind", "_known", "_valid", "_seq")
-    return rows.mapInArrow(_search, "_key string, _slice long, _event string, _value string, _valid long, _hit boolean, _known long")
+            if tree and (hit := tree.find(knowns[i], valids[i])):
+                events.append(payloads[i])
+                found.append(hit[1])
+                times.append(hit[0][0])
+        if events:
+            yield pa.RecordBatch.from_arrays([pa.array(events, pa.string()), pa.array(found, pa.string()), pa.array(times, pa.int64())], names=["_event", "_value", "_valid"])
+
+
+SCHEMA = "_event string, _value string, _valid long"
 
 
 def as_known_at(
     events: DataFrame, versions: DataFrame, key: str, event_time: str, valid_time: str, seq: str, value: str, event_id: str,
-    known_time: str | None = None, slice_us: int = SLICE_US,
+    known_time: str | None = None, most: int = MAX_SHARD,
 ) -> DataFrame:
     """For each event the ``value`` (string) valid at its time, as it was known at its time.
 
@@ -140,49 +137,26 @@ def as_known_at(
     and valid at or before its own time. Of versions with equal valid time the highest ``seq`` known then holds.
     Null keys, times or event ids match nothing; a null value is an answer like any other (filter before, where
     it says nothing). Repeated rows change nothing; empty tables give no rows; further columns are ignored.
+    Keys with more than ``most`` versions are cut, which changes no answer.
     """
     known_col = F.col(known_time or valid_time)
     base = versions.where(F.col(key).isNotNull() & F.col(valid_time).isNotNull() & known_col.isNotNull()).select(
-        F.col(key).alias("_key"), slice_of(F.col(valid_time), slice_us).alias("_slice"), known_col.cast("long").alias("_known"),
-        F.col(valid_time).cast("long").alias("_valid"), F.col(seq).cast("long").alias("_seq"), F.col(value).cast("string").alias("_value"),
+        F.col(key).alias("_key"), known_col.cast("long").alias("_known"), F.col(valid_time).cast("long").alias("_valid"), F.col(seq).cast("long").alias("_seq"),
+        F.col(value).cast("string").alias("_value"), F.greatest(known_col, F.col(valid_time)).cast("long").alias("_at"),
     )
     asked = events.where(F.col(key).isNotNull() & F.col(event_time).isNotNull() & F.col(event_id).isNotNull()).select(
-        F.col(key).alias("_key"), slice_of(F.col(event_time), slice_us).alias("_slice"), F.col(event_time).cast("long").alias("_known"),
-        F.col(event_time).cast("long").alias("_valid"), F.col(event_id).alias("_event"),
+        F.col(key).alias("_key"), F.col(event_time).cast("long").alias("_known"), F.col(event_time).cast("long").alias("_valid"), F.lit(0).cast("long").alias("_seq"),
+        F.lit(None).cast("string").alias("_value"), F.col(event_time).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.col(event_id).cast("string").alias("_event"),
     )
-    first = materialize(_ask(base, asked))
-    done = [first.where("_hit").select("_event", "_value", "_valid")]
-    open_ = first.where("not _hit")
-    k = W.partitionBy("_key").orderBy("_slice")
-    before = k.rowsBetween(W.unboundedPreceding, -1)
-    if known_time is None:
-        # Known when valid: the nearest earlier shard always answers, with its last version.
-        lasts = base.groupBy("_key", "_slice").agg(F.max(F.struct("_valid", "_seq", "_value")).alias("_last"))
-        wanted = open_.select("_key", "_slice").distinct()
-        carried = (
-            lasts.unionByName(wanted, allowMissingColumns=True)
-            .groupBy("_key", "_slice").agg(F.max("_last").alias("_last"), F.count("*").alias("_n"))
-            .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-            .where("_carry is not null")
-        )
-        done.append(open_.join(carried, ["_key", "_slice"]).select("_event", F.col("_carry._value").alias("_value"), F.col("_carry._valid").alias("_valid")))
-    else:
-        # Otherwise ask shard after shard, each time the next earlier one, until none is left to ask.
-        shards = materialize(base.select("_key", "_slice").distinct())
-        while True:
-            wanted = open_.select("_key", "_slice").distinct().withColumn("_ask", F.lit(True))
-            steps = (
-                shards.withColumn("_have", F.col("_slice")).join(wanted, ["_key", "_slice"], "full")
-                .withColumn("_earlier", F.last("_have", ignorenulls=True).over(before)).where("_ask and _earlier is not null")
-                .select("_key", "_slice", "_earlier")
-            )
-            moved = materialize(open_.join(steps, ["_key", "_slice"]).select("_key", F.col("_earlier").alias("_slice"), "_known", F.col("_known").alias("_valid"), "_event"))
-            if moved.isEmpty():
-                break
-            answered = materialize(_ask(base.join(moved.select("_key", "_slice").distinct(), ["_key", "_slice"], "left_semi"), moved))
-            done.append(answered.where("_hit").select("_event", "_value", "_valid"))
-            open_ = answered.where("not _hit")
-    out = done[0]
-    for part in done[1:]:
-        out = out.unionByName(part)
+    plan = widths(base, "_key", "_at", most)
+    rows = cut(base.withColumn("_kind", F.lit(0)).withColumn("_event", F.lit(None).cast("string")).unionByName(asked), "_key", "_at", plan)
+    if plan is not None:
+        # One row per shard of a cut key: the best version before it. Shards of events alone are there, too.
+        best = F.max(F.when(F.col("_kind") == 0, F.struct("_valid", "_seq", "_known", "_value")))
+        before = W.partitionBy("_key").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        carried = rows.where("_is_cut").groupBy("_key", "_slice").agg(best.alias("_best")).withColumn("_best", F.max("_best").over(before)).where("_best is not null")
+        carried = carried.select("_key", "_slice", "_best.*", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_event"))
+        rows = rows.drop("_at", "_is_cut").unionByName(carried)
+    rows = rows.select(*ORDER, "_value", "_event").repartition("_key", "_slice").sortWithinPartitions(*ORDER)
+    out = rows.mapInArrow(_search, SCHEMA)
     return out.select(F.col("_event").alias(event_id), F.col("_value").alias(value), F.col("_valid").alias(valid_time))

@@ -46,8 +46,8 @@ def check(spark, bitemporal):
         events.append((f"e{i}", rng.choice("abhz"), rng.randrange(-5, 330)))
     events += [("n1", None, 5), ("n2", "a", None)]
     df, ev = spark.createDataFrame(versions, V), spark.createDataFrame(events, "id string, k string, at long")
-    for width in (7, 100_000):
-        hits = as_known_at(ev, df, "k", "at", "valid", "seq", "v", "id", "known" if bitemporal else None, width)
+    for most in (20, 100_000):
+        hits = as_known_at(ev, df, "k", "at", "valid", "seq", "v", "id", "known" if bitemporal else None, most)
         got = {r["id"]: r["v"] for r in hits.collect()}
         want = {}
         for e, k, at in events:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from refweave.functions.text import WHITE_SPACE, clean_sha, micros, stable_id
+from refweave.functions.text import WHITE_SPACE, clean_sha, filled, micros, stable_id
 from refweave.operators import history, representatives, snapshots
 from refweave.operators.hierarchy import hierarchies
 from refweave.operators.knownat import as_known_at
@@ -57,35 +57,40 @@ REPOSITORY_FIELDS = ["organization", "default_branch", "html_url"]
 ACTION_FIELDS = ["resolved_sha", "marketplace_category", "source_repository_id", "author_verified"]
 
 
-def _votes(spark: SparkSession, d: str, name: str, key: str, at: str, fields: list[str], recent_first: bool) -> DataFrame:
-    t = table(spark, d, name)
-    dated = F.col(at).isNotNull() & (F.col(at) < F.lit(CUTOFF).cast("timestamp_ntz"))
-    # Undated rows are on equal terms with each other and older than all dated ones.
-    tier = F.struct(dated.alias("dated"), F.when(dated, micros(at)).otherwise(F.lit(0)).alias("at"), F.col("ingest_seq")) if recent_first else F.lit(0)
-    full = sum((F.coalesce(F.col(f).cast("string"), F.lit("")) != "").cast("int") for f in fields)
-    source = F.concat_ws("/", F.when(dated, "dated").otherwise("undated"), full.cast("string"))
-    return representatives.claims(t, F.col(key), {f: F.col(f) for f in fields}, source, tier, F.col("ingest_seq"))
+#: What is known of the classes beforehand, as counts (right, all): the latest row is mostly right, of the others nothing is known.
+RECENCY = {representatives.LATEST: (9.0, 10.0), "dated": (1.0, 2.0), "undated": (1.0, 2.0)}
+
+
+def _dated(at: str) -> Column:
+    return F.col(at).isNotNull() & (F.col(at) < F.lit(CUTOFF).cast("timestamp_ntz"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    """Which row each surviving field comes from; recency decides before votes.
+    """Which row each surviving field comes from: recency classes are the sources whose reliability is learnt.
 
-    Both tables' votes go through one truth discovery, their groups and sources kept apart by a prefix.
+    The latest row of a group, its dated and its undated rows name one value each; how far each class is to be
+    believed is learnt from how often its values win. Times that cannot be right count as none.
     """
-    both = [("repository", ("repositories", "repo_id", "collected_at", REPOSITORY_FIELDS)), ("action", ("actions", "action_id", "discovered_at", ACTION_FIELDS))]
-    parts = [
-        _votes(spark, d, *args, True).withColumns({c: F.concat(F.lit(f"{entity}|"), c) for c in ("group_key", "source")}) for entity, args in both
+    tables = [("repository", "repositories", "repo_id", "collected_at", REPOSITORY_FIELDS), ("action", "actions", "action_id", "discovered_at", ACTION_FIELDS)]
+    votes = [
+        representatives.claims(
+            table(spark, d, name), F.col(key), {f: F.col(f) for f in fields}, F.when(_dated(at), micros(at)), F.col("ingest_seq"), {"dated": _dated(at), "undated": ~_dated(at)}, family
+        )
+        for family, name, key, at, fields in tables
     ]
-    t = representatives.discover(parts[0].unionByName(parts[1])).truths
-    return t.select(
-        F.substring_index("group_key", "|", 1).alias("entity"), F.expr("substring(group_key, instr(group_key, '|') + 1)").alias("group_key"), F.col("field").alias("field_name"), "from_seq"
-    )
+    t = representatives.discover(votes[0].unionByName(votes[1]), RECENCY).truths
+    return t.select(F.col("family").alias("entity"), "group_key", F.col("field").alias("field_name"), "from_seq")
 
 
 def p4_survivors(spark: SparkSession, d: str) -> DataFrame:
-    """The surviving action records by plain truth discovery: the values of the highest support."""
-    votes = _votes(spark, d, "actions", "action_id", "discovered_at", ACTION_FIELDS, False)
-    return representatives.survivors(representatives.discover(votes).truths, ACTION_FIELDS)
+    """The surviving action records where completeness, not recency, makes the classes: dated and undated rows that fill few, some or all fields."""
+    t, fields = table(spark, d, "actions"), {f: F.col(f) for f in ACTION_FIELDS}
+    n = sum(filled(c).cast("int") for c in fields.values())
+    level = F.when(n >= 4, "all").when(n >= 2, "some").otherwise("few")
+    classes = {f"{when}_{k}": (_dated("discovered_at") == F.lit(when == "dated")) & (level == k) for k in ("all", "some", "few") for when in ("dated", "undated")}
+    votes = representatives.claims(t, F.col("action_id"), fields, F.when(_dated("discovered_at"), micros("discovered_at")), F.col("ingest_seq"), classes)
+    truths = representatives.discover(votes, {k: (4.0, 5.0) for k in classes}).truths
+    return representatives.survivors(truths, t, F.col("action_id"), fields, F.col("ingest_seq"))
 
 
 def _hierarchies(spark: SparkSession, d: str) -> DataFrame:

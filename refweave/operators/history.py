@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from refweave.operators.slices import cut, widths
+from refweave.operators.slices import counts_by_bucket, cut, widths
 from refweave.session import materialize
 
 DAY_US = 86_400_000_000
@@ -41,9 +41,10 @@ def _versions(obs: DataFrame, key: str, ts: str, seq: str, attrs: list[str], mos
     """
     rows = obs.select(F.col(key).alias("_key"), F.col(ts).cast("long").alias("_ts"), F.col(seq).alias("_seq"), F.struct(*[F.col(a) for a in attrs]).alias("_attrs"))
     rows = rows.where("_key is not null and _ts is not null")
-    plan = widths(rows, "_key", "_ts", most)
+    buckets = counts_by_bucket(rows, "_key", "_ts")
+    plan = widths(rows, "_key", "_ts", most, buckets)
     if periods > 1:
-        lo, hi = (float(x or 0) for x in rows.agg(F.min("_ts"), F.max("_ts")).first())
+        lo, hi = float(min((b[2] for b in buckets), default=0)), float(max((b[3] for b in buckets), default=0))
         rows = rows.withColumn("_period", F.least(F.lit(periods - 1), F.floor((F.col("_ts") - F.lit(lo)) / F.lit((hi - lo + 1) / periods))).cast("int"))
     else:
         rows = rows.withColumn("_period", F.lit(0))

@@ -8,19 +8,25 @@ from pyspark.sql import functions as F
 from refweave.session import materialize
 
 #: Hash buckets of the first count. A bucket within the bound holds no hot key, whatever its keys are.
-BUCKETS = 65_536
+BUCKETS = 16_384
 
 
-def widths(rows: DataFrame, key: str, ts: str, most: int) -> DataFrame | None:
+def counts_by_bucket(rows: DataFrame, key: str, ts: str) -> list[tuple]:
+    """(bucket, rows, least and greatest ``ts``) of at most BUCKETS buckets, in one pass."""
+    per = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")).agg(F.count("*").alias("n"), F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    return [tuple(r) for r in per.collect()]  # at most BUCKETS rows
+
+
+def widths(rows: DataFrame, key: str, ts: str, most: int, buckets: list[tuple] | None = None) -> DataFrame | None:
     """(key, _width) of the keys with more than ``most`` rows: slices of that width in ``ts`` have at most ``most``.
 
-    None if there is no such key. Rows are counted by bucket of the key first, which leaves one row per bucket
+    ``buckets``: as of counts_by_bucket, if it has been asked for before. None if there is no such key. Rows are counted by bucket of the key first, which leaves one row per bucket
     and task; only the keys of heavy buckets are then counted one by one. Widths are narrowed until the rows of
     every slice have been counted within the bound, or the width is one (rows of equal time). There are at
     most rows / ``most`` keys in the result.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS))
-    heavy = [r["_b"] for r in rows.groupBy(bucket.alias("_b")).count().where(F.col("count") > most).select("_b").collect()]  # at most BUCKETS numbers
+    heavy = [b for b, n, *_ in (counts_by_bucket(rows, key, ts) if buckets is None else buckets) if n > most]
     if not heavy:
         return None
     held = rows.select(key, ts)

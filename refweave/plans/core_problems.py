@@ -58,7 +58,8 @@ ACTION_FIELDS = ["resolved_sha", "marketplace_category", "source_repository_id",
 
 
 #: What is known of the classes beforehand, as counts (right, all): the latest row is mostly right, of the others nothing is known.
-RECENCY = {representatives.LATEST: (9.0, 10.0), "dated": (1.0, 2.0), "undated": (1.0, 2.0)}
+#: On equal support the class listed first wins, so that the latest row wins by its reliability alone.
+RECENCY = {"dated": (1.0, 2.0), "undated": (1.0, 2.0), representatives.LATEST: (9.0, 10.0)}
 
 
 def _dated(at: str) -> Column:

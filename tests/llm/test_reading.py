@@ -1,5 +1,7 @@
 """Prose is told from other text; levels follow the rated examples."""
 
+import numpy as np
+
 from refweave.llm import reading
 
 EASY = ["you can click on the red box", "wait a bit and then look at it", "ask a friend if you get stuck", "put it in the list and you are done", "do it once more to be sure"]
@@ -15,7 +17,18 @@ def test_what_is_prose():
     ]
     assert [reading.sentences(t) for t in none] == [[]] * len(none)
     assert reading.sentences("# x\n\nCaching is optional. See `a b c d`. Öffne zuerst die Datei!") == ["caching is optional", "öffne zuerst die datei"]
-    assert len(reading.sentences("word " * 10_000)) == 125
+    whole = reading.sentences("word " * 10_000)
+    assert len(whole) == 1 and whole[0].count("word") == 10_000
+
+
+def test_no_word_of_a_long_sentence_is_lost():
+    """On each side of the size of a piece: all words are there, in pieces of nearly equal size that keep the sentence's length."""
+    import pyarrow as pa
+
+    for n in (79, 80, 81, 82, 159, 160, 161, 10_001):
+        assert sum(reading.pieces_of(n)) == n and max(reading.pieces_of(n)) - min(reading.pieces_of(n)) <= 1 and max(reading.pieces_of(n)) <= 80
+        out = next(reading._cut([pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["wort " * n]})])).to_pylist()[0]
+        assert len(out["ids"]) == n == sum(out["sizes"]) and set(out["lengths"]) == {n}
 
 
 def test_formula_and_documents(spark):
@@ -52,14 +65,58 @@ def test_held_out_ratings(spark):
     assert len(held) > 20 and sum(r["level"] == r["reading_level"] for r in held) / len(held) > 0.75
 
 
+def arrays(texts, level=None):
+    import pyarrow as pa
+
+    cut = next(reading._cut([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})]))
+    return cut if level is None else pa.RecordBatch.from_arrays([*cut.columns, pa.array(level, pa.int32())], names=[*cut.schema.names, "level"])
+
+
+def brute_counts(texts, level):
+    """Document frequencies word by word."""
+    out = {}
+    for t, k in zip(texts, level):
+        words = {reading.word_id(w) for s in reading.sentences(t) for w in s.split()}
+        for w in words:
+            for x in {0, k or 0}:
+                out[w, x] = out.get((w, x), 0) + 1
+    return out
+
+
+def test_counts_and_features_equal_brute_force():
+    texts = ["the cat sat on the mat. dogs run far away today!", "the cat sat quietly. the the the", "antecedent typologies apprehend " * 40, "the cat sat"]
+    level = [1, None, 4, 1]
+    got = {}
+    for b in reading._count_words([arrays(texts, level)]):
+        for r in b.to_pylist():
+            if r["id"] is not None:
+                got[r["id"], r["level"]] = got.get((r["id"], r["level"]), 0) + r["n"]
+    assert got == brute_counts(texts, level)
+    words = sorted({reading.word_id(w) for w in "the cat sat antecedent".split()})
+    grades = [4 if w == reading.word_id("antecedent") else 1 for w in words]
+    f = reading.Formula(np.array(words), np.array(grades, np.int8), np.array([w == reading.word_id("the") for w in words]), 0)
+    b = reading.Batch(arrays(texts))
+    x, known = f.features(b, *f.place(b))
+    assert known.tolist() == [True, False, True, True, True, True, True] and b.doc.tolist() == [0, 0, 1, 1, 2, 2, 3]
+    assert np.allclose(x[0][:, 0], [0, 0, 0, 0, 1, 1, 0]) and np.allclose(x[0][:, 1], [1 - 2 / 6, 1, 3 / 4, 0, 1, 1, 2 / 3])
+    assert np.allclose(np.exp(x[0][:, 2]), [6, 5, 4, 3, 120, 120, 3]) and np.allclose(np.exp(x[0][:, 3]), [5.5, 5.5, 3.5, 3.5, 120, 120, 3])
+
+
 def test_words_beyond_the_list_are_outside_it(spark, monkeypatch):
-    easy, hard = ["the cat sat on the mat"] * 3, ["the cat sat quixotically perspicacious ontological"]
-    rows = spark.createDataFrame([(easy, 1), (easy, 1), (hard, 4)], "sentences array<string>, level int")
-    grades, rest = reading._frequencies(rows, None)
-    assert len(grades) == 8 and rest is None and grades["ontological"] == 4
-    whole = reading.Formula(grades).shares("cat ontological perspicacious")[:3]
-    monkeypatch.setattr(reading, "MAX_WORDS", 5)
-    grades, rest = reading._frequencies(rows, None)
-    short = reading.Formula(grades, rest=rest)
-    assert len(grades) == 5 and "ontological" not in grades and short.shares("cat ontological perspicacious")[:3] == whole
-    assert short.level("ontological perspicacious quixotically") == short.document(["ontological perspicacious quixotically"]) == 4
+    easy, hard = "the cat sat on the mat", "the cat sat quixotically perspicacious ontological"
+    docs = spark.createDataFrame([(i, easy) for i in range(8)] + [(i, hard) for i in range(8, 12)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, "r", 1 if i < 8 else 4, 1) for i in range(12)], "doc_id long, rater string, reading_level int, at int").selectExpr("doc_id", "rater", "reading_level", "timestamp_seconds(at) as rated_at")
+    for most, n in ((100, 8), (5, 5)):
+        monkeypatch.setattr(reading, "MAX_WORDS", most)
+        found = reading.materialize(reading.prose(docs))
+        f = reading.fit_formula(found, ratings)
+        assert len(f.words) == n and f.rest == (0 if n == 8 else 4)
+        rare = reading.Batch(arrays(["ontological perspicacious quixotically", easy]))
+        assert f.documents(rare).tolist() == [4, 1]
+
+
+def test_long_and_odd_texts(spark):
+    docs = [(1, "cat sat mat " * 40_000), (2, "\ud800".encode("utf-8", "surrogatepass").decode("utf-8", "replace") + " ein zwei drei"), (3, "ı İ ß ﬁ ά " * 3), (None, "one two three four")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, rater string, reading_level int, rated_at timestamp")
+    assert {tuple(r) for r in reading.reading_levels(d, none).collect()} == {(1, 2), (2, 2), (3, 2), (None, 2)}

@@ -2,13 +2,12 @@
 
 Links are grouped into scopes (here: one workflow's dependency graph). Per scope: nearest roots by levels,
 subtree sizes upward, sibling preorder ranges by prefix sums downward; a node's descendants are then a range.
-Peeling leaves upward leaves the nodes that reach a loop unprocessed; only for those are ranges joined along
-the links outside the tree.
+Peeling leaves upward leaves the nodes that reach a loop unprocessed; loops are then one node each, and where links
+lead out of a subtree, ranges are joined along the links, each link once.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,9 +53,18 @@ def nested_sets(links: list[tuple[int, int]], n: int) -> dict[str, list]:
 
     spread([v for v in range(n) if not up[v]])
     rooted = len(order)
-    for v in range(n):  # loops without a root get ranges too, from their smallest node
-        if depth[v] < 0:
-            spread([v])
+    # Loops without a root get ranges too, from the nodes that no smaller such node reaches.
+    starts, marked = [], [d >= 0 for d in depth]
+    for v in range(n):
+        if not marked[v]:
+            starts.append(v)
+            marked[v], todo = True, [v]
+            for x in todo:
+                for c in down[x]:
+                    if not marked[c]:
+                        marked[c] = True
+                        todo.append(c)
+    spread(starts)
     size = [1] * n
     children: list[list[int]] = [[] for _ in range(n)]
     for v in reversed(order):
@@ -80,50 +88,115 @@ def nested_sets(links: list[tuple[int, int]], n: int) -> dict[str, list]:
             left[p] -= 1
             if not left[p]:
                 bare.append(p)
-    extra = sorted((start[a], start[b], end[b]) for a, b in links if parent[b] != a)
-    at_extra = [x[0] for x in extra]
-    # Lowest and highest preorder that links outside the tree lead to from a subtree.
+    # Lowest and highest preorder that links lead to from a subtree: where neither lies outside, the range is the answer.
     low, high = start[:], end[:]
-    by_start = {start[v]: v for v in range(n)}
-    for s, t, e in extra:
-        v = by_start[s]
-        low[v], high[v] = min(low[v], t), max(high[v], e)
+    for v, c in links:
+        low[v], high[v] = min(low[v], start[c]), max(high[v], end[c])
     for v in reversed(order):
         p = parent[v]
         if p >= 0:
             low[p], high[p] = min(low[p], low[v]), max(high[p], high[v])
+    closed = [low[v] >= start[v] and high[v] <= end[v] for v in range(n)]
+    parts = [[v] for v in bare] + _components(down, [v for v in range(n) if left[v]])
+    part = [0] * n
+    for i, members in enumerate(parts):
+        for v in members:
+            part[v] = i
     reached, loop = [0] * n, [False] * n
-    for v in range(n):
-        if low[v] >= start[v] and high[v] <= end[v]:
-            ranges = [(start[v], end[v])]
-        else:
-            ranges = _closure((start[v], end[v]), extra, at_extra)
-        reached[v] = sum(b - a for a, b in ranges) - 1
-        if left[v]:
-            loop[v] = any(_within(ranges, start[u]) for u in up[v])
+    for members, size_of in zip(parts, _reach(parts, part, down, parent, start, end, closed)):
+        for v in members:
+            reached[v] = size_of - 1
+            loop[v] = bool(left[v]) and (len(members) > 1 or v in down[v])
     for v in order[rooted:]:
         root[v] = depth[v] = -1
     return {"root": root, "depth": depth, "parent": parent, "start": start, "end": end, "reached": reached, "loop": loop}
 
 
-def _within(ranges: list[tuple[int, int]], x: int) -> bool:
-    i = bisect_right(ranges, (x, 1 << 62)) - 1
-    return i >= 0 and ranges[i][0] <= x < ranges[i][1]
-
-
-def _closure(first: tuple[int, int], extra: list[tuple[int, int, int]], at_extra: list[int]) -> list[tuple[int, int]]:
-    """The disjoint ranges reached from a range along links outside the tree. Ranges are nested or apart."""
-    ranges, todo = [first], [first]
-    while todo:
-        a, b = todo.pop()
-        for i in range(bisect_right(at_extra, a - 1), len(extra)):
-            s, t, e = extra[i]
-            if s >= b:
-                break
-            if not _within(ranges, t):
-                ranges = sorted([r for r in ranges if not (t <= r[0] and r[1] <= e)] + [(t, e)])
-                todo.append((t, e))
-    return ranges
+def _components(down: list[list[int]], nodes: list[int]) -> list[list[int]]:
+    """The loops among the nodes that peeling left, and the single nodes between them, each after all it leads to."""
+    inside = set(nodes)
+    number: dict[int, int] = {}
+    lowest: dict[int, int] = {}
+    done: set[int] = set()
+    stack: list[int] = []
+    out: list[list[int]] = []
+    for first in nodes:
+        if first in number:
+            continue
+        walk = [(first, 0)]
+        while walk:
+            v, i = walk.pop()
+            if i == 0:
+                number[v] = lowest[v] = len(number)
+                stack.append(v)
+            nxt = down[v]
+            while i < len(nxt):
+                c = nxt[i]
+                i += 1
+                if c not in inside or c in done:
+                    continue
+                if c not in number:
+                    walk += [(v, i), (c, 0)]
+                    break
+                lowest[v] = min(lowest[v], number[c])
+            else:
+                if lowest[v] == number[v]:
+                    members = []
+                    while True:
+                        members.append(stack.pop())
+                        done.add(members[-1])
+                        if members[-1] == v:
+                            break
+                    out.append(members)
+                if walk:
+                    above = walk[-1][0]
+                    lowest[above] = min(lowest[above], lowest[v])
+    return out
+
+
+#: Preorder positions handled at once where ranges are joined; bounds the memory at this many bits per node.
+BLOCK = 8192
+
+
+def _reach(parts: list[list[int]], part: list[int], down: list[list[int]], parent: list[int], start: list[int], end: list[int], closed: list[bool]) -> list[int]:
+    """How many nodes each part reaches, itself included. ``parts`` come after all they lead to.
+
+    A part with a closed node reaches that node's range. Of the others the ranges of their nodes and what is
+    reached along their links are joined, once per link and block of positions, as bits of whole numbers.
+    """
+    own: list[tuple[int, int] | None] = []
+    for members in parts:
+        own.append(next(((start[v], end[v]) for v in members if closed[v]), None))
+    total = [0 if r is None else r[1] - r[0] for r in own]
+    plan = []  # of each open part the ranges it reaches at once and the open parts it leads to
+    for i, members in enumerate(parts):
+        if own[i] is None:
+            ranges, others = [(start[v], end[v]) for v in members], set()
+            for v in members:
+                for c in down[v]:
+                    j = part[c]
+                    if j == i:
+                        continue
+                    if own[j] is None:
+                        others.add(j)
+                    elif parent[c] != v or own[j] != (start[c], end[c]):
+                        ranges.append(own[j])
+            plan.append((i, ranges, others))
+    if not plan:
+        return total
+    for at in range(0, len(part), BLOCK):
+        bits: dict[int, int] = {}
+        for i, ranges, others in plan:
+            x = 0
+            for a, b in ranges:
+                a, b = max(a - at, 0), min(b - at, BLOCK)
+                if a < b:
+                    x |= ((1 << b - a) - 1) << a
+            for j in others:
+                x |= bits[j]
+            bits[i] = x
+            total[i] += x.bit_count()
+    return total
 
 
 SCHEMA = (
@@ -248,16 +321,25 @@ def solve_large(links: DataFrame) -> DataFrame:
     up = tree.select("scope", "node", "parent", "depth")
 
     def upward(start: DataFrame, values: list[str], merge) -> DataFrame:
-        """Combines (scope, node, values) of children into their parents, deepest level first."""
-        now = materialize(start)
-        for level in range(deepest, 0, -1):
-            sent = now.join(up.where(F.col("depth") == level), ["scope", "node"]).select("scope", F.col("parent").alias("node"), *values)
-            now = materialize(now.unionByName(sent).groupBy("scope", "node").agg(*[merge(v).alias(v) for v in values]))
-        return now
+        """Combines (scope, node, values) of children into their parents, deepest level first; each level touches its own nodes."""
+        levels = materialize(start.join(up, ["scope", "node"]).select("scope", "node", "parent", *values, "depth"), ["depth"])
+        done, below = [], None
+        for level in range(deepest, -1, -1):
+            now = levels.where(F.col("depth") == level).drop("depth")
+            if below is not None:
+                sent = below.where("parent is not null").select("scope", F.col("parent").alias("node"), F.lit(None).cast("string").alias("parent"), *values)
+                now = now.unionByName(sent).groupBy("scope", "node").agg(F.max("parent").alias("parent"), *[merge(v).alias(v) for v in values])
+            below = materialize(now)
+            done.append(below.drop("parent"))
+        out = done[0]
+        for part in done[1:]:
+            out = out.unionByName(part)
+        return materialize(out)
 
     size = upward(nodes.withColumn("size", F.lit(1).cast("long")), ["size"], lambda v: F.sum(v))
     sized = tree.join(size, ["scope", "node"]).withColumn("family", F.coalesce("parent", F.lit("")))
-    order = ranked(sized.select("scope", "family", "node", "size"), "size", [], by=["scope", "family", "node"])
+    sized = sized.withColumn("loose", ~F.col("real"))  # real roots come before the starts of loops
+    order = ranked(sized.select("scope", "family", "loose", "node", "size"), "size", [], by=["scope", "family", "loose", "node"])
     order = materialize(order.select("scope", "family", "node", (F.col("running") - F.col("size")).alias("before")))
     first = order.groupBy("scope", "family").agg(F.min("before").alias("base"))
     offset = materialize(sized.join(order, ["scope", "family", "node"]).join(first, ["scope", "family"]).select("scope", "node", "parent", "depth", "size", (F.col("before") - F.col("base")).alias("offset")))

@@ -58,7 +58,10 @@ _HEAD = re.compile(r"^[ \t>]*(?:[-*+][ \t]+|\d+[.)][ \t]+)*(?:#{1,6}[ \t]+\S+(?=
 _TICKS = re.compile(r"`[^`\n]*`")
 _CODE = regex.compile(r"[/_=<>{}|\\@`]|\w[.]\w|\p{L}\p{Ll}\p{Lu}|\b[0-9a-f]*\d[0-9a-f]{6,}\b")
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*(?:['’\-]\p{L}[\p{L}\p{M}]*)*")
-_STOP = regex.compile(r"(?<=[.!?;:。！？])[\s)\"'»”]+|\n[ \t]*\n|\n(?=[ \t>]*(?:[-*+]|\d+[.)]|#)[ \t])")
+#: What a match of _NO_PROSE must hold, for texts that hold none of it.
+_LOG_WORDS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR", "FATAL")
+_LONG_HEX = re.compile(r"[0-9a-fA-F]{32}")
+_STOP = re.compile(r"(?<=[.!?;:。！？])[\s)\"'»”]+|\n[ \t]*\n|\n(?=[ \t>]*(?:[-*+]|\d+[.)]|#)[ \t])")
 
 
 @lru_cache(200_000)
@@ -79,13 +82,15 @@ def _ids(token: str) -> tuple[int, ...]:
 def _sentences(text: str | None, words) -> list[list]:
     if not text:
         return []
-    text = _NO_PROSE.sub("\n\n", _FENCE.sub("\n\n", text.replace("\r\n", "\n")))
+    text = _FENCE.sub("\n\n", text.replace("\r\n", "\n"))
+    if "|" in text or "+" in text or "sha" in text or any(w in text for w in _LOG_WORDS) or _LONG_HEX.search(text):
+        text = _NO_PROSE.sub("\n\n", text)
     found = []
     for piece in _STOP.split(text):
-        if "`" in piece:
-            piece = _TICKS.sub(" ", _HEAD.sub(" ", piece))
-        else:
+        if "#" in piece or ">" in piece:  # other list marks hold no words
             piece = _HEAD.sub(" ", piece)
+        if "`" in piece:
+            piece = _TICKS.sub(" ", piece)
         sentence = [w for token in piece.split() for w in words(token)]
         if len(sentence) >= MIN_WORDS:
             found.append(sentence)
@@ -175,7 +180,7 @@ class Formula:
         some = np.maximum(known, 1)
         unfamiliar = 1 - b.count(hit & self.frequent[at] if len(self.words) else none) / np.maximum(b.size, 1)
         average = b.per_document(b.size) / np.maximum(b.per_document(b.size / b.length), 1e-9)
-        both = [unfamiliar, np.log(b.length), np.log(average)[b.doc]]
+        both = [unfamiliar, np.log(b.length), np.log(np.maximum(average, 1))[b.doc]]
         return np.stack([np.stack([b.count(g > k) / some, *both], 1) for k in range(1, LEVELS)]), known > 0
 
     def levels(self, b: Batch, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
@@ -229,8 +234,17 @@ def _emit(ids: np.ndarray, level: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 def _per_level(doc: np.ndarray, level: np.ndarray, word: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, level, documents that hold the word at the level)."""
-    cells = np.unique((doc * (LEVELS + 1) + level) * width + word)
-    per = np.bincount(cells % ((LEVELS + 1) * width), minlength=0)
+    cells = (LEVELS + 1) * width
+    cell = level * width + word
+    if len(doc) == 0 or (doc[-1] + 1) * cells > 256 * len(doc):  # few words for so wide a list: sort them
+        per = np.bincount(np.unique(doc * cells + cell) % cells)
+    else:  # mark them, so many documents at a time as fit in 64 MB
+        per, step = np.zeros(cells, np.int64), max(1, (64 << 20) // cells)
+        for first in range(0, int(doc[-1]) + 1, step):
+            a, b = np.searchsorted(doc, [first, first + step])
+            marks = np.zeros((step, cells), bool)
+            marks[doc[a:b] - first, cell[a:b]] = True
+            per += np.count_nonzero(marks, axis=0)
     at = np.flatnonzero(per)
     return at % width, at // width, per[at]
 

@@ -12,6 +12,8 @@ import base64
 import binascii
 import json
 import re
+import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -91,6 +93,12 @@ _REFERENCE = re.compile(
 _VERSION = re.compile(r"^v?\d+(?:\.[\dx]+)+(?:[-+].*)?$|^\d{4}-\d\d-\d\d")
 
 
+#: An escape of the languages read here, as one piece.
+_ESCAPE = re.compile(r"\\(?:(?P<hex>x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})|N\{[^}\n]*\}|(?P<octal>[0-3][0-7]{2})|[0-7]{1,2}|\r\n|[\s\S])")
+#: What placeholder() leaves.
+_NOTHING = re.compile(r"(?i)[x0\W_]+|[a0\W_]+")
+
+
 class Found(NamedTuple):
     """start: where the secret begins; spans: what to redact, several for a secret in pieces; rule: what matched."""
 
@@ -123,7 +131,7 @@ def is_secret_name(name: str) -> bool:
 
 def is_literal(value: str) -> bool:
     """No placeholder, no reference to a value kept elsewhere."""
-    return bool(value) and not _PLACEHOLDER.search(value) and not _REFERENCE.search(value)
+    return bool(value) and not _PLACEHOLDER.search(value) and not _REFERENCE.search(value) and not _NOTHING.fullmatch(_ESCAPE.sub("", value) if "\\" in value else value)
 
 
 def is_usable(value: str, least: int = 8, stated: bool = False) -> bool:
@@ -213,9 +221,15 @@ def find(content: str | None, path: str = "") -> list[Found]:
     found: dict[int, Found] = {}
     covered: list[tuple[int, int]] = []
 
+    def free(s: int, e: int) -> bool:
+        """Whether no span kept so far meets (s, e); the kept ones are sorted and apart."""
+        i = bisect_left(covered, (s, s))
+        return not (i < len(covered) and covered[i][0] < e) and not (i and covered[i - 1][1] > s)
+
     def add(start: int, spans: list[tuple[int, int]], rule: str) -> None:
-        if all(not (a < e and s < b) for s, e in spans for a, b in covered):
-            covered.extend(spans)
+        if all(free(s, e) for s, e in spans):
+            for span in spans:
+                insort(covered, span)
             found[start] = Found(start, tuple(spans), rule)
 
     literal: dict[str, tuple[str, int, int]] = {}  # what a name was last set to, for secrets in pieces
@@ -279,9 +293,43 @@ def find(content: str | None, path: str = "") -> list[Found]:
     return [found[k] for k in sorted(found)]
 
 
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_BASE32 = re.compile(r"(?=[A-Z]*[2-7])[A-Z2-7]{16,}=*")
+_PADDED = re.compile(r"[A-Za-z0-9+/]{2,}={1,2}")
+
+
 def placeholder(text: str) -> str:
-    """The same length and kinds of characters, saying nothing."""
-    return re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", text))
+    """The same length and alphabet, saying nothing.
+
+    Hexadecimal stays hexadecimal (a, A and 0), base32 and padded base64 become A, all else keeps the kind of each
+    character (x, X, 0; what is no letter or digit stays).
+    """
+    if _BASE32.fullmatch(text) or (_PADDED.fullmatch(text) and len(text) % 4 == 0):
+        return "A" * len(text.rstrip("=")) + "=" * (len(text) - len(text.rstrip("=")))
+    plain = re.sub(r"[\W_]", "", text)
+    low = "a" if _HEX.fullmatch(plain) and len(plain) >= 8 else "x"
+    return re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda m: low.upper() if m[0].isupper() else low, text))
+
+
+def _blank(secret: str, cut: int) -> str:
+    """A span without what it said: escapes stay escapes (their codes become that of A), ``cut`` characters at its start belong to one."""
+    out, at = [secret[:cut]], cut
+    pieces = [m for m in _ESCAPE.finditer(secret, cut)]
+    plain = placeholder("".join(secret[a:b] for a, b in zip([cut, *(m.end() for m in pieces)], [*(m.start() for m in pieces), len(secret)])))
+    used = 0
+    for m in pieces:
+        n = m.start() - at
+        out.append(plain[used : used + n])
+        used += n
+        if m["hex"]:
+            out.append("\\" + m["hex"][0] + "41".rjust(len(m["hex"]) - 1, "0"))
+        else:
+            out.append("\\101" if m["octal"] else m[0])
+        at = m.end()
+    return "".join([*out, plain[used:]])
+
+
+_MARKS = re.compile(r"-----(?:BEGIN|END)[^-\n]*-----")
 
 
 def redact(content: str | None, found: list[Found]) -> str | None:
@@ -292,19 +340,47 @@ def redact(content: str | None, found: list[Found]) -> str | None:
     for s, e in sorted(span for f in found for span in f.spans):
         out.append(content[at:s])
         secret = content[s:e]
+        before = len(content[:s]) - len(content[:s].rstrip("\\")) if content[s - 1 : s] == "\\" else 0
+        cut = len(m[0]) - 1 if before % 2 and (m := _ESCAPE.match(content, s - 1)) else 0
         if secret.startswith("-----BEGIN"):
-            out.append(re.sub(r"(-----(?:BEGIN|END)[^-]*-----)|(\\[nrt])|([^\W_])", lambda m: m[1] or m[2] or placeholder(m[3]), secret))
+            last = 0
+            for m in _MARKS.finditer(secret):
+                out += [_blank_lines(secret[last : m.start()]), m[0]]
+                last = m.end()
+            out.append(_blank_lines(secret[last:]))
         else:
-            out.append(placeholder(secret))
+            out.append(_blank(secret, min(cut, len(secret))))
         at = e
     return "".join([*out, content[at:]])
 
 
+def _blank_lines(body: str) -> str:
+    """A key's body: each line's material on its own, what ends lines stays."""
+    return re.sub(r"((?:\\(?:[xuU][0-9A-Fa-f]+|[\s\S]))+)|([^\W_]+)", lambda m: _blank(m[1], 0) if m[1] else re.sub(r"\d", "0", re.sub(r"[^\W\d_]", lambda c: "X" if c[0].isupper() else "x", m[2])), body)
+
+
+_BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def checksum_ok(rule: str, value: str) -> bool | None:
+    """Whether a token's own checksum is right; None for issuers that publish none.
+
+    The last six characters of these tokens are the CRC-32 of what stands between prefix and them, in base 62.
+    """
+    if rule not in ("github", "npm") or len(value) != 40:
+        return None
+    body, n, digits = value[4:-6], zlib.crc32(value[4:-6].encode()), ""
+    while n:
+        n, r = divmod(n, 62)
+        digits = _BASE62[r] + digits
+    return bool(body) and digits.rjust(6, "0") == value[-6:]
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Columns kept, then path and content; one row per finding."""
     for batch in batches:
         paths, contents = batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)
-        rows, line_no, rules, lengths = [], [], [], []
+        rows, line_no, rules, lengths, sums = [], [], [], [], []
         for i, c in enumerate(contents):
             text = c.as_py()
             done, at = 1, 0
@@ -315,22 +391,27 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 line_no.append(done)
                 rules.append(f.rule)
                 lengths.append(sum(b - a for a, b in f.spans))
+                value = "".join(text[a:b] for a, b in f.spans)
+                issued = _ISSUER.fullmatch(value)
+                sums.append(checksum_ok(issued.lastgroup, value) if issued else None)
         if rows:
             kept = pa.Table.from_batches([batch]).select(batch.schema.names[:-2]).take(pa.array(rows)).combine_chunks()
             columns = [c.chunk(0) for c in kept.columns]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(line_no, pa.int64()), pa.array(rules, pa.string()), pa.array(lengths, pa.int64())], names=[*kept.column_names, "line_no", "rule", "length"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(line_no, pa.int64()), pa.array(rules, pa.string()), pa.array(lengths, pa.int64()), pa.array(sums, pa.bool_())], names=[*kept.column_names, "line_no", "rule", "length", "checksum_ok"])
 
 
 def find_secrets(files: DataFrame, content: str, path: str, keep: list[str]) -> DataFrame:
     """``keep`` columns, line_no (1-based; lines end at \\n), rule and length of each secret found, row by row.
 
+    checksum_ok grades tokens whose issuer publishes a checksum: true tokens have it, made-up ones mostly not; null elsewhere.
+
     Null and empty contents, and files without secrets, give no rows; repeated rows repeat their findings;
     a secret in pieces is one finding, on the line of its first piece; contents of any length are read whole.
     A null path only means that its extension says nothing. An empty table gives no rows.
     """
     picked = files.where(F.col(content).isNotNull()).select(*keep, F.col(path).alias("_path"), F.col(content).alias("_content"))
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-2])
-    return spread(picked).mapInArrow(_scan, f"{schema}, line_no long, rule string, length long")
+    return spread(picked).mapInArrow(_scan, f"{schema}, line_no long, rule string, length long, checksum_ok boolean")
 
 
 def redact_files(files: DataFrame, content: str, path: str) -> DataFrame:

@@ -100,21 +100,63 @@ def bootstrap(df: DataFrame, label: str, value: str, order: list[str], iteration
     return df.where(F.col(value).isNotNull()).groupBy(label).applyInPandas(draw, BOOTSTRAP)
 
 
+DIFFERENCE = "metric string, left_count long, right_count long, difference double, ci_low double, ci_high double"
+
+
+def bootstrap_difference(df: DataFrame, label: str, value: str, is_left: str, order: list[str], iterations: int = 500, seed: int = 42, most: int = 2_000_000) -> DataFrame:
+    """Per label the difference of the means of two samples (left - right) with its 95 % percentile interval.
+
+    Both samples are drawn from one seeded generator, the left one first. Bounded as bootstrap is;
+    bootstrap_differences has no such bound. A label with one empty sample has no difference.
+    """
+    largest = df.groupBy(label).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"{largest} values under one label: use bootstrap_differences")
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(order)
+        left, right = (rows[rows[is_left] == side][value].astype(float).tolist() for side in (True, False))
+        out = [pdf[label].iloc[0], len(left), len(right), None, None, None]
+        if left and right:
+            rng, draws = random.Random(seed), []
+            for _ in range(iterations):
+                a, b = (sum(x[rng.randrange(len(x))] for _ in x) / len(x) for x in (left, right))
+                draws.append(a - b)
+            draws.sort()
+            point = sum(left) / len(left) - sum(right) / len(right)
+            out[3:] = [round(point, 6), round(_position(draws, 0.025), 6), round(_position(draws, 0.975), 6)]
+        return pd.DataFrame([out], columns=["metric", "left_count", "right_count", "difference", "ci_low", "ci_high"])
+
+    return df.where(F.col(value).isNotNull()).groupBy(label).applyInPandas(draw, DIFFERENCE)
+
+
+def _resampled(df: DataFrame, label: str, value: str, sides: list[Column], iterations: int, seed: int) -> DataFrame:
+    """Per label and iteration the weighted means of the sides: Poisson(1) weights from a hash of row and iteration."""
+    u = (F.pmod(F.xxhash64(*df.columns, "_i", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    # the distribution of Poisson(1), inverted
+    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
+    weight = sum((u > s).cast("int") for s in steps)
+    rows = df.where(F.col(value).isNotNull()).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("_w", weight)
+    means = [(F.sum(F.when(c, F.col("_w") * F.col(value))) / F.nullif(F.sum(F.when(c, F.col("_w"))), F.lit(0))).alias(f"_m{i}") for i, c in enumerate(sides)]
+    return rows.groupBy(label, "_i").agg(*means)
+
+
+def bootstrap_differences(df: DataFrame, label: str, value: str, is_left: str, iterations: int = 200, seed: int = 42) -> DataFrame:
+    """The scalable interval of a difference of means, as bootstrap_means."""
+    per = _resampled(df, label, value, [F.col(is_left), ~F.col(is_left)], iterations, seed)
+    return per.groupBy(label).agg(*[nearest(F.col("_m0") - F.col("_m1"), q).alias(n) for q, n in ((0.025, "ci_low"), (0.975, "ci_high"))])
+
+
 def bootstrap_means(df: DataFrame, label: str, value: str, iterations: int = 200, seed: int = 42) -> DataFrame:
     """The scalable interval of the mean: Poisson resampling weights from a hash of row and iteration, all in SQL.
 
     Rows are aggregated map-side to one partial sum per (label, iteration); nothing is gathered. Rows with equal
     content in all columns share their weights.
     """
-    u = (F.pmod(F.xxhash64(*df.columns, "_i", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # Poisson(1) by inversion of its distribution
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
-    weight = sum((u > s).cast("int") for s in steps)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    per = rows.groupBy(label, "_i").agg((F.sum(weight * F.col(value)) / F.nullif(F.sum(weight), F.lit(0))).alias("_m"))
-    return per.groupBy(label).agg(nearest("_m", 0.025).alias("ci_low"), nearest("_m", 0.975).alias("ci_high"))
+    per = _resampled(df, label, value, [F.lit(True)], iterations, seed)
+    return per.groupBy(label).agg(nearest("_m0", 0.025).alias("ci_low"), nearest("_m0", 0.975).alias("ci_high"))
 
 
-def nearest(column: str, q: float) -> Column:
+def nearest(column: Column | str, q: float) -> Column:
     ordered = F.array_sort(F.collect_list(column))
     return F.get(ordered, F.rint((F.size(ordered) - 1) * F.lit(q)).cast("int"))

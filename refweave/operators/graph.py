@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from refweave.functions.exprs import stable_id_parts, workflow_id
+from refweave.functions.stats import ranked
 from refweave.session import materialize
 
 
@@ -49,6 +50,19 @@ def downstream_repositories(edges: DataFrame) -> DataFrame:
     return _spread(start, action_links(edges), "repository").select(F.col("node").alias("action_id"), "repository")
 
 
+def union_counts(members: DataFrame, pairs: DataFrame, group: list[str], by: str = "action_id", what: str = "repository") -> DataFrame:
+    """(group, n): how many different ``what`` the pairs (by, what) of a group's members hold together.
+
+    The members' sets are bitmaps over numbered values, so a member of many groups is joined as a few rows of bits
+    and not once per value. Groups whose members hold nothing are not there.
+    """
+    numbered = ranked(pairs.select(what).distinct().withColumn("_one", F.lit(1)), "_one", [], by=[what]).select(what, "rank")
+    bits = pairs.select(by, what).distinct().join(numbered, what)
+    bits = materialize(bits.groupBy(by, F.bitmap_bucket_number("rank").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("rank")).alias("_bits")))
+    per = members.select(*group, by).distinct().join(bits, by).groupBy(*group, "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n"))
+    return per.groupBy(*group).agg(F.sum("_n").cast("long").alias("n"))
+
+
 def forward_reach(edges: DataFrame) -> DataFrame:
     """(node_id, reached, hops) for every action and workflow: what it depends on, itself left out."""
     links = edges.select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst")).distinct()

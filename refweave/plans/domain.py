@@ -61,8 +61,8 @@ def changes(s: SparkSession, d: str) -> DataFrame:
     """Workflow changes, the last arrival of each; null lists are empty."""
     t = table(s, d, "workflow_changes")
     empty = F.array().cast("array<string>")
-    t = t.select("repository_full_name", "workflow_path", "commit_sha", "committed_at", *[F.coalesce(c, empty).alias(c) for c in ("uses_before", "uses_after", "introduced", "removed")])
-    return t.dropDuplicates(CHANGE_KEY)
+    t = t.select("repository_full_name", "workflow_path", "commit_sha", "committed_at", "ingest_seq", *[F.coalesce(c, empty).alias(c) for c in ("uses_before", "uses_after", "introduced", "removed")])
+    return t.groupBy(*CHANGE_KEY).agg(F.max_by(F.struct("introduced", "removed"), "ingest_seq").alias("_r")).select(*CHANGE_KEY, "_r.*")
 
 
 def observations(s: SparkSession, d: str) -> DataFrame:
@@ -74,7 +74,7 @@ def marketplace(s: SparkSession, d: str) -> DataFrame:
     """Marketplace identities: published actions, one per lower-case owner and repo."""
     a = actions(s, d).where("marketplace_published")
     return a.groupBy(F.lower("owner").alias("m_owner"), F.lower("repo").alias("m_repo")).agg(
-        F.max("marketplace_category").alias("category"), F.bool_or(F.col("author_verified") == "verified").alias("verified_creator")
+        F.max("marketplace_category").alias("category"), F.max("action_name").alias("title"), F.bool_or(F.col("author_verified") == "verified").alias("verified_creator")
     )
 
 

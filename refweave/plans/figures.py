@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from refweave.functions import exprs as X
 from refweave.functions import stats
+from refweave.plans import comparisons as C
 from refweave.plans import domain as D
 from refweave.plans import graph_metrics as G
 from refweave.plans import oracle as O
-from refweave.plans import scalars as S
 from refweave.plans import temporal_metrics as M
 from refweave.plans import workflow_metrics as W
 
@@ -83,17 +83,18 @@ def propagation_signals(s: SparkSession, d: str) -> DataFrame:
 
 
 def reach_histogram(s: SparkSession, d: str) -> DataFrame:
-    a = D.once(s, d, "amplification", lambda: G.amplification_by_node(s, d))
+    a = D.once(s, d, "amplification", lambda: G.amplification_by_node(s, d)).where("node_kind = 'action'")
     return a.groupBy("max_depth", (F.floor(F.col("fanout") / 100) * 100).alias("fanout_from")).agg(F.count("*").alias("nodes"))
 
 
 def top_amplifiers(s: SparkSession, d: str) -> DataFrame:
-    a = D.once(s, d, "amplification", lambda: G.amplification_by_node(s, d))
-    return a.orderBy(F.desc("blast_repos"), F.desc("fanout"), F.desc("node_id")).limit(100).select("node_id", "blast_repos", "fanout", "betweenness_like")
+    a = D.once(s, d, "amplification", lambda: G.amplification_by_node(s, d)).where("node_kind = 'action'")
+    order = [F.desc("cascade_radius"), F.desc("fanout"), F.desc("reached_high_star"), F.desc("node_id")]
+    return a.orderBy(*order).limit(100).select("node_id", "cascade_radius", "fanout", "betweenness_like")
 
 
 def top_owners(s: SparkSession, d: str) -> DataFrame:
-    return S.trust_entities(s, d).where("kind = 'owner'").orderBy(F.desc("usage"), "entity").limit(15).select("entity", "usage", "repositories")
+    return C._entities(s, d).where("kind = 'owner'").orderBy(F.desc("usage"), "entity").limit(15).select("entity", "usage", "repositories")
 
 
 def callee_histogram(s: SparkSession, d: str) -> DataFrame:
@@ -101,12 +102,12 @@ def callee_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def top_privileged(s: SparkSession, d: str) -> DataFrame:
-    return W.privileged_blast(s, d).orderBy(F.desc("score"), F.desc("privileged_repos"), "action_id").limit(10).select("action_id", "score", "privileged_workflows", "id_token_workflows")
+    return C.privileged_blast(s, d).orderBy(F.desc("score"), F.desc("privileged_repos"), "action_id").limit(10).select("action_id", "score", "privileged_workflows", "id_token_workflows")
 
 
 def owner_coverage(s: SparkSession, d: str) -> DataFrame:
     """Share of usage of the top 1, 5 and 10 owners."""
-    o = S.trust_entities(s, d).where("kind = 'owner'").select("entity", F.col("usage").cast("double").alias("x"))
+    o = C._entities(s, d).where("kind = 'owner'").select("entity", F.col("usage").cast("double").alias("x"))
     t = stats.top_shares(o, "x", [1, 5, 10], ["entity"])
     return t.select(*[F.round(c, 6).alias(c) for c in t.columns])
 
@@ -151,8 +152,8 @@ _CASCADE = O.ORACLE["cascade_depth"]
 ORACLE = {
     "binding_by_depth": f"select {O.bucket('max_depth')} as bucket, count(*) as workflows, round(avg(sha_rate), 6) as sha, round(avg(tag_rate), 6) as tag, round(avg(branch_rate), 6) as branch, round(avg(main_rate), 6) as main from ({_CASCADE}) group by 1",
     "lag_by_mode": O.q(O.UPDATES, "select mode, bucket, count(*) as n, round(avg(lag_hours), 4) as avg_hours, round(median(lag_hours), 4) as median_hours from uw group by 1, 2"),
-    "category_counts": O.q(O.CAT, f"select i::bigint as place, g.category, count(cw.category) as n from (values {', '.join(f'({i}, {k!r})' for i, k in enumerate(X.REF_CATEGORIES))}) g(i, category) left join cw using (category) group by 1, 2"),
-    "reach_histogram": O.q(O.AMP, "select max_depth, cast(floor(fanout / 100) * 100 as bigint) as fanout_from, count(*) as nodes from am group by 1, 2"),
-    "top_amplifiers": O.q(O.AMP, "select node_id, blast_repos, fanout, betweenness_like from am order by blast_repos desc, fanout desc, node_id desc limit 100"),
+    "category_counts": O.q(O.CAT, f"select i::bigint as place, g.category, count(cw.category) as n from (values {', '.join(f'({i}, {k!r})' for i, k in enumerate(O.REF_CATEGORIES))}) g(i, category) left join cw using (category) group by 1, 2"),
+    "reach_histogram": O.q(O.AMP, "select max_depth, cast(floor(fanout / 100) * 100 as bigint) as fanout_from, count(*) as nodes from am where node_kind = 'action' group by 1, 2"),
+    "top_amplifiers": O.q(O.AMP, "select node_id, cascade_radius, fanout, betweenness_like from am where node_kind = 'action' order by cascade_radius desc, fanout desc, reached_high_star desc, node_id desc limit 100"),
     "top_owners": O.q("", "select owner as entity, count(*) as usage, count(distinct consumer_repository) as repositories from sc e join ac a on a.action_id = e.dst_node_id group by 1 order by usage desc, entity limit 15"),
 }

@@ -58,69 +58,112 @@ def usage(s: SparkSession, d: str) -> DataFrame:
     return D.edges(s, d).where("dst_kind = 'action'").groupBy(F.col("dst_node_id").alias("action_id")).agg(F.count("*").alias("usage_count"))
 
 
+def workflow_nodes(s: SparkSession, d: str) -> DataFrame:
+    """Every workflow of the graph: those that edges are scoped to, and those that edges start from."""
+    parts = F.split("src_node_id", "::", 3)
+    named = D.edges(s, d).where("src_kind = 'workflow'").select(parts[1].alias("consumer_repository"), parts[2].alias("workflow_path"))
+    return D.scoped(s, d).select(*WF).unionByName(named.where("consumer_repository <> '' and workflow_path <> ''")).distinct()
+
+
+def drifted(s: SparkSession, d: str) -> DataFrame:
+    """(action_id, bound_ref, drift_events): observed moves per action and reference name in lower case."""
+    from refweave.plans.temporal_metrics import drift
+
+    moves = D.once(s, d, "drift", lambda: drift(s, d))
+    return moves.groupBy("action_id", F.lower("ref_name").alias("bound_ref")).agg(F.count("*").alias("drift_events"))
+
+
 def categorized(s: SparkSession, d: str) -> DataFrame:
-    """Scoped edges to known actions with the reference's category, weight and the action's blast radius."""
-    a = D.actions(s, d).select("action_id", "owner", "repo", "ref", "author_verified", "action_type", X.ref_category(F.col("ref")).alias("category"))
+    """Scoped edges to known actions with the bound reference (the edge's, else the action's), its category and
+    weight, its observed moves and the action's downstream repositories."""
+    a = D.actions(s, d).select("action_id", "owner", "repo", "ref", "author_verified", "action_type")
     blast = D.once(s, d, "blast", lambda: blast_radius(s, d)).select("action_id", "repos")
-    e = D.scoped(s, d).join(a, F.col("dst_node_id") == a["action_id"]).join(blast, "action_id", "left")
-    return e.withColumn("weight", X.risk_weight(F.col("category"))).withColumn("repos", F.coalesce("repos", F.lit(0)))
+    bound = F.coalesce(F.nullif("ref_string", F.lit("")), "ref")
+    e = D.scoped(s, d).join(a, F.col("dst_node_id") == a["action_id"]).withColumn("bound_ref", F.lower(bound)).withColumn("category", X.ref_category(bound))
+    e = e.join(blast, "action_id", "left").join(drifted(s, d), ["action_id", "bound_ref"], "left")
+    return e.withColumn("weight", X.risk_weight(F.col("category"))).withColumn("repos", F.coalesce("repos", F.lit(0))).withColumn("drift_events", F.coalesce("drift_events", F.lit(0).cast("long")))
 
 
 def ref_risk_by_action(s: SparkSession, d: str) -> DataFrame:
-    """Per action: category, usage, distinct workflows, drift, blast x weight and, with drift, affected x weight x events."""
-    c = categorized(s, d)
-    per = c.groupBy("action_id", "category").agg(
-        F.count("*").alias("usage_count"), F.count_distinct("workflow_id").alias("workflow_count"), F.max("repos").alias("blast_repos"),
-        F.max("weight").alias("weight"),
+    """Per action: its reference's category, use, downstream repositories, observed moves of exactly this reference,
+    downstream x weight and, where it has moved, affected x weight x moves."""
+    zero = F.lit(0).cast("long")
+    use = D.scoped(s, d).groupBy(F.col("dst_node_id").alias("action_id")).agg(F.count("*").alias("usage_count"), F.count_distinct("workflow_id").alias("workflow_count"))
+    blast = D.once(s, d, "blast", lambda: blast_radius(s, d)).select("action_id", "repos")
+    a = D.actions(s, d).select("action_id", "owner", "repo", F.col("ref").alias("ref_name"), X.ref_category(F.col("ref")).alias("category"), F.lower("ref").alias("bound_ref"))
+    a = a.join(use, "action_id", "left").join(blast, "action_id", "left").join(drifted(s, d), ["action_id", "bound_ref"], "left")
+    n, k, c, w = F.coalesce("repos", zero), F.coalesce("drift_events", zero), F.col("category"), X.risk_weight(F.col("category"))
+    one = lambda x: x.cast("long")
+    mutable, moved = X.is_mutable(c), k > 0
+    return a.select(
+        "action_id", "owner", "repo", "ref_name", "category", F.coalesce("usage_count", zero).alias("usage_count"), F.coalesce("workflow_count", zero).alias("workflow_count"),
+        n.alias("downstream_repos"), one(mutable).alias("mutable_refs"), one(~mutable).alias("immutable_refs"), one(c.startswith("BRANCH_")).alias("branch_refs"), one(c.contains("TAG")).alias("tag_refs"),
+        one(c.contains("SHA")).alias("sha_refs"), mutable.cast("double").alias("mutable_ratio"), c.isin(*X.HIGH_RISK).cast("double").alias("high_risk_ratio"), moved.alias("observed_drift"),
+        k.alias("drift_events"), F.when(moved, n).otherwise(zero).alias("affected_repos"), F.round(n * w, 4).alias("risk_score"), F.round(F.when(moved, n * w * k).otherwise(0.0), 4).alias("drift_score"),
     )
-    from refweave.plans.temporal_metrics import drift
 
-    events = drift(s, d).groupBy("action_id").agg(F.count("*").alias("drift_events"))
-    out = per.join(events, "action_id", "left").withColumn("drift_events", F.coalesce("drift_events", F.lit(0).cast("long")))
-    return out.select(
-        "action_id", "category", "usage_count", "workflow_count", "blast_repos", "drift_events", X.is_mutable(F.col("category")).alias("is_mutable"),
-        F.round(F.col("blast_repos") * F.col("weight"), 4).alias("risk_score"),
-        F.round(F.when(F.col("drift_events") > 0, F.col("blast_repos") * F.col("weight") * F.col("drift_events")).otherwise(0.0), 4).alias("drift_score"),
-    )
+
+def _shares(counts: DataFrame) -> DataFrame:
+    """Derived columns of a row of category counts."""
+    total = sum((F.col(k.lower()) for k in X.REF_CATEGORIES), F.lit(0))
+    mutable, high = total - F.col("full_sha"), sum((F.col(k.lower()) for k in X.HIGH_RISK), F.lit(0))
+    return counts.withColumns({
+        "refs": total, "mutable_refs": mutable, "immutable_refs": F.col("full_sha"), "branch_refs": F.col("branch_main") + F.col("branch_other"),
+        "tag_refs": F.col("major_tag") + F.col("semver_tag") + F.col("floating_tag"), "sha_refs": F.col("full_sha") + F.col("short_sha"),
+        "mutable_ratio": F.round(X.rate(mutable, total), 6), "high_risk_ratio": F.round(X.rate(high, total), 6),
+    })
 
 
 def ref_risk_by_workflow(s: SparkSession, d: str) -> DataFrame:
-    """Per workflow: references by category, mutable and high-risk shares, summed risk."""
-    c, n = categorized(s, d), F.count("*")
+    """Per workflow: references by category and shares, the union of what its actions reach, summed risk, and the
+    references of it that have moved. Workflows without known actions count nothing."""
+    c = D.once(s, d, "categorized", lambda: categorized(s, d))
+    zero = F.lit(0).cast("long")
     counts = [F.count_if(F.col("category") == k).alias(k.lower()) for k in X.REF_CATEGORIES]
-    return c.groupBy(*WF).agg(
-        n.alias("refs"), *counts, F.round(F.count_if(X.is_mutable(F.col("category"))) / n, 4).alias("mutable_ratio"),
-        F.round(F.count_if(F.col("category").isin(*X.HIGH_RISK)) / n, 4).alias("high_risk_ratio"),
-        F.round(F.sum(F.col("repos") * F.col("weight")), 4).alias("risk_score"), F.max("depth").cast("long").alias("max_depth"),
+    moved = F.col("drift_events") > 0
+    per = c.groupBy(*WF).agg(
+        *counts, F.max("depth").cast("long").alias("max_depth"), F.round(F.sum(F.col("repos") * F.col("weight")), 4).alias("risk_score"),
+        F.count_distinct(F.when(moved, F.struct("action_id", "bound_ref"))).alias("drift_refs"), F.round(F.sum(F.when(moved, F.col("repos") * F.col("weight")).otherwise(0.0)), 4).alias("drift_score"),
     )
+    union = graph.union_counts(c, D.blast_pairs(s, d), WF).withColumnRenamed("n", "downstream_repos")
+    out = workflow_nodes(s, d).join(per, WF, "left").join(union, WF, "left")
+    whole = [k.lower() for k in X.REF_CATEGORIES] + ["max_depth", "drift_refs", "downstream_repos"]
+    out = out.select(*WF, *[F.coalesce(x, zero).alias(x) for x in whole], *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("risk_score", "drift_score")])
+    out = out.withColumn("observed_drift", F.col("drift_refs") > 0).withColumn("affected_repos", F.when(F.col("drift_refs") > 0, F.col("downstream_repos")).otherwise(zero))
+    return _shares(out)
 
 
 def ref_risk_by_depth(s: SparkSession, d: str) -> DataFrame:
-    """The three depths: references by the edge's depth, but workflows and scores by the workflow's greatest depth."""
+    """The three depths: references by the edge's depth, but workflows, drift and scores by the workflow's greatest depth."""
     c = D.once(s, d, "categorized", lambda: categorized(s, d))
-    by_edge = c.groupBy(X.depth_bucket(F.col("depth")).alias("bucket")).agg(
-        F.count("*").alias("refs"), F.count_if(X.is_mutable(F.col("category"))).alias("mutable_refs"), F.count_if(F.col("category").isin(*X.HIGH_RISK)).alias("high_risk_refs")
+    counts = [F.count_if(F.col("category") == k).alias(k.lower()) for k in X.REF_CATEGORIES]
+    by_edge = c.groupBy(X.depth_bucket(F.col("depth")).alias("bucket")).agg(*counts)
+    w = D.once(s, d, "ref_risk_by_workflow", lambda: ref_risk_by_workflow(s, d))
+    by_workflow = w.groupBy(X.depth_bucket(F.col("max_depth")).alias("bucket")).agg(
+        F.count("*").alias("workflows"), F.sum("drift_refs").alias("drift_refs"), F.sum("affected_repos").alias("affected_repos"), F.round(F.sum("risk_score"), 4).alias("risk_score"), F.round(F.sum("drift_score"), 4).alias("drift_score")
     )
-    w = c.groupBy(*WF).agg(F.max("depth").alias("m"), F.sum(F.col("repos") * F.col("weight")).alias("score"))
-    by_workflow = w.groupBy(X.depth_bucket(F.col("m")).alias("bucket")).agg(F.count("*").alias("workflows"), F.round(F.avg("score"), 4).alias("avg_risk_score"))
     grid = s.createDataFrame([("level_1",), ("level_2",), ("level_3_plus",)], "bucket string")
     zero = F.lit(0).cast("long")
-    return grid.join(by_edge, "bucket", "left").join(by_workflow, "bucket", "left").select(
-        "bucket", *[F.coalesce(x, zero).alias(x) for x in ("refs", "mutable_refs", "high_risk_refs", "workflows")], F.coalesce("avg_risk_score", F.lit(0.0)).alias("avg_risk_score")
-    )
+    whole = [k.lower() for k in X.REF_CATEGORIES] + ["workflows", "drift_refs", "affected_repos"]
+    out = grid.join(by_edge, "bucket", "left").join(by_workflow, "bucket", "left")
+    return _shares(out.select("bucket", *[F.coalesce(x, zero).alias(x) for x in whole], *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("risk_score", "drift_score")]))
 
 
 def ref_risk_summary(s: SparkSession, d: str) -> DataFrame:
-    """One row: categories counted over actions, totals over edges."""
-    c = D.once(s, d, "categorized", lambda: categorized(s, d))
-    per_action = c.groupBy("action_id", "category").agg(F.count("*").alias("n"))
-    a = per_action.agg(F.count("*").alias("actions"), *[F.count_if(F.col("category") == k).alias(k.lower()) for k in X.REF_CATEGORIES])
-    e = c.agg(
-        F.count("*").alias("refs"), F.count_distinct("workflow_id").alias("workflows"),
-        F.round(X.rate(F.count_if(X.is_mutable(F.col("category"))), F.count("*")), 4).alias("mutable_ratio"),
-        F.round(X.rate(F.count_if(F.col("category").isin(*X.HIGH_RISK)), F.count("*")), 4).alias("high_risk_ratio"),
+    """One row: categories counted over actions, totals over workflows' references, drift over both."""
+    a = D.once(s, d, "ref_risk_by_action", lambda: ref_risk_by_action(s, d)).agg(
+        F.count("*").alias("actions"), *[F.count_if(F.col("category") == k).alias(k.lower()) for k in X.REF_CATEGORIES], F.count_if("observed_drift").alias("drift_actions"),
+        F.round(F.coalesce(F.sum("risk_score"), F.lit(0.0)), 4).alias("risk_score"), F.round(F.coalesce(F.sum("drift_score"), F.lit(0.0)), 4).alias("drift_score"),
+    )
+    sums = ("refs", "mutable_refs", "immutable_refs", "branch_refs", "tag_refs", "sha_refs", "drift_refs")
+    high = sum((F.col(k.lower()) for k in X.HIGH_RISK), F.lit(0))
+    w = D.once(s, d, "ref_risk_by_workflow", lambda: ref_risk_by_workflow(s, d)).agg(
+        F.count("*").alias("workflows"), *[F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(x) for x in sums], F.round(X.rate(F.sum("mutable_refs"), F.sum("refs")), 6).alias("mutable_ratio"),
+        F.round(X.rate(F.sum(high), F.sum("refs")), 6).alias("high_risk_ratio"),
     )
-    return a.crossJoin(e)  # one row each
+    known = D.actions(s, d).select("action_id")
+    affected = D.blast_pairs(s, d).join(known, "action_id", "left_semi").agg(F.count_distinct("repository").alias("affected_repos"))
+    return a.crossJoin(w).crossJoin(affected)  # one row each
 
 
 def trust_boundaries(s: SparkSession, d: str) -> DataFrame:
@@ -173,22 +216,32 @@ def layer_map(s: SparkSession, d: str) -> DataFrame:
 
 
 def amplification_by_node(s: SparkSession, d: str) -> DataFrame:
-    """Per action: degrees, fan-out, depth, downstream repositories and the product of in-degree and fan-out."""
+    """Per action and workflow: degrees, fan-out, depth, the workflows and repositories reached, the radius of the cascade
+    (the greatest of these and the blast radius), how much of it has many stars, in-degree x fan-out."""
     e = D.edges(s, d).select("src_node_id", "dst_node_id", "src_kind", "dst_kind").distinct()
-    ids = e.where("dst_kind = 'action'").select(F.col("dst_node_id").alias("node_id")).unionByName(e.where("src_kind = 'action'").select(F.col("src_node_id").alias("node_id"))).distinct()
-    indeg = e.groupBy(F.col("dst_node_id").alias("node_id")).agg(F.count("*").alias("in_degree"))
-    outdeg = e.groupBy(F.col("src_node_id").alias("node_id")).agg(F.count("*").alias("out_degree"))
+    ends = [e.select(F.col(f"{x}_node_id").alias("node_id"), F.col(f"{x}_kind").alias("node_kind")) for x in ("src", "dst")]
+    ids = ends[0].unionByName(ends[1]).where("node_kind in ('action', 'workflow')").distinct()
+    links = e.select("src_node_id", "dst_node_id").distinct()
+    indeg = links.groupBy(F.col("dst_node_id").alias("node_id")).agg(F.count("*").alias("in_degree"))
+    outdeg = links.groupBy(F.col("src_node_id").alias("node_id")).agg(F.count("*").alias("out_degree"))
     reach = D.once(s, d, "reach", lambda: forward_reach(s, d)).select("node_id", F.col("reached").alias("fanout"), F.col("max_hops").alias("max_depth"), F.col("avg_hops").alias("avg_depth"))
+    stars = D.repository_names(s, d).select(F.col("full_name").alias("repository"), "stars")
+    flows = D.reach_pairs(s, d).where(F.col("reached").startswith("workflow::")).select("node_id", F.split("reached", "::", 3)[1].alias("repository"), "reached").join(stars, "repository", "left")
+    flows = flows.groupBy("node_id").agg(F.count("*").alias("reached_workflows"), F.count_distinct("repository").alias("reached_repos"), F.count_distinct(F.when(F.col("stars") > HIGH_STARS, F.col("repository"))).alias("reached_high_star"))
     blast = D.once(s, d, "blast", lambda: blast_radius(s, d)).select(F.col("action_id").alias("node_id"), F.col("repos").alias("blast_repos"))
-    out = ids.join(indeg, "node_id", "left").join(outdeg, "node_id", "left").join(reach, "node_id", "left").join(blast, "node_id", "left")
+    out = ids.join(indeg, "node_id", "left").join(outdeg, "node_id", "left").join(reach, "node_id", "left").join(flows, "node_id", "left").join(blast, "node_id", "left")
     zero = F.lit(0).cast("long")
-    out = out.select("node_id", *[F.coalesce(c, zero).alias(c) for c in ("in_degree", "out_degree", "fanout", "max_depth", "blast_repos")], F.coalesce("avg_depth", F.lit(0.0)).alias("avg_depth"))
-    return out.withColumn("betweenness_like", F.col("in_degree") * F.col("fanout"))
+    whole = ("in_degree", "out_degree", "fanout", "max_depth", "reached_workflows", "reached_repos", "reached_high_star", "blast_repos")
+    out = out.select("node_id", "node_kind", *[F.coalesce(c, zero).alias(c) for c in whole], F.coalesce("avg_depth", F.lit(0.0)).alias("avg_depth"))
+    return out.withColumns({
+        "betweenness_like": F.col("in_degree") * F.col("fanout"), "cascade_radius": F.greatest("reached_workflows", "reached_repos", "blast_repos"),
+        "concentration": F.round(X.rate(F.col("reached_high_star"), F.col("reached_repos")), 6),
+    })
 
 
 def amplification_summary(s: SparkSession, d: str) -> DataFrame:
     """One row: nodes, concentration of fan-out (Gini, top shares), median, nearest-rank 95th percentile, maximum."""
-    a = D.once(s, d, "amplification", lambda: amplification_by_node(s, d)).select("node_id", "fanout")
+    a = D.once(s, d, "amplification", lambda: amplification_by_node(s, d)).where("node_kind = 'action'").select("node_id", "fanout")
     base = a.agg(F.count("*").alias("nodes"), F.median("fanout").alias("median_fanout"), F.max("fanout").alias("max_fanout"))
     p95 = nearest_rank_rows(a, "fanout", ["node_id"], 0.95).select(F.col("fanout").alias("p95_fanout"))
     gini = stats.gini(a, "fanout", ["node_id"]).select(F.round("gini", 6).alias("gini"))

@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-from refweave.functions import exprs as X
 from refweave.plans.core_problems import _WS
 
+# Fixed values, stated again here and not taken from the code under test, so that a wrong one there shows.
+REF_CATEGORIES = ("FULL_SHA", "SHORT_SHA", "BRANCH_MAIN", "BRANCH_OTHER", "MAJOR_TAG", "SEMVER_TAG", "FLOATING_TAG", "UNKNOWN_REF")
+WEIGHT = """case category when 'FULL_SHA' then 0.0::double when 'SHORT_SHA' then 0.2::double when 'SEMVER_TAG' then 0.45::double when 'MAJOR_TAG' then 0.7::double when 'BRANCH_MAIN' then 0.95::double
+  when 'BRANCH_OTHER' then 1.0::double when 'FLOATING_TAG' then 1.0::double when 'UNKNOWN_REF' then 0.85::double end"""
+HIGH = "category in ('BRANCH_MAIN', 'BRANCH_OTHER', 'FLOATING_TAG', 'UNKNOWN_REF')"
+TOKEN_PATTERNS = (r"\bGITHUB_TOKEN\b", r"secrets\.GITHUB_TOKEN", r"github\.token", r"process\.env\.[A-Z0-9_]+", r"\$GITHUB_TOKEN\b", r"INPUT_[A-Z0-9_]+", r"core\.getInput\(")
+CANONICAL = """('actions/checkout', 'actions/setup-node', 'actions/upload-artifact', 'actions/download-artifact', 'actions/cache', 'actions/setup-python', 'docker/login-action', 'github/codeql-action')"""
 _OWN = "lower(split_part({0}, '/', 1))"
 
 
-def _in(values) -> str:
-    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
-
-
 def category(ref: str) -> str:
     """The reference category of a column."""
     r = f"trim({ref})"
     return f"""case when {ref} is null or {r} = '' then 'UNKNOWN_REF' when regexp_full_match({r}, '[0-9a-fA-F]{{40}}') then 'FULL_SHA'
-      when regexp_full_match({r}, '[0-9a-fA-F]{{7,39}}') then 'SHORT_SHA' when lower({r}) in {_in(X.MAIN_BRANCHES)} then 'BRANCH_MAIN'
-      when lower({r}) in {_in(X.OTHER_BRANCHES)} or lower({r}) like 'refs/heads/%' then 'BRANCH_OTHER' when lower({r}) in {_in(X.FLOATING_TAGS)} then 'FLOATING_TAG'
+      when regexp_full_match({r}, '[0-9a-fA-F]{{7,39}}') then 'SHORT_SHA' when lower({r}) in ('main', 'master', 'refs/heads/main', 'refs/heads/master') then 'BRANCH_MAIN'
+      when lower({r}) in ('dev', 'develop', 'development', 'next', 'beta', 'nightly', 'canary', 'edge', 'preview', 'alpha') or lower({r}) like 'refs/heads/%' then 'BRANCH_OTHER' when lower({r}) in ('latest', 'stable', 'release') then 'FLOATING_TAG'
       when regexp_full_match({r}, 'v?\\d+\\.\\d+\\.\\d+([-+][A-Za-z0-9_.-]+)?') then 'SEMVER_TAG' when regexp_full_match({r}, 'v?\\d+') then 'MAJOR_TAG' else 'UNKNOWN_REF' end"""
 
 
-WEIGHT = "case category " + " ".join(f"when '{k}' then {v}::double" for k, v in X.RISK_WEIGHTS.items()) + " end"
-HIGH = f"category in {_in(X.HIGH_RISK)}"
-
-
 def bucket(depth: str) -> str:
     return f"case when {depth} <= 1 then 'level_1' when {depth} = 2 then 'level_2' else 'level_3_plus' end"
 
@@ -50,10 +48,7 @@ fr(node_id, reached, hops) as (select src, dst, 1 from nl union select f.node_id
 fb as (select node_id, reached, min(hops) as hops from fr where node_id <> reached group by 1, 2),
 re as (select node_id, count(*) as reached, cast(max(hops) as bigint) as max_hops, round(avg(hops), 6) as avg_hops from fb group by 1),
 """
-CAT = BLAST + f"""ca as (select e.*, a.action_id, a.owner, a.repo, a.author_verified, a.action_type, {category("a.ref")} as category from sc e join ac a on a.action_id = e.dst_node_id),
-cw as (select c.*, {WEIGHT} as weight, coalesce(b.repos, 0) as repos from ca c left join bl b using (action_id)),
-"""
-COUNTS = ", ".join(f"count(*) filter (where category = '{k}') as {k.lower()}" for k in X.REF_CATEGORIES)
+COUNTS = ", ".join(f"count(*) filter (where category = '{k}') as {k.lower()}" for k in REF_CATEGORIES)
 WF = "consumer_repository, workflow_path"
 DRIFT = f"""ob as (select action_id, ref_name, ref_type, nullif(lower(trim(sha, {_WS})), '') as sha, epoch_us(observed_at) as ts, ingest_seq from ref_observations),
 od as (select * from ob where sha is not null qualify row_number() over (partition by action_id, ref_name, ref_type, ts order by ingest_seq desc) = 1),
@@ -62,6 +57,29 @@ ov as (select *, lag(sha) over w as previous_sha, lag(ts) over w as first_seen_u
 dr as (select action_id, ref_name, ref_type, previous_sha, sha as new_sha, ts as detected_us, first_seen_us,
   sha1(action_id || '::' || ref_name || '::' || ref_type || '::' || sha || '::' || ts) as drift_id from ov where previous_sha is not null),
 """
+_BOUND = "coalesce(nullif(e.ref_string, ''), a.ref)"
+CAT = BLAST + DRIFT + f"""dk as (select action_id, lower(ref_name) as bound_ref, count(*) as k from dr group by 1, 2),
+ca as (select e.*, a.action_id, a.owner, a.repo, a.author_verified, a.action_type, lower({_BOUND}) as bound_ref, {category(_BOUND)} as category from sc e join ac a on a.action_id = e.dst_node_id),
+cw as (select c.*, {WEIGHT} as weight, coalesce(b.repos, 0) as repos, coalesce(dk.k, 0) as k from ca c left join bl b using (action_id) left join dk using (action_id, bound_ref)),
+"""
+_SUM = " + ".join(k.lower() for k in REF_CATEGORIES)
+_DERIVED = f"""{_SUM} as refs, {_SUM} - full_sha as mutable_refs, full_sha as immutable_refs, branch_main + branch_other as branch_refs, major_tag + semver_tag + floating_tag as tag_refs, full_sha + short_sha as sha_refs,
+    round(case when {_SUM} > 0 then ({_SUM} - full_sha) / ({_SUM}) else 0 end, 6) as mutable_ratio, round(case when {_SUM} > 0 then (branch_main + branch_other + floating_tag + unknown_ref) / ({_SUM}) else 0 end, 6) as high_risk_ratio"""
+RISK = CAT + f"""ua as (select dst_node_id as action_id, count(*) as usage_count, count(distinct workflow_id) as workflow_count from sc group by 1),
+r0 as (select a.action_id, owner, repo, ref as ref_name, {category("ref")} as category, coalesce(usage_count, 0) as usage_count, coalesce(workflow_count, 0) as workflow_count, coalesce(b.repos, 0) as n, coalesce(dk.k, 0) as k
+  from ac a left join ua using (action_id) left join bl b using (action_id) left join dk on dk.action_id = a.action_id and dk.bound_ref = lower(a.ref)),
+ra as (select action_id, owner, repo, ref_name, category, usage_count, workflow_count, n as downstream_repos, case when category <> 'FULL_SHA' then 1 else 0 end as mutable_refs, case when category = 'FULL_SHA' then 1 else 0 end as immutable_refs,
+    case when category in ('BRANCH_MAIN', 'BRANCH_OTHER') then 1 else 0 end as branch_refs, case when category in ('MAJOR_TAG', 'SEMVER_TAG', 'FLOATING_TAG') then 1 else 0 end as tag_refs,
+    case when category in ('FULL_SHA', 'SHORT_SHA') then 1 else 0 end as sha_refs, case when category <> 'FULL_SHA' then 1.0 else 0.0 end::double as mutable_ratio, case when {HIGH} then 1.0 else 0.0 end::double as high_risk_ratio,
+    k > 0 as observed_drift, k as drift_events, case when k > 0 then n else 0 end as affected_repos, round(n * {WEIGHT}, 4) as risk_score, round(case when k > 0 then n * {WEIGHT} * k else 0.0 end, 4) as drift_score from r0),
+wn0 as (select consumer_repository, workflow_path from sc union select split_part(src_node_id, '::', 2), array_to_string(split(src_node_id, '::')[3:], '::') from ed where src_kind = 'workflow' and split_part(src_node_id, '::', 2) <> ''),
+wx as (select {WF}, {COUNTS}, cast(max(depth) as bigint) as max_depth, round(sum(repos * weight), 4) as risk_score, count(distinct case when k > 0 then (action_id, bound_ref) end) as drift_refs,
+    round(sum(case when k > 0 then repos * weight else 0.0 end), 4) as drift_score from cw group by 1, 2),
+wu as (select {WF}, count(distinct repository) as downstream_repos from (select distinct {WF}, action_id from ca) join bp using (action_id) group by 1, 2),
+w0 as (select {WF}, {", ".join(f"coalesce({k.lower()}, 0) as {k.lower()}" for k in REF_CATEGORIES)}, coalesce(max_depth, 0) as max_depth, coalesce(drift_refs, 0) as drift_refs, coalesce(downstream_repos, 0) as downstream_repos,
+    coalesce(risk_score, 0.0) as risk_score, coalesce(drift_score, 0.0) as drift_score from wn0 left join wx using ({WF}) left join wu using ({WF})),
+rw as (select *, drift_refs > 0 as observed_drift, case when drift_refs > 0 then downstream_repos else 0 end as affected_repos, {_DERIVED} from w0),
+"""
 CHANGES = """ch as (select repository_full_name, workflow_path, commit_sha, committed_at, epoch_us(committed_at) as committed_us,
     coalesce(uses_before, []) as uses_before, coalesce(uses_after, []) as uses_after from workflow_changes
   qualify row_number() over (partition by repository_full_name, workflow_path, commit_sha, committed_at, uses_before, uses_after order by ingest_seq) = 1),
@@ -107,12 +125,14 @@ IMPLICIT = f"""pa as (select {WF}, dst_node_id, bool_or(edge_type = 'direct') as
 ir as (select {WF}, count(*) filter (where direct) as direct_count, count(*) filter (where not direct) as implicit_count, count(*) as total_count,
   round(count(*) filter (where not direct) / count(*), 6) as implicit_ratio from pa group by 1, 2),
 """
-AMP = BLAST + REACH + """ne as (select distinct src_node_id, dst_node_id, src_kind, dst_kind from ed),
-ni as (select dst_node_id as node_id from ne where dst_kind = 'action' union select src_node_id from ne where src_kind = 'action'),
-am as (select node_id, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree, coalesce(re.reached, 0) as fanout, coalesce(re.max_hops, 0) as max_depth,
-    coalesce(bl.repos, 0) as blast_repos, coalesce(re.avg_hops, 0.0) as avg_depth, coalesce(i.n, 0) * coalesce(re.reached, 0) as betweenness_like
-  from ni left join (select dst_node_id as node_id, count(*) as n from ne group by 1) i using (node_id) left join (select src_node_id as node_id, count(*) as n from ne group by 1) o using (node_id)
-  left join re using (node_id) left join bl on bl.action_id = node_id),
+AMP = BLAST + REACH + """nk as (select src_node_id as node_id, src_kind as node_kind from ed where src_kind in ('action', 'workflow') union select dst_node_id, dst_kind from ed where dst_kind in ('action', 'workflow')),
+nw as (select node_id, count(*) as reached_workflows, count(distinct split_part(reached, '::', 2)) as reached_repos, count(distinct split_part(reached, '::', 2)) filter (where stars > 50) as reached_high_star
+  from fb left join rn on rn.full_name = split_part(reached, '::', 2) where starts_with(reached, 'workflow::') group by 1),
+am as (select node_id, node_kind, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree, coalesce(re.reached, 0) as fanout, coalesce(re.max_hops, 0) as max_depth, coalesce(reached_workflows, 0) as reached_workflows,
+    coalesce(reached_repos, 0) as reached_repos, coalesce(reached_high_star, 0) as reached_high_star, coalesce(bl.repos, 0) as blast_repos, coalesce(re.avg_hops, 0.0) as avg_depth, coalesce(i.n, 0) * coalesce(re.reached, 0) as betweenness_like,
+    greatest(coalesce(reached_workflows, 0), coalesce(reached_repos, 0), coalesce(bl.repos, 0)) as cascade_radius, round(case when reached_repos > 0 then reached_high_star / reached_repos else 0 end, 6) as concentration
+  from nk left join (select dst as node_id, count(*) as n from nl group by 1) i using (node_id) left join (select src as node_id, count(*) as n from nl group by 1) o using (node_id)
+  left join re using (node_id) left join nw using (node_id) left join bl on bl.action_id = node_id),
 """
 TRANSFER = """iu as (select lower(full_name) as name, full_name, repo_id, collected_at, ingest_seq, html_url,
     nullif(regexp_extract(coalesce(html_url, ''), '^https?://[^/]+/([^/]+/[^/]+?)/*$', 1), '') as resolved from repositories),
@@ -141,30 +161,27 @@ ORACLE = {
     "forward_reach": q(REACH, "select * from re"),
     "min_depths": q("", f"select {WF}, dst_node_id as action_id, edge_type, cast(min(depth) as bigint) as depth from sc group by all"),
     "usage": q("", "select dst_node_id as action_id, count(*) as usage_count from ed where dst_kind = 'action' group by 1"),
-    "ref_risk_by_action": q(CAT + DRIFT, """select action_id, category, usage_count, workflow_count, blast_repos, coalesce(k, 0) as drift_events, category <> 'FULL_SHA' as is_mutable,
-      round(blast_repos * weight, 4) as risk_score, round(case when k > 0 then blast_repos * weight * k else 0.0 end, 4) as drift_score
-      from (select action_id, category, count(*) as usage_count, count(distinct workflow_id) as workflow_count, max(repos) as blast_repos, max(weight) as weight from cw group by 1, 2)
-      left join (select action_id, count(*) as k from dr group by 1) using (action_id)"""),
-    "ref_risk_by_workflow": q(CAT, f"""select {WF}, count(*) as refs, {COUNTS}, round(count(*) filter (where category <> 'FULL_SHA') / count(*), 4) as mutable_ratio,
-      round(count(*) filter (where {HIGH}) / count(*), 4) as high_risk_ratio, round(sum(repos * weight), 4) as risk_score, cast(max(depth) as bigint) as max_depth from cw group by 1, 2"""),
-    "ref_risk_by_depth": q(CAT, f"""select g.bucket, coalesce(refs, 0) as refs, coalesce(mutable_refs, 0) as mutable_refs, coalesce(high_risk_refs, 0) as high_risk_refs, coalesce(workflows, 0) as workflows,
-      coalesce(avg_risk_score, 0.0) as avg_risk_score from (values ('level_1'), ('level_2'), ('level_3_plus')) g(bucket)
-      left join (select {bucket("depth")} as bucket, count(*) as refs, count(*) filter (where category <> 'FULL_SHA') as mutable_refs, count(*) filter (where {HIGH}) as high_risk_refs from cw group by 1) using (bucket)
-      left join (select {bucket("m")} as bucket, count(*) as workflows, round(avg(score), 4) as avg_risk_score from (select {WF}, max(depth) as m, sum(repos * weight) as score from cw group by 1, 2) group by 1) using (bucket)"""),
-    "ref_risk_summary": q(CAT, f"""select * from (select count(*) as actions, {COUNTS} from (select distinct action_id, category from cw)),
-      (select count(*) as refs, count(distinct workflow_id) as workflows, round(count(*) filter (where category <> 'FULL_SHA') / count(*), 4) as mutable_ratio,
-       round(count(*) filter (where {HIGH}) / count(*), 4) as high_risk_ratio from cw)"""),
+    "ref_risk_by_action": q(RISK, "select * from ra"),
+    "ref_risk_by_workflow": q(RISK, "select * from rw"),
+    "ref_risk_by_depth": q(RISK + f"""de as (select {bucket("depth")} as bucket, {COUNTS} from cw group by 1), dw as (select {bucket("max_depth")} as bucket, count(*) as workflows, cast(sum(drift_refs) as bigint) as drift_refs,
+        cast(sum(affected_repos) as bigint) as affected_repos, round(sum(risk_score), 4) as risk_score, round(sum(drift_score), 4) as drift_score from rw group by 1),
+      dz as (select g.bucket, {", ".join(f"coalesce({k.lower()}, 0) as {k.lower()}" for k in REF_CATEGORIES)}, coalesce(workflows, 0) as workflows, coalesce(drift_refs, 0) as drift_refs, coalesce(affected_repos, 0) as affected_repos,
+        coalesce(risk_score, 0.0) as risk_score, coalesce(drift_score, 0.0) as drift_score from (values ('level_1'), ('level_2'), ('level_3_plus')) g(bucket) left join de using (bucket) left join dw using (bucket)),""", f"select *, {_DERIVED} from dz"),
+    "ref_risk_summary": q(RISK, f"""select * from (select count(*) as actions, {COUNTS}, count(*) filter (where observed_drift) as drift_actions, round(sum(risk_score), 4) as risk_score, round(sum(drift_score), 4) as drift_score from ra),
+      (select count(*) as workflows, {", ".join(f"cast(sum({c}) as bigint) as {c}" for c in ("refs", "mutable_refs", "immutable_refs", "branch_refs", "tag_refs", "sha_refs", "drift_refs"))},
+        round(sum(mutable_refs) / sum(refs), 6) as mutable_ratio, round(sum(branch_main + branch_other + floating_tag + unknown_ref) / sum(refs), 6) as high_risk_ratio from rw),
+      (select count(distinct repository) as affected_repos from bp join ac using (action_id))"""),
     "trust_boundaries": q(OWNERS, "select * from tt"),
     "trust_boundary_summary": q(OWNERS, """select count(*) as workflows, count(*) filter (where has_external_owner) as with_external_owner, count(*) filter (where has_multi_owner_cascade) as with_multi_owner_cascade,
       round(avg(external_owners), 6) as avg_external_owners, max(external_owners) as max_external_owners, cast(sum(privileged_cross) as bigint) as privileged_cross from tt"""),
     "cascade_depth": q("", f"""select {WF}, cast(max(depth) as bigint) as max_depth, {", ".join(f"count(distinct dst_node_id) filter (where {bucket('depth')} = '{k}') as {k}" for k in ("level_1", "level_2", "level_3_plus"))},
-      {", ".join(f"round(count(*) filter (where ref_type = '{k}') / count(*), 4) as {k}_rate" for k in ("sha", "tag", "branch"))}, round(count(*) filter (where lower(ref_string) in {_in(X.MAIN_BRANCHES)}) / count(*), 4) as main_rate,
+      {", ".join(f"round(count(*) filter (where ref_type = '{k}') / count(*), 4) as {k}_rate" for k in ("sha", "tag", "branch"))}, round(count(*) filter (where lower(ref_string) in ('main', 'master', 'refs/heads/main', 'refs/heads/master')) / count(*), 4) as main_rate,
       count(*) filter (where binding_downgrade) as downgrades, count(*) filter (where depth >= 3 and ref_type <> 'sha') as high_risk_paths from sc group by 1, 2"""),
     "layer_map": q("", f"select {WF}, string_agg(depth || '=' || n, ',' order by depth) as layers from (select {WF}, depth, count(distinct dst_node_id) as n from sc group by 1, 2, 3) group by 1, 2"),
     "amplification_by_node": q(AMP, "select * from am"),
-    "amplification_summary": q(AMP, f"""select count(*) as nodes, median(fanout) as median_fanout, max(fanout) as max_fanout, (select v from {_rank("(select 1 as one, fanout from am)", "fanout", 0.95, "one")}) as p95_fanout,
-      (select round(2 * sum(i * fanout) / (max(n) * sum(fanout)) - (max(n) + 1) / max(n), 6) from (select fanout, row_number() over (order by fanout, node_id) as i, count(*) over () as n from am)) as gini,
-      {", ".join(f"(select round(sum(fanout) filter (where i <= {k}) / sum(fanout), 6) from (select fanout, row_number() over (order by fanout desc, node_id) as i from am)) as top_{k}_share" for k in (1, 10, 100))} from am"""),
+    "amplification_summary": q(AMP + "aa as (select * from am where node_kind = 'action'),", f"""select count(*) as nodes, median(fanout) as median_fanout, max(fanout) as max_fanout, (select v from {_rank("(select 1 as one, fanout from aa)", "fanout", 0.95, "one")}) as p95_fanout,
+      (select round(2 * sum(i * fanout) / (max(n) * sum(fanout)) - (max(n) + 1) / max(n), 6) from (select fanout, row_number() over (order by fanout, node_id) as i, count(*) over () as n from aa)) as gini,
+      {", ".join(f"(select round(sum(fanout) filter (where i <= {k}) / sum(fanout), 6) from (select fanout, row_number() over (order by fanout desc, node_id) as i from aa)) as top_{k}_share" for k in (1, 10, 100))} from aa"""),
     "lorenz_blast": q(BLAST, """select action_id, round(row_number() over w / count(*) over (), 6) as population_share, round(sum(repos) over (w rows unbounded preceding) / sum(repos) over (), 6) as value_share
       from bl window w as (order by repos, action_id)"""),
     "ecdf_implicit": q(IMPLICIT, f"select {WF}, implicit_ratio, round(row_number() over (order by implicit_ratio, {WF}) / count(*) over (), 6) as share from ir"),
@@ -229,7 +246,7 @@ df as (select lower(a.owner || '/' || a.repo) as name, count(distinct consumer_r
 dm as (select lower(owner || '/' || repo) as name, bool_or(author_verified = 'verified') as v from ac where marketplace_published group by 1),
 di as (select lower(full_name) as name, arg_max(archived, (case when collected_at is null then 0 else 1 end, coalesce(epoch_us(collected_at), 0), ingest_seq)) as archived from repositories group by 1),
 nm as (select dn.name, usage, coalesce(repos, 0) as repos, v as verified_creator, ip.status, di.archived from dn left join df using (name) left join dm using (name) left join ip using (name) left join di using (name)),
-pp as (select name, row_number() over (order by name in {_in(X.CANONICAL_NAMES)} desc, usage desc, repos desc, coalesce(verified_creator, false) desc, name desc) as place from nm where usage > 1 or repos > 1 or verified_creator or name in {_in(X.CANONICAL_NAMES)} qualify place <= 20),
+pp as (select name, row_number() over (order by name in {CANONICAL} desc, usage desc, repos desc, coalesce(verified_creator, false) desc, name desc) as place from nm where usage > 1 or repos > 1 or verified_creator or name in {CANONICAL} qualify place <= 20),
 pc as (select n.name, p.name as near, {_FULL} as distance, {_CONFUSION} as confusion, place from nm n, pp p where n.name not in (select name from pp)),
 pb as (select name, arg_min(near, (distance, -confusion, place)) as near, min(distance) as distance, arg_min(confusion, (distance, -confusion, place)) as confusion from pc group by 1),
 dc as (select nm.*, near, distance, coalesce(confusion, 0) as cf from nm left join pb using (name)),

@@ -9,9 +9,9 @@ from refweave.functions import exprs as X
 from refweave.functions import stats
 from refweave.functions.text import stable_id, strip
 from refweave.plans import domain as D
-from refweave.plans.oracle import BLAST, CAT, HIGH, OWNERS, category, q
+from refweave.plans.oracle import CAT, HIGH, TOKEN_PATTERNS, WEIGHT, category, q
 from refweave.plans.core_problems import _WS
-from refweave.plans.graph_metrics import blast_radius, categorized
+from refweave.plans.graph_metrics import categorized
 from refweave.session import table
 
 _U = "(select distinct unnest(list_concat(coalesce(uses_before, []), coalesce(uses_after, []))) as u from workflow_changes)"
@@ -232,32 +232,6 @@ def reasons(s: SparkSession, d: str) -> DataFrame:
     return w.withColumn("r", named).where("size(r) > 0").select("consumer_repository", "workflow_path", F.array_join("r", ",").alias("reasons"))
 
 
-def component_types(s: SparkSession, d: str) -> DataFrame:
-    """All five component types, empty ones too: actions, mean usage where used, mean blast radius, tag share."""
-    b = D.once(s, d, "blast", lambda: blast_radius(s, d)).select("action_id", "repos")
-    n = D.edges(s, d).where("dst_kind = 'action'").groupBy(F.col("dst_node_id").alias("action_id")).agg(F.count("*").alias("usage"))
-    a = D.actions(s, d).select("action_id", "action_type", "ref_type").join(b, "action_id", "left").join(n, "action_id", "left")
-    per = a.groupBy("action_type").agg(
-        F.count("*").alias("actions"), F.round(F.avg(F.nullif("usage", F.lit(0))), 4).alias("avg_usage"), F.round(F.avg(F.coalesce("repos", F.lit(0))), 4).alias("avg_blast"),
-        F.round(F.count_if(F.col("ref_type") == "tag") / F.count("*"), 4).alias("tag_share"),
-    )
-    grid = s.createDataFrame([(k,) for k in ("javascript", "docker", "composite", "reusable_workflow", "unknown")], "action_type string")
-    return grid.join(per, "action_type", "left").withColumn("actions", F.coalesce("actions", F.lit(0).cast("long")))
-
-
-def ref_type_comparison(s: SparkSession, d: str) -> DataFrame:
-    """All eight categories: actions, workflows having any, mean usage and blast radius."""
-    c = D.once(s, d, "categorized", lambda: categorized(s, d))
-    per_action = c.groupBy("category", "action_id").agg(F.count("*").alias("usage"), F.max("repos").alias("repos"))
-    a = per_action.groupBy("category").agg(F.count("*").alias("actions"), F.round(F.avg("usage"), 4).alias("avg_usage"), F.round(F.avg("repos"), 4).alias("avg_blast"))
-    w = c.groupBy("category").agg(F.count_distinct("workflow_id").alias("workflows"))
-    grid = s.createDataFrame([(k,) for k in X.REF_CATEGORIES], "category string")
-    zero = F.lit(0).cast("long")
-    return grid.join(a, "category", "left").join(w, "category", "left").select(
-        "category", F.coalesce("actions", zero).alias("actions"), F.coalesce("workflows", zero).alias("workflows"), "avg_usage", "avg_blast"
-    )
-
-
 def trust_entities(s: SparkSession, d: str) -> DataFrame:
     """Trust by entity: each action counts for its owner, its repository and its category; mean weight by usage."""
     c = D.once(s, d, "categorized", lambda: categorized(s, d))
@@ -274,18 +248,6 @@ def trust_entities(s: SparkSession, d: str) -> DataFrame:
     return e
 
 
-def lift_cross_same(s: SparkSession, d: str) -> DataFrame:
-    """Workflows that depend on other owners against those that do not: means of references and shares, and their ratio."""
-    from refweave.plans.graph_metrics import ref_risk_by_workflow, trust_boundaries
-
-    r = ref_risk_by_workflow(s, d).join(trust_boundaries(s, d).select("consumer_repository", "workflow_path", "has_external_owner"), ["consumer_repository", "workflow_path"])
-    per = r.groupBy(F.when(F.col("has_external_owner"), "cross").otherwise("same").alias("scope")).agg(
-        F.count("*").alias("workflows"), F.round(F.avg("refs"), 4).alias("avg_refs"), F.round(F.avg("mutable_ratio"), 4).alias("avg_mutable_ratio")
-    )
-    grid = s.createDataFrame([("cross",), ("same",)], "scope string")
-    return grid.join(per, "scope", "left").withColumn("workflows", F.coalesce("workflows", F.lit(0).cast("long")))
-
-
 def depth_token_rate(s: SparkSession, d: str) -> DataFrame:
     """Share of token-reading actions by depth (0, 1, 2, 3+), all four in order."""
     a = D.actions(s, d).select(F.col("action_id").alias("dst_node_id"), "has_token_access")
@@ -321,20 +283,16 @@ def top_orders_per_customer(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     scan_actions, scoped_edges, direct_edges, high_star_repos, stable_ids, classify_ref, ref_category, parse_action_ref, trust_domain, depth_bucket, normalize_name,
     marketplace_cards, name_lookalikes, prefix_confusion, contains_keywords, token_patterns, script_paths, permission_levels, callee_identifier, html_strip, html_links, iso_timestamps,
-    identity_status, latest_per_key, edges_actions, marketplace_left, impact, reference_union, concentration, percentile_stars, reasons, component_types,
-    ref_type_comparison, trust_entities, lift_cross_same, depth_token_rate, top_reuse, lineitem_pricing, top_orders_per_customer,
+    identity_status, latest_per_key, edges_actions, marketplace_left, impact, reference_union, concentration, percentile_stars, reasons, trust_entities, depth_token_rate, top_reuse, lineitem_pricing, top_orders_per_customer,
 )}
 
 _KIND = """case when ref is null or regexp_matches(ref, '\\$\\{\\{\\s*[^}]+\\s*\\}\\}') then 'unknown' when regexp_full_match(ref, '[0-9a-fA-F]{40}') then 'sha' when starts_with(ref, 'refs/heads/') then 'branch'
   when regexp_full_match(ref, 'v?\\d+(\\.\\d+)*([\\-+].+)?') then 'tag' when ref in ('main', 'master', 'develop') or contains(ref, '/') then 'branch' else 'tag' end"""
 _PARSES = f"instr(u, '@') > 0 and instr({_N}, '/') > 0"
-_W = "case category " + " ".join(f"when '{k}' then {v}::double" for k, v in X.RISK_WEIGHTS.items()) + " end"
 _DOM = f"""case when not ({_PARSES}) then 'unknown' when lower(split_part(u, '/', 1)) in ('actions', 'github') then 'github_owned'
   when lower(split_part(u, '/', 1)) = lower(split_part(repository_full_name, '/', 1)) then 'same_owner' when regexp_full_match(split_part(u, '/', 1), '[A-Za-z0-9_.-]+') then 'third_party' else 'unknown' end"""
 _NAMED = f"case when {_PARSES} then lower(split_part({_N}, '/', 1) || '/' || split_part({_N}, '/', 2)) else lower(u) end"
-_TOK = "list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(content, '{p}')" for p in X.TOKEN_PATTERNS) + "])))"
-_RISKW = f"""rw as (select consumer_repository, workflow_path, count(*) as refs, round(count(*) filter (where category <> 'FULL_SHA') / count(*), 4) as mutable_ratio from cw group by 1, 2),
-"""
+_TOK = "list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(content, '{p}')" for p in TOKEN_PATTERNS) + "])))"
 
 ORACLE = {
     "scan_actions": "select action_id, owner, repo, ref from actions where marketplace_published",
@@ -343,7 +301,7 @@ ORACLE = {
     "high_star_repos": q("", "select repo_id, full_name, stars from rl where stars > 50"),
     "stable_ids": "select ingest_seq, action_id, sha1(owner || '::' || repo || '::' || coalesce(subpath, '') || '::' || ref) = action_id as is_equal from actions",
     "classify_ref": f"select ref, {_KIND} as kind, regexp_matches(ref, '\\$\\{{\\{{\\s*[^}}]+\\s*\\}}\\}}') as is_dynamic from (select distinct ref from actions)",
-    "ref_category": f"""select *, {_W} as weight, {HIGH} or category = 'MAJOR_TAG' as movable, category <> 'FULL_SHA' as mutable from (select ref, {category("ref")} as category from (select distinct ref from actions))""",
+    "ref_category": f"""select *, {WEIGHT} as weight, {HIGH} or category = 'MAJOR_TAG' as movable, category <> 'FULL_SHA' as mutable from (select ref, {category("ref")} as category from (select distinct ref from actions))""",
     "parse_action_ref": f"""select u, case when {_PARSES} then split_part({_N}, '/', 1) end as owner, case when {_PARSES} then split_part({_N}, '/', 2) end as repo,
       case when {_PARSES} and len(split({_N}, '/')) > 2 then array_to_string(split({_N}, '/')[3:], '/') end as subpath, case when {_PARSES} then {_R} end as ref from {_U}""",
     "trust_domain": f"select repository_full_name, u, {_DOM} as domain, {_NAMED} as name from (select distinct repository_full_name, unnest(uses_after) as u from workflow_changes) where u is not null",
@@ -383,12 +341,6 @@ ORACLE = {
       "select is_fork, median(stars) as median, max(stars) filter (where i = round_even((n - 1) * 0.5, 0) + 1) as p50, max(stars) filter (where i = round_even((n - 1) * 0.95, 0) + 1) as p95 from sr group by 1"),
     "reasons": q(CAT, f"""select consumer_repository, workflow_path, array_to_string(list_filter([case when bool_or({HIGH}) then 'high_risk_reference' end, case when bool_or(author_verified = 'unverified') then 'unverified_author' end,
       case when max(depth) >= 3 then 'deep_cascade' end], lambda x: x is not null), ',') as reasons from cw group by 1, 2 having bool_or({HIGH}) or bool_or(author_verified = 'unverified') or max(depth) >= 3"""),
-    "component_types": q(BLAST, f"""select g.action_type, coalesce(n, 0) as actions, avg_usage, avg_blast, tag_share from (values ('javascript'), ('docker'), ('composite'), ('reusable_workflow'), ('unknown')) g(action_type)
-      left join (select action_type, count(*) as n, round(avg(usage), 4) as avg_usage, round(avg(coalesce(repos, 0)), 4) as avg_blast, round(count(*) filter (where ref_type = 'tag') / count(*), 4) as tag_share
-      from ac left join bl using (action_id) left join (select dst_node_id as action_id, count(*) as usage from ed where dst_kind = 'action' group by 1) using (action_id) group by 1) using (action_type)"""),
-    "ref_type_comparison": q(CAT, f"""select g.category, coalesce(a.actions, 0) as actions, coalesce(w.workflows, 0) as workflows, avg_usage, avg_blast from (select unnest([{", ".join(f"'{k}'" for k in X.REF_CATEGORIES)}]) as category) g
-      left join (select category, count(*) as actions, round(avg(n), 4) as avg_usage, round(avg(repos), 4) as avg_blast from (select category, action_id, count(*) as n, max(repos) as repos from cw group by 1, 2) group by 1) a using (category)
-      left join (select category, count(distinct workflow_id) as workflows from cw group by 1) w using (category)"""),
     "trust_entities": q(CAT + "te as (select c.*, nullif(trim(a.marketplace_category), '') as mc from cw c left join ac a using (action_id)), tx as (select *, owner as entity, 'owner' as kind from te union all select *, owner || '/' || repo, 'repository' from te union all select *, mc, 'category' from te where mc is not null),",
       """select entity, kind, count(*) as usage, count(distinct action_id) as actions, count(distinct consumer_repository) as repositories, round(avg(weight), 6) as mean_weight,
       round(count(*) filter (where category <> 'FULL_SHA') / count(*), 6) as mutable_ratio from tx group by 1, 2"""),
@@ -400,6 +352,3 @@ ORACLE = {
     "top_orders_per_customer": "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 3",
 }
 
-ORACLE["lift_cross_same"] = q(CAT + OWNERS + _RISKW, """select g.scope, coalesce(n, 0) as workflows, avg_refs, avg_mutable_ratio from (values ('cross'), ('same')) g(scope)
-  left join (select case when has_external_owner then 'cross' else 'same' end as scope, count(*) as n, round(avg(refs), 4) as avg_refs, round(avg(mutable_ratio), 4) as avg_mutable_ratio
-  from rw join tt using (consumer_repository, workflow_path) group by 1) using (scope)""")

@@ -1,4 +1,4 @@
-"""Queries over parsed workflow files, and the comparisons and evidence tables built on them."""
+"""Queries over parsed workflow files, and look-alike names."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from refweave.functions import exprs as X
-from refweave.functions import stats
 from refweave.operators import documents, jobs
 from refweave.plans import domain as D
 from refweave.plans import graph_metrics as G
+from refweave.session import spread
 
 WP = ["repository_full_name", "path"]
 
@@ -17,7 +17,7 @@ WP = ["repository_full_name", "path"]
 def docs(s: SparkSession, d: str) -> DataFrame:
     yaml_file = F.lower("path").rlike(r"\.ya?ml$")
     files = D.workflows(s, d).where(yaml_file & F.col("content").isNotNull())
-    return D.once(s, d, "docs", lambda: documents.workflow_documents(files.repartition(files.sparkSession.sparkContext.defaultParallelism, *jobs.KEY), "content", jobs.KEY))
+    return D.once(s, d, "docs", lambda: documents.workflow_documents(spread(files), "content", jobs.KEY))
 
 
 def _jobs(s: SparkSession, d: str) -> DataFrame:
@@ -81,12 +81,12 @@ def propagation_by_workflow(s: SparkSession, d: str) -> DataFrame:
 
 def propagation_summary(s: SparkSession, d: str) -> DataFrame:
     flags = ("artifact_upload", "artifact_download", "cache", "job_outputs", "needs_outputs", "on_workflow_run", "on_workflow_call", "reusable_call", "privilege_coupling", "mutable_downstream")
-    return propagation_by_workflow(s, d).agg(F.count("*").alias("workflows"), *[F.count_if(f).alias(f) for f in flags], F.max("max_job_depth").alias("max_job_depth"), F.round(F.avg("channel_count"), 6).alias("avg_channels"))
+    return propagation_by_workflow(s, d).agg(F.count("*").alias("workflows"), *[F.count_if(f).alias(f) for f in flags], F.max("max_job_depth").alias("max_job_depth"), F.round(F.avg("channel_count"), 6).alias("avg_channels"), F.round(F.avg("needs_edges"), 6).alias("avg_needs_edges"))
 
 
 def propagation_examples(s: SparkSession, d: str) -> DataFrame:
-    p = propagation_by_workflow(s, d).where("privilege_coupling or mutable_downstream or channel_count > 0")
-    return p.orderBy(F.desc("propagation_score"), F.desc("channel_count"), F.desc(F.lower("repository_full_name")), F.desc("path"), F.desc("sha")).limit(50)
+    p = propagation_by_workflow(s, d).where("propagation_score > 0")
+    return p.orderBy(F.desc("propagation_score"), F.desc("channel_count"), F.desc("needs_edges"), F.desc(F.lower("repository_full_name")), F.desc("path"), F.desc("sha")).limit(50)
 
 
 def reusable_calls(s: SparkSession, d: str) -> DataFrame:
@@ -108,10 +108,15 @@ def reusable_summary(s: SparkSession, d: str) -> DataFrame:
 def reusable_profile(s: SparkSession, d: str) -> DataFrame:
     """Overlapping strata of calls; all five are there, empty ones too."""
     c = jobs.calls(_jobs(s, d))
-    strata = {"remote": F.col("is_remote"), "local": ~F.col("is_remote"), "mutable": F.col("is_mutable"), "cross_org": F.col("is_cross_org"), "inherits_secrets": F.col("inherits_secrets")}
+    c = c.join(jobs.callees(c).select("callee", F.col("repositories").alias("downstream")), "callee")
+    remote = F.col("is_remote")
+    strata = {"local": ~remote, "remote": remote, "remote_same_org": remote & ~F.col("is_cross_org"), "remote_cross_org": remote & F.col("is_cross_org"), "remote_third_party": remote & F.col("is_third_party")}
     label = F.explode(F.array_compact(F.array(*[F.when(x, F.lit(n)) for n, x in strata.items()])))
-    per = c.withColumn("stratum", label).groupBy("stratum").agg(F.count("*").alias("calls"), F.count_distinct("callee").alias("callees"), *[F.round(F.count_if(f) / F.count("*"), 4).alias(f"{f}_share") for f in ("is_mutable", "inherits_secrets", "id_token_write")])
-    return s.createDataFrame([(n,) for n in strata], "stratum string").join(per, "stratum", "left").withColumn("calls", F.coalesce("calls", F.lit(0).cast("long")))
+    flags = ("is_mutable", "inherits_secrets", "has_permissions", "id_token_write")
+    per = c.withColumn("stratum", label).groupBy("stratum").agg(F.count("*").alias("calls"), *[F.count_if(f).alias(f) for f in flags], F.round(F.avg("downstream"), 4).alias("avg_downstream"))
+    out = s.createDataFrame([(n,) for n in strata], "stratum string").join(per, "stratum", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("stratum", *[F.coalesce(x, zero).alias(x) for x in ("calls", *flags)], *[F.round(X.rate(F.coalesce(f, zero), F.coalesce("calls", zero)), 6).alias(f"{f}_share") for f in flags], "avg_downstream")
 
 
 def workflow_uses(s: SparkSession, d: str) -> DataFrame:
@@ -129,101 +134,6 @@ def action_kinds(s: SparkSession, d: str) -> DataFrame:
     return parsed.groupBy("action_type", F.col("action.kind").alias("kind")).agg(F.count("*").alias("actions"), F.sum(F.size("action.uses")).alias("uses"))
 
 
-def privileged_blast(s: SparkSession, d: str) -> DataFrame:
-    """Per action: privileged and id-token workflows and repositories downstream, with the blast radius."""
-    w = privilege_by_workflow(s, d).select(F.col("repository_full_name").alias("consumer_repository"), F.col("path").alias("workflow_path"), "privilege_score", "id_token_write", "mutable_with_privilege")
-    e = D.scoped(s, d).join(w, G.WF)
-    priv, token, mut = F.col("privilege_score") > 0, F.col("id_token_write"), F.col("mutable_with_privilege")
-    count = lambda c, x: F.count_distinct(F.when(c, F.col(x)))
-    hit = e.groupBy(F.col("dst_node_id").alias("action_id")).agg(
-        count(priv, "workflow_id").alias("privileged_workflows"), count(priv, "consumer_repository").alias("privileged_repos"), count(token, "workflow_id").alias("id_token_workflows"),
-        count(token, "consumer_repository").alias("id_token_repos"), count(mut, "workflow_id").alias("mutable_privileged_workflows"),
-    )
-    b = D.once(s, d, "blast", lambda: G.blast_radius(s, d)).join(hit, "action_id", "left")
-    zero = F.lit(0).cast("long")
-    b = b.select("action_id", "repos", "high_star_repos", "high_star_coverage", *[F.coalesce(c, zero).alias(c) for c in hit.columns if c != "action_id"])
-    score = 2 * F.col("privileged_repos") + 3 * F.col("id_token_workflows") + 2.5 * F.col("mutable_privileged_workflows") + 1.5 * F.col("high_star_repos") + F.col("high_star_coverage") / 1e6
-    return b.withColumn("score", F.round(score, 4))
-
-
-def privileged_blast_summary(s: SparkSession, d: str) -> DataFrame:
-    b = privileged_blast(s, d)
-    tops = stats.top_shares(b.select("action_id", F.col("privileged_repos").cast("double").alias("x")), "x", [1, 10, 100], ["action_id"])
-    return b.agg(F.count("*").alias("actions"), F.count_if(F.col("privileged_repos") > 0).alias("with_privileged"), F.max("score").alias("max_score")).crossJoin(tops)  # one row each
-
-
-def workflow_evidence(s: SparkSession, d: str) -> DataFrame:
-    """Trust boundaries with reference risk, privilege and propagation of the same workflow: four sides, left-joined."""
-    r = G.ref_risk_by_workflow(s, d).select(*G.WF, "mutable_ratio")
-    p = privilege_by_workflow(s, d).select(F.col("repository_full_name").alias("consumer_repository"), F.col("path").alias("workflow_path"), "privilege_score")
-    g = propagation_by_workflow(s, d).groupBy(F.col("repository_full_name").alias("consumer_repository"), F.col("path").alias("workflow_path")).agg(F.max("channel_count").alias("channel_count"))
-    return G.trust_boundaries(s, d).select(*G.WF, "has_external_owner").join(r, G.WF, "left").join(p, G.WF, "left").join(g, G.WF, "left")
-
-
-def cross_owner_effects(s: SparkSession, d: str) -> DataFrame:
-    """Means of three measures for workflows with and without direct cross-owner dependencies, and their difference."""
-    w = workflow_evidence(s, d)
-    long = w.select("has_external_owner", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("mutable_ratio", "privilege_score", "channel_count")])).alias("m"))
-    long = long.select("has_external_owner", "m.*").where("value is not null")
-    cross, same = F.when(F.col("has_external_owner"), F.col("value")), F.when(~F.col("has_external_owner"), F.col("value"))
-    per = long.groupBy("metric").agg(F.count(cross).alias("cross_count"), F.count(same).alias("same_count"), F.round(F.avg(cross), 6).alias("cross_mean"), F.round(F.avg(same), 6).alias("same_mean"))
-    return per.withColumn("difference", F.round(F.col("cross_mean") - F.col("same_mean"), 6))
-
-
-def _indicators(s: SparkSession, d: str) -> DataFrame:
-    one = lambda c: F.when(c, 1.0).otherwise(0.0)
-
-    def rows(df: DataFrame, name: str, value, ident: list[str]) -> DataFrame:
-        return df.select(F.lit(name).alias("indicator"), value.cast("double").alias("value"), F.concat_ws("|", *ident).alias("ident"))
-
-    parts = [
-        rows(G.implicit_ratio(s, d), "non_zero_implicit_dependency_ratio", one(F.col("implicit_count") > 0), G.WF),
-        rows(G.ref_risk_by_workflow(s, d), "mutable_ref_ratio_per_workflow", F.col("mutable_ratio"), G.WF),
-        rows(privilege_by_job(s, d), "isolation_privilege_coupling_ratio_per_job", one(F.col("isolation_coupling")), [*jobs.KEY, "job_id"]),
-        rows(propagation_by_workflow(s, d), "privilege_propagation_coupling_ratio_per_workflow", one(F.col("privilege_coupling")), jobs.KEY),
-        rows(G.trust_boundaries(s, d), "external_owner_dependency_ratio_per_workflow", one(F.col("has_external_owner")), G.WF),
-        rows(G.ref_risk_by_action(s, d), "observed_drift_ratio_per_action", one(F.col("drift_events") > 0), ["action_id"]),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def bootstrap_indicators(s: SparkSession, d: str) -> DataFrame:
-    """Seven indicators with 95 % bootstrap intervals, 500 draws from one seed."""
-    from refweave.plans.scalars import trust_entities
-
-    means = stats.bootstrap(_indicators(s, d), "indicator", "value", ["ident"])
-    owners = trust_entities(s, d).where("kind = 'owner'").select(F.lit("top10_owner_usage_share").alias("indicator"), F.col("usage").cast("double").alias("value"), F.col("entity").alias("ident"))
-    return means.unionByName(stats.bootstrap(owners, "indicator", "value", ["ident"], top_k=10))
-
-
-def bootstrap_scalable(s: SparkSession, d: str) -> DataFrame:
-    """The same means by Poisson resampling in SQL, with no group gathered."""
-    return stats.bootstrap_means(_indicators(s, d), "indicator", "value", iterations=50)
-
-
-def manual_validation(s: SparkSession, d: str) -> DataFrame:
-    """Up to 50 workflows to look at for privilege and 50 for propagation, with reasons and the job of the highest score."""
-    w = privilege_by_workflow(s, d)
-    top_job = privilege_by_job(s, d).groupBy(*WP).agg(F.max_by("job_id", F.struct("privilege_score", "sha", "job_id")).alias("top_job"))
-    why3 = F.array_compact(F.array(
-        F.when(F.col("isolation_coupling"), "mixed_trust_with_privilege"), F.when(F.col("mutable_with_privilege"), "mutable_third_party_with_privilege"),
-        F.when(F.col("pull_request_target"), "pull_request_target"), F.when(F.col("id_token_write"), "id_token_write"), F.when(F.col("secrets_in_with"), "secrets_in_with"),
-    ))
-    a = w.withColumn("r", why3).where("size(r) > 0").select(F.lit("RQ3").alias("label"), *WP, F.array_join("r", ",").alias("reasons"), F.col("privilege_score").alias("score"))
-    a = a.orderBy(F.desc("score"), *WP).limit(50).join(top_job, WP, "left")
-    why4 = F.array_compact(F.array(
-        F.when(F.col("privilege_coupling"), "privilege_with_channels"), F.when(F.col("mutable_downstream"), "mutable_upstream_job"), F.when(F.col("on_workflow_run"), "workflow_run"),
-        F.when(F.col("reusable_call"), "reusable_call"), F.when(F.col("artifact_download"), "artifact_download"),
-    ))
-    p = propagation_by_workflow(s, d).withColumn("r", why4).where("size(r) > 0")
-    b = p.groupBy(*WP).agg(F.max_by(F.array_join("r", ","), F.struct("propagation_score", "sha")).alias("reasons"), F.max("propagation_score").alias("score"))
-    b = b.select(F.lit("RQ4").alias("label"), *WP, "reasons", "score").orderBy(F.desc("score"), *WP).limit(50).withColumn("top_job", F.lit(None).cast("string"))
-    return a.unionByName(b)
-
-
 def discovery_candidates(s: SparkSession, d: str) -> DataFrame:
     """Names that could be taken for a popular one, moved or missing repositories, with score and kind.
 
@@ -283,6 +193,5 @@ def discovery_summary(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     isolation_by_job, isolation_summary, isolation_examples, privilege_by_job, privilege_by_workflow, privilege_summary, privilege_examples, propagation_by_workflow,
-    propagation_summary, propagation_examples, reusable_calls, reusable_callees, reusable_summary, reusable_profile, workflow_uses, action_kinds, privileged_blast,
-    privileged_blast_summary, workflow_evidence, cross_owner_effects, bootstrap_indicators, bootstrap_scalable, manual_validation, discovery_candidates, discovery_summary,
+    propagation_summary, propagation_examples, reusable_calls, reusable_callees, reusable_summary, reusable_profile, workflow_uses, action_kinds, discovery_candidates, discovery_summary,
 )}

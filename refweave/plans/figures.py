@@ -155,5 +155,4 @@ ORACLE = {
     "category_counts": O.q(O.CAT, f"select i::bigint as place, g.category, count(cw.category) as n from (values {', '.join(f'({i}, {k!r})' for i, k in enumerate(O.REF_CATEGORIES))}) g(i, category) left join cw using (category) group by 1, 2"),
     "reach_histogram": O.q(O.AMP, "select max_depth, cast(floor(fanout / 100) * 100 as bigint) as fanout_from, count(*) as nodes from am where node_kind = 'action' group by 1, 2"),
     "top_amplifiers": O.q(O.AMP, "select node_id, cascade_radius, fanout, betweenness_like from am where node_kind = 'action' order by cascade_radius desc, fanout desc, reached_high_star desc, node_id desc limit 100"),
-    "top_owners": O.q("", "select owner as entity, count(*) as usage, count(distinct consumer_repository) as repositories from sc e join ac a on a.action_id = e.dst_node_id group by 1 order by usage desc, entity limit 15"),
 }

@@ -125,7 +125,7 @@ IMPLICIT = f"""pa as (select {WF}, dst_node_id, bool_or(edge_type = 'direct') as
 ir as (select {WF}, count(*) filter (where direct) as direct_count, count(*) filter (where not direct) as implicit_count, count(*) as total_count,
   round(count(*) filter (where not direct) / count(*), 6) as implicit_ratio from pa group by 1, 2),
 """
-AMP = BLAST + REACH + """nk as (select src_node_id as node_id, src_kind as node_kind from ed where src_kind in ('action', 'workflow') union select dst_node_id, dst_kind from ed where dst_kind in ('action', 'workflow')),
+AMP_NODES = """nk as (select src_node_id as node_id, src_kind as node_kind from ed where src_kind in ('action', 'workflow') union select dst_node_id, dst_kind from ed where dst_kind in ('action', 'workflow')),
 nw as (select node_id, count(*) as reached_workflows, count(distinct split_part(reached, '::', 2)) as reached_repos, count(distinct split_part(reached, '::', 2)) filter (where stars > 50) as reached_high_star
   from fb left join rn on rn.full_name = split_part(reached, '::', 2) where starts_with(reached, 'workflow::') group by 1),
 am as (select node_id, node_kind, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0) as out_degree, coalesce(re.reached, 0) as fanout, coalesce(re.max_hops, 0) as max_depth, coalesce(reached_workflows, 0) as reached_workflows,
@@ -134,6 +134,7 @@ am as (select node_id, node_kind, coalesce(i.n, 0) as in_degree, coalesce(o.n, 0
   from nk left join (select dst as node_id, count(*) as n from nl group by 1) i using (node_id) left join (select src as node_id, count(*) as n from nl group by 1) o using (node_id)
   left join re using (node_id) left join nw using (node_id) left join bl on bl.action_id = node_id),
 """
+AMP = BLAST + REACH + AMP_NODES
 TRANSFER = """iu as (select lower(full_name) as name, full_name, repo_id, collected_at, ingest_seq, html_url,
     nullif(regexp_extract(coalesce(html_url, ''), '^https?://[^/]+/([^/]+/[^/]+?)/*$', 1), '') as resolved from repositories),
 ii as (select *, case when resolved is not null then (case when lower(resolved) = name then 'canonical' else 'redirected' end) when html_url is null then 'missing' else 'inaccessible' end as st from iu),

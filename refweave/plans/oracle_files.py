@@ -81,12 +81,12 @@ mx as (select repository_full_name, path, job_id, arg_max(mixed_domains, sha) as
 pv as (select {_F}, job_id, bool_or({_any("with_text", _SECRET)}) as secrets_in_with, bool_or({_any("concat_ws(' ', '', with_text, run)", ["github_token"])}) as explicit_token,
     bool_or({_any("concat_ws(' ', '', with_text, run, uses)", _CLOUD)}) as cloud_credentials, count(*) filter (where uses is not null and domain = 'third_party') as third_party_actions,
     count(*) filter (where uses is not null and domain = 'third_party' and movable) as movable_actions from sp group by {_F}, job_id),
-pa as (select j.{_F.replace(", ", ", j.")}, w.workflow_name, j.job_id, w.id_token_write, w.contents_write, w.id_token_write or w.contents_write as high_privilege, list_contains(list_transform(triggers, lambda x: lower(x)), 'pull_request_target') as pull_request_target,
+pa0 as (select j.{_F.replace(", ", ", j.")}, w.workflow_name, j.job_id, w.id_token_write, w.contents_write, w.id_token_write or w.contents_write as high_privilege, list_contains(list_transform(triggers, lambda x: lower(x)), 'pull_request_target') as pull_request_target,
     coalesce(secrets_in_with, false) as secrets_in_with, coalesce(explicit_token, false) as explicit_token, coalesce(cloud_credentials, false) as cloud_credentials, coalesce(third_party_actions, 0) as third_party_actions,
     coalesce(movable_actions, 0) as movable_actions, coalesce(mixed, false) as mixed
   from jb j join wn w using ({_F}) left join pv using ({_F}, job_id) left join mx on mx.repository_full_name = j.repository_full_name and mx.path = j.path and mx.job_id = j.job_id),
 pb as (select *, third_party_actions > 0 and high_privilege as third_party_with_privilege, movable_actions > 0 and high_privilege as mutable_with_privilege,
-    mixed and (high_privilege or secrets_in_with or explicit_token or cloud_credentials) as isolation_coupling, high_privilege or pull_request_target or secrets_in_with as any_signal from pa),
+    mixed and (high_privilege or secrets_in_with or explicit_token or cloud_credentials) as isolation_coupling, high_privilege or pull_request_target or secrets_in_with as any_signal from pa0),
 pj as (select {_F}, workflow_name, job_id, id_token_write, contents_write, false as actions_write, false as packages_write, false as deployments_write, false as security_events_write, false as write_all, false as read_all, high_privilege,
     pull_request_target, false as secrets_in_env, secrets_in_with, explicit_token, cloud_credentials, third_party_actions, movable_actions, third_party_with_privilege, mutable_with_privilege, isolation_coupling, any_signal,
     round(6.0 * mutable_with_privilege::int + 4.5 * id_token_write::int + 3.0 * contents_write::int + 2.0 * secrets_in_with::int + 1.5 * explicit_token::int + 1.5 * cloud_credentials::int + 2.0 * pull_request_target::int

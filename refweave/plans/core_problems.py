@@ -180,20 +180,29 @@ def _p4(entity: str, name: str, key: str, at: str, fields: list[str]) -> str:
 
 
 _P4 = _p4("repository", "repositories", "repo_id", "collected_at", REPOSITORY_FIELDS) + " union all " + _p4("action", "actions", "action_id", "discovered_at", ACTION_FIELDS)
-_P5 = """with recursive links as (select distinct consumer_repository as c, workflow_path as w, src_node_id as a, dst_node_id as b from edges
+_P5_BASE = """with recursive links as (select distinct consumer_repository as c, workflow_path as w, src_node_id as a, dst_node_id as b from edges
     where consumer_repository is not null and workflow_path is not null and src_node_id is not null and dst_node_id is not null),
   nodes as (select c, w, a as n from links union select c, w, b from links),
   reach(c, w, a, b) as (select c, w, a, b from links union select r.c, r.w, r.a, l.b from reach r join links l on l.c = r.c and l.w = r.w and l.a = r.b),
+  most as (select c, w, count(*) as nodes from nodes group by c, w),
   roots as (select n.* from nodes n anti join links l on l.c = n.c and l.w = n.w and l.b = n.n),
   walk(c, w, root, n, depth) as (select c, w, n, n, 0 from roots
-    union select k.c, k.w, k.root, l.b, k.depth + 1 from walk k join links l on l.c = k.c and l.w = k.w and l.a = k.n where k.depth < 200
+    union select k.c, k.w, k.root, l.b, k.depth + 1 from walk k join links l on l.c = k.c and l.w = k.w and l.a = k.n join most m on m.c = k.c and m.w = k.w where k.depth < m.nodes
       and not exists (select 1 from links s where s.c = l.c and s.w = l.w and s.a = l.a and s.b = l.b and s.a = s.b)),
   best as (select c, w, n, arg_min(root, (depth, root)) as root, min(depth) as depth from walk group by c, w, n),
-  counts as (select c, w, a as n, count(*) filter (where b <> a) as k, max(case when b = a then 1 else 0 end) as loop from reach group by c, w, a)
+  counts as (select c, w, a as n, count(*) filter (where b <> a) as k, max(case when b = a then 1 else 0 end) as loop from reach group by c, w, a)"""
+_P5 = _P5_BASE + """
 select n.c as consumer_repository, n.w as workflow_path, n.n as node_id, coalesce(b.root, '') as root_node_id, cast(coalesce(b.depth, -1) as bigint) as depth,
   coalesce(k.k, 0) as n_descendants, cast(coalesce(k.loop, 0) as bigint) as on_cycle
 from nodes n left join best b on b.c = n.c and b.w = n.w and b.n = n.n left join counts k on k.c = n.c and k.w = n.w and k.n = n.n"""
 
+_P5_PATHS = _P5_BASE + """,
+  up as (select l.c, l.w, l.b as n, arg_min(l.a, (p.root, l.a)) as parent from links l join best p on p.c = l.c and p.w = l.w and p.n = l.a join best b on b.c = l.c and b.w = l.w and b.n = l.b where p.depth = b.depth - 1 group by 1, 2, 3),
+  paths(c, w, n, parent, path) as (select c, w, n, null::varchar, [n] from roots union all select u.c, u.w, u.n, u.parent, list_append(p.path, u.n) from paths p join up u on u.c = p.c and u.w = p.w and u.parent = p.n),
+  sizes as (select c, w, n, count(*) as size from (select c, w, unnest(path) as n from paths) group by 1, 2, 3),
+  placed as (select *, row_number() over (partition by c, w order by path) - 1 as range_start from paths)
+select c as consumer_repository, w as workflow_path, n as node_id, parent as parent_id, array_to_string(path, ' > ') as path, range_start, range_start + size as range_end from placed join sizes using (c, w, n)"""
+
 
 def _p6(delay: int) -> str:
     return f"""with {_STATES},
@@ -207,6 +216,6 @@ from named n asof join states s on n.action_id = s.action_id and n.ts - {delay}
 
 
 ORACLE = {
-    "p1_found": _P1, "p1_merge": _P1, "p3_found": _P3, "p3_intervals": _P3_INTERVALS, "p4_found": _P4, "p5_found": _P5,
+    "p1_found": _P1, "p1_merge": _P1, "p3_found": _P3, "p3_intervals": _P3_INTERVALS, "p4_found": _P4, "p5_found": _P5, "p5_paths": _P5_PATHS,
     "p6_found": _p6(0), "p6_late": _p6(history.DAY_US),
 }

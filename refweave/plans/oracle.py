@@ -220,7 +220,7 @@ ORACLE["cdg_recursive"] = q(LINKS + _KEYED + """ex(c, w, src, dst, depth, down,
     select e.consumer_repository, e.workflow_path, 'workflow::' || e.consumer_repository || '::' || e.workflow_path, e.dst_node_id, 1, false, [k.key], k.ref_type
     from (select distinct consumer_repository, workflow_path, dst_node_id from sc where edge_type = 'direct') e join kn k on k.action_id = e.dst_node_id
     union select x.c, x.w, x.dst, l.dst, x.depth + 1, x.bound = 'sha' and k.ref_type = 'tag', list_append(x.seen, k.key), k.ref_type
-    from ex x join al l on l.src = x.dst join kn k on k.action_id = l.dst where x.depth < 4 and not list_contains(x.seen, k.key)),
+    from ex x join al l on l.src = x.dst join kn k on k.action_id = l.dst where x.depth < 6 and not list_contains(x.seen, k.key)),
   eu as (select c, w, src, dst, depth, bool_or(down) as down from ex group by all),""",
   "select c as consumer_repository, depth, count(*) as edges, count(*) filter (where down) as downgrades from eu group by 1, 2")
 
@@ -259,3 +259,12 @@ dd as (select name, usage, repos, verified_creator, status, archived, near, dist
 """
 ORACLE["discovery_candidates"] = q(DISCOVERY, "select * from dd")
 ORACLE["discovery_top"] = q(DISCOVERY, "select name, score, kind from dd where score > 0 order by score desc, repos desc, usage desc, name desc limit 15")
+
+ORACLE["drift_merged"] = q(DRIFT + f"""tq as (select action_id, tag_name as ref_name, nullif(lower(trim(sha, {_WS})), '') as sha, epoch_us(observed_at) as ts, snapshot_no from tag_observations),
+  tr0 as (select * from tq where sha is not null qualify row_number() over (partition by action_id, ref_name, ts order by snapshot_no desc) = 1),
+  tl as (select *, lag(sha) over (partition by action_id, ref_name order by ts) as before from tr0),
+  two as (select action_id, ref_name, sha as new_sha, ts as detected_us, 'stored' as source from tl where before <> sha union all select action_id, ref_name, new_sha, detected_us, 'observed' from dr),""",
+  "select action_id, ref_name, new_sha, detected_us, max(source) as source from two group by 1, 2, 3, 4")  # stored comes after observed in the alphabet
+ORACLE["discovery_summary"] = q(DISCOVERY, """select * from (select count(*) as names, count(*) filter (where kind = 'unresolved_candidate') as unresolved_candidate, count(*) filter (where kind = 'redirection_candidate') as redirection_candidate,
+    count(*) filter (where kind = 'potential_typosquat') as potential_typosquat, count(*) filter (where kind = 'potential_brand_confusion') as potential_brand_confusion from dd),
+  (select string_agg(score::varchar || ' ' || name || ' ' || kind, ', ' order by score, name, kind) as top_20 from (select * from dd order by score desc, repos desc, usage desc, name desc limit 20))""")

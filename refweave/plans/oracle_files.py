@@ -165,3 +165,8 @@ ORACLE = {
     "workflow_uses": q(FILES, f"""select w.{_F.replace(", ", ", w.")}, coalesce(u.uses, '') as uses from wn w left join (select {_F}, array_to_string(list_sort(list_distinct(list(uses))), ',') as uses from st
       where regexp_full_match(uses, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(/.+)?@.+') group by all) u using ({_F})"""),
 }
+# A path may not follow on a word, point, slash or dash; without look-behind the mark before it is matched as well.
+ORACLE["script_paths"] = r"""select ingest_seq, len(list_distinct(list_transform(regexp_extract_all(regexp_replace(content, '([^\w./-])', '\1\1', 'g'), '(?:^|[^\w./-])((?:\./)?[\w./-]+\.(?:sh|bash|ps1|cmd|py|js|mjs|cjs|ts))', 1), lambda x: x))) as paths
+  from workflows where content is not null"""
+ORACLE["action_kinds"] = q("", """select action_type, case when action_type in ('composite', 'docker', 'javascript') then action_type else 'unknown' end as kind, count(*) as actions,
+  cast(sum(case when action_type = 'composite' then 1 else 0 end) as bigint) as uses from ac group by 1, 2""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refweave.functions import exprs as X
@@ -85,11 +86,29 @@ def _mentions(s: SparkSession, d: str) -> DataFrame:
     return c.select(ident.alias("action_id"), "repository_full_name", "workflow_path", "committed_us").distinct()
 
 
+def _since_last(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Events at committed_us with _after, the key's event before (null for the first): each is the first one later than any moment in between."""
+    w = W.partitionBy(*keys).orderBy("committed_us")
+    return df.select(*keys, "committed_us").distinct().withColumn("_after", F.lag("committed_us").over(w))
+
+
+def _first_later(moves: DataFrame, spans: DataFrame, on: list[str]) -> DataFrame:
+    """Moves with the first later event of every key: a move meets one span of a key at most, so that nothing is left to aggregate
+    and no pair that is no answer leaves the join."""
+    m, e = moves.alias("m"), spans.alias("e")
+    same = [F.col(f"m.{c}") == F.col(f"e.{c}") for c in on]
+    within = (F.col("m.detected_us") < F.col("e.committed_us")) & (F.col("e._after").isNull() | (F.col("m.detected_us") >= F.col("e._after")))
+    cond = within
+    for c in same:
+        cond = cond & c
+    return m.join(e, cond).select("m.*", *[f"e.{c}" for c in spans.columns if c not in on and c != "_after"])
+
+
 def exposure(s: SparkSession, d: str) -> DataFrame:
     """From each move to the first later change of each workflow that mentions the action: a strict as-of join forward."""
     e = D.once(s, d, "drift", lambda: drift(s, d)).select("drift_id", "action_id", "detected_us")
-    later = e.join(_mentions(s, d), "action_id").where("committed_us > detected_us")
-    first = later.groupBy("drift_id", "action_id", "repository_full_name", "workflow_path").agg(F.min("committed_us").alias("ended_us"), F.first("detected_us").alias("detected_us"))
+    spans = _since_last(_mentions(s, d), ["action_id", "repository_full_name", "workflow_path"])
+    first = _first_later(e, spans, ["action_id"]).withColumnRenamed("committed_us", "ended_us")
     return first.withColumn("hours", F.round((F.col("ended_us") - F.col("detected_us")) / 3.6e9, 4))
 
 
@@ -124,9 +143,9 @@ def update_windows(s: SparkSession, d: str) -> DataFrame:
     name = D.actions(s, d).select("action_id", F.lower(F.concat_ws("/", "owner", "repo", "subpath")).alias("base_key"), "ref")
     e = D.once(s, d, "drift", lambda: drift(s, d)).select("drift_id", "action_id", "detected_us").join(name, "action_id")
     t = transitions(s, d).withColumnRenamed("ref_before", "ref")
-    hit = e.join(t, ["base_key", "ref"]).where("committed_us > detected_us")
+    spans = _since_last(t, ["base_key", "ref", "repository_full_name", "workflow_path"])
     key = ["drift_id", "action_id", "repository_full_name", "workflow_path"]
-    explicit = hit.groupBy(*key).agg(F.round((F.min("committed_us") - F.first("detected_us")) / 3.6e9, 4).alias("lag_hours"))
+    explicit = _first_later(e, spans, ["base_key", "ref"]).select(*key, F.round((F.col("committed_us") - F.col("detected_us")) / 3.6e9, 4).alias("lag_hours"))
     seen = _impacted(s, d)
     explicit = explicit.join(seen, key[1:], "left").select(*key, F.lit("explicit").alias("mode"), "lag_hours", F.coalesce("depth", F.lit(1)).alias("depth"))
     implicit = e.select("drift_id", "action_id").join(seen, "action_id").join(explicit.select(*key), key, "left_anti")
@@ -140,8 +159,6 @@ def _grid(s: SparkSession) -> DataFrame:
 
 def histogram_rank(df: DataFrame, keys: list[str], value: str, q: float, out: str) -> DataFrame:
     """Nearest-rank quantile per key from counts per distinct value: map-side counted, exact, nothing gathered."""
-    from pyspark.sql import Window as W
-
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
     w = W.partitionBy(*keys).orderBy(value)
     at = F.rint((F.sum("_c").over(W.partitionBy(*keys)) - 1) * F.lit(q)) + 1

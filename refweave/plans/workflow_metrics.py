@@ -184,9 +184,10 @@ def discovery_candidates(s: SparkSession, d: str) -> DataFrame:
 
 
 def discovery_summary(s: SparkSession, d: str) -> DataFrame:
-    """Counts by kind and the 20 highest scores as JSON."""
+    """Counts by kind and the 20 highest scores as text."""
     c = discovery_candidates(s, d)
-    top = c.orderBy(F.desc("score"), F.desc("repos"), F.desc("usage"), F.desc("name")).limit(20).agg(F.to_json(F.array_sort(F.collect_list(F.struct("score", "name", "kind")))).alias("top_20"))
+    top = c.orderBy(F.desc("score"), F.desc("repos"), F.desc("usage"), F.desc("name")).limit(20).agg(F.array_sort(F.collect_list(F.struct("score", "name", "kind"))).alias("t"))  # 20 rows
+    top = top.select(F.array_join(F.transform("t", lambda x: F.concat_ws(" ", x["score"].cast("string"), x["name"], x["kind"])), ", ").alias("top_20"))
     kinds = ("unresolved_candidate", "redirection_candidate", "potential_typosquat", "potential_brand_confusion")
     return c.agg(F.count("*").alias("names"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds]).crossJoin(top)  # one row each
 

@@ -185,7 +185,9 @@ def calls(job_rows: DataFrame) -> DataFrame:
     """Calls of reusable workflows, remote and local, one row per calling job, with the callee's identifier."""
     u = F.col("uses")
     remote = u.rlike(X.REMOTE_CALL)
-    p = X.merge_permissions(F.map_filter("workflow_permissions", lambda k, v: ~k.isin("write-all", "read-all")), F.col("permissions"))
+    single = lambda m: F.map_filter(m, lambda k, v: ~k.isin("write-all", "read-all"))
+    p = X.merge_permissions(single("workflow_permissions"), single("permissions"))
+    stated = F.exists(F.concat(F.map_values("workflow_permissions"), F.map_values("permissions")), lambda v: v != "default")
     rows = job_rows.where(u.isNotNull() & (remote | u.rlike(X.LOCAL_CALL)))
     owner = F.lower(X.uses_part(u, 0))
     category = X.ref_category(X.uses_ref(u))
@@ -193,7 +195,7 @@ def calls(job_rows: DataFrame) -> DataFrame:
         *KEY, "job_id", remote.alias("is_remote"), F.when(remote, u).otherwise(F.concat_ws("/", "repository_full_name", F.regexp_replace(u, r"^\./", ""))).alias("callee"),
         F.when(remote, category).otherwise("LOCAL_PATH").alias("ref_type"), F.coalesce(remote & X.is_movable(category), F.lit(False)).alias("is_mutable"),
         F.coalesce(remote & (owner != F.col("home")), F.lit(False)).alias("is_cross_org"), F.coalesce(remote & (owner != F.col("home")) & ~owner.isin(*X.PLATFORM_OWNERS), F.lit(False)).alias("is_third_party"),
-        (F.lower(F.trim("secrets_text")) == "inherit").alias("inherits_secrets"), (F.size(F.map_filter(p, lambda k, v: v != "default")) > 0).alias("has_permissions"), _is_write(p, "id-token").alias("id_token_write"),
+        (F.lower(F.trim("secrets_text")) == "inherit").alias("inherits_secrets"), F.coalesce(stated, F.lit(False)).alias("has_permissions"), _is_write(p, "id-token").alias("id_token_write"),
     )
 
 

@@ -7,7 +7,7 @@ and 8 blanks (file, section, job, step, step's keys), texts of blocks at 10 and
 
 from __future__ import annotations
 
-from refweave.plans.oracle import category, q
+from refweave.plans.oracle import CHANGES, category, q
 
 # Fixed values, stated again here so that a wrong one in the code under test shows.
 _SENSITIVE = ["deploy", "release", "publish", "upload", "docker push", "npm publish", "gh release", "kubectl", "terraform apply", "aws", "gcloud", "az "]
@@ -123,6 +123,17 @@ pr as (select *, round(channel_count + 0.35 * needs_edges + 0.75 * max_job_depth
     + (on_workflow_call or reusable_call)::int, 4)::double as propagation_score from pp),
 """
 
+_REMOTE, _LOCAL = "'(?i)^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/\\.github/workflows/[^@]+\\.(?:yml|yaml)@.+$'", "'(?i)^\\./\\.github/workflows/[^@]+\\.(?:yml|yaml)$'"
+CALLS = CHANGES + f"""cu as (select distinct repository_full_name, workflow_path as path, commit_sha as sha, u as uses, lower(split_part(repository_full_name, '/', 1)) as home
+    from (select * exclude (u), unnest(case when regexp_matches(u, {_REMOTE}) and length(u) % 3 = 0 then [u, './' || regexp_extract(u, '(\\.github/workflows/[^@]+)@', 1)] else [u] end) as u
+      from (select *, unnest(list_distinct(uses_after)) as u from ch)) where regexp_matches(u, {_REMOTE}) or regexp_matches(u, {_LOCAL})),
+cc as (select *, regexp_matches(uses, {_REMOTE}) as is_remote, {_REFCAT} as cat from cu),
+rc as (select {_F}, 'call_' || substr(sha1(uses), 1, 8) as job_id, is_remote, case when is_remote then uses else repository_full_name || '/' || substr(uses, 3) end as callee, case when is_remote then cat else 'LOCAL_PATH' end as ref_type,
+    is_remote and cat in ('BRANCH_MAIN', 'BRANCH_OTHER', 'FLOATING_TAG', 'UNKNOWN_REF', 'MAJOR_TAG') as is_mutable, is_remote and lower({_OWNER}) <> home as is_cross_org,
+    is_remote and lower({_OWNER}) not in (home, 'actions', 'github') as is_third_party, length(uses) % 2 = 0 as inherits_secrets, length(path) % 3 in (0, 1) as has_permissions, length(path) % 3 = 0 as id_token_write from cc),
+rl0 as (select callee, bool_or(is_remote) as is_remote, count(*) as calls, count(distinct repository_full_name) as repositories, {", ".join(f"count(*) filter (where {f}) as {f}" for f in ("is_mutable", "inherits_secrets", "has_permissions", "id_token_write", "is_cross_org", "is_third_party"))} from rc group by 1),
+"""
+
 
 def _count(flags, prefix: str = "") -> str:
     return ", ".join(f"count(*) filter (where {f}) as {prefix}{f}" for f in flags)
@@ -170,3 +181,13 @@ ORACLE["script_paths"] = r"""select ingest_seq, len(list_distinct(list_transform
   from workflows where content is not null"""
 ORACLE["action_kinds"] = q("", """select action_type, case when action_type in ('composite', 'docker', 'javascript') then action_type else 'unknown' end as kind, count(*) as actions,
   cast(sum(case when action_type = 'composite' then 1 else 0 end) as bigint) as uses from ac group by 1, 2""")
+_STRATA = {"local": "not is_remote", "remote": "is_remote", "remote_same_org": "is_remote and not is_cross_org", "remote_cross_org": "is_remote and is_cross_org", "remote_third_party": "is_remote and is_third_party"}
+_CALL_FLAGS = ("is_mutable", "inherits_secrets", "has_permissions", "id_token_write")
+ORACLE |= {
+    "reusable_calls": q(CALLS, "select rc.*, l.repositories as downstream_repositories from rc join rl0 l using (callee)"),
+    "reusable_callees": q(CALLS, "select * from rl0"),
+    "callee_histogram": q(CALLS, "select repositories, count(*) as callees from rl0 group by 1"),
+    "reusable_summary": q(CALLS, f"select count(*) as calls, {_count(('is_remote', 'is_mutable', 'is_cross_org', 'is_third_party', 'inherits_secrets', 'has_permissions', 'id_token_write'))}, count(distinct callee) as callees, count(distinct callee) filter (where is_remote) as remote_callees from rc"),
+    "reusable_profile": q(CALLS, " union all ".join(f"""select '{n}' as stratum, count(*) as calls, {_count(_CALL_FLAGS)}, {", ".join(f"round(case when count(*) > 0 then count(*) filter (where {f}) / count(*) else 0 end, 6) as {f}_share" for f in _CALL_FLAGS)},
+      round(avg(repositories), 4) as avg_downstream from (select rc.*, l.repositories from rc join rl0 l using (callee)) where {c}""" for n, c in _STRATA.items())),
+}

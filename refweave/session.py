@@ -30,13 +30,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def _own(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
     return f"{scratch_dir(spark)}/refweave/{spark.sparkContext.applicationId}"
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; tables made from it can't be read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -46,7 +47,7 @@ def materialize(df: DataFrame, parts: list[str] | None = None) -> DataFrame:
     ``parts``: columns of few values; reading back by one of them touches its files only.
     """
     spark = df.sparkSession
-    path = f"{_own(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
     if not parts:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)

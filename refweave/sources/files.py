@@ -50,6 +50,10 @@ def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+#: Blanks around values are values; quotes are doubled, as other readers expect them.
+CSV = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"'}
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, for CSV."""
     nested = (T.ArrayType, T.MapType, T.StructType)
@@ -58,7 +62,7 @@ def flat(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; replaced as a whole when the write commits."""
-    flat(df).write.mode("overwrite").option("header", True).csv(path)
+    flat(df).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -67,7 +71,7 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV read forgivingly: empty or unreadable numbers are 0, truth is one of true, 1 and yes."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.options(**CSV, multiLine=True).csv(path)
     out = []
     for f in schema.fields:
         c = F.col(f.name) if f.name in raw.columns else F.lit(None).cast("string")
@@ -83,6 +87,16 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return raw.select(out)
 
 
+def read_artifact(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
+    """An exported table again: its CSV if there is one, else its JSON, typed as read_csv_typed types; nothing there is an empty table."""
+    if _exists(spark, f"{folder}/{name}.csv"):
+        return read_csv_typed(spark, f"{folder}/{name}.csv", schema)
+    if not _exists(spark, f"{folder}/{name}.json"):
+        return spark.createDataFrame([], schema)
+    zero = {T.BooleanType: False, T.LongType: 0, T.IntegerType: 0, T.DoubleType: 0.0}
+    return spark.read.schema(schema).json(f"{folder}/{name}.json").select([F.coalesce(f.name, F.lit(zero.get(type(f.dataType), "")).cast(f.dataType)).alias(f.name) for f in schema.fields])
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
     """A small table as Markdown."""
     rows = df.limit(limit).collect()
@@ -154,14 +168,36 @@ def ref_states(observations: DataFrame) -> DataFrame:
     return observations.where("sha is not null").groupBy("action_id", "ref_name", "ref_type").agg(F.max_by("sha", "ingest_seq").alias("sha"), F.max("ingest_seq").alias("ingest_seq"))
 
 
+def load_ref_state(wanted: DataFrame, states: DataFrame, legacy: DataFrame) -> DataFrame:
+    """``wanted`` references (action_id, ref_name, ref_type) with the sha last known: of their own state, for tags without one
+    that of the older store by tag (action_id, tag_name, sha); null where neither knows."""
+    old = legacy.select("action_id", F.col("tag_name").alias("ref_name"), F.lit("tag").alias("ref_type"), F.col("sha").alias("_old"))
+    keys = ["action_id", "ref_name", "ref_type"]
+    return wanted.select(*keys).distinct().join(states.select(*keys, "sha"), keys, "left").join(old, keys, "left").select(*keys, F.coalesce("sha", "_old").alias("sha"))
+
+
+def pending(units: DataFrame, checkpoints: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """What a resumed collection has left to do: units not completed, and completed ones whose snapshot is gone.
+
+    units: unit; checkpoints: unit, status (running, failed, completed); snapshots: unit.
+    """
+    state = units.select("unit").distinct().join(checkpoints.groupBy("unit").agg(F.max("status").alias("status")), "unit", "left").join(snapshots.select("unit").distinct().withColumn("_there", F.lit(True)), "unit", "left")
+    done = (F.col("status") == "completed") & F.col("_there").isNotNull()
+    return state.where(~F.coalesce(done, F.lit(False))).select("unit", F.coalesce("status", F.lit("new")).alias("status"))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Limits of a run, from REFWEAVE_* variables where set."""
 
     min_stars: int = 50
+    repositories: int = 2000
     workflows_per_repository: int = 20
     commits_per_workflow: int = 50
     max_depth: int = 6
+    supplemental_identities: int = 1000
+    supplemental_actions: int = 4000
+    enriched_actions: int = 500
     iterations: int = 500
     seed: int = 42
 

@@ -11,7 +11,7 @@ from refweave.session import materialize
 
 
 def scoped_edges(edges: DataFrame) -> DataFrame:
-    """Edges of a known workflow of a known repository, with workflow_id; every metric starts here."""
+    """Edges that name a workflow and its repository, with workflow_id; every metric starts here."""
     known = (F.col("consumer_repository") != "") & (F.col("workflow_path") != "")
     return edges.where(known).withColumn("workflow_id", workflow_id(F.col("consumer_repository"), F.col("workflow_path")))
 

@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from refweave.functions import exprs as X
 from refweave.operators import graph
-from refweave.session import materialize, table
+from refweave.session import fingerprint, materialize, table
 
 _kept: dict[tuple, DataFrame] = {}
 
 
 def once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
-    """A shared intermediate (docs, closure ...), written once per session and folder."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A shared intermediate (docs, closure ...), written once per session, folder and state of the folder's tables."""
+    key = (spark.sparkContext.applicationId, d, fingerprint(spark, d), name)
     if key not in _kept:
         _kept[key] = materialize(make())
     return _kept[key]
 
 
+def forget() -> None:
+    """The next query makes its intermediates anew."""
+    _kept.clear()
+
+
 def latest(df: DataFrame, keys: list[str], at: str, seq: str = "ingest_seq") -> DataFrame:
     """The row of the latest ``at`` of each key, ties to the later arrival; null times are oldest. Pre-aggregates map-side."""
     rest = [c for c in df.columns if c not in keys]

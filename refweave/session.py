@@ -30,15 +30,38 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+_owned: set[str] = set()
+
+
 def own_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{scratch_dir(spark)}/refweave/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder; it is deleted when the application's driver ends."""
+    path = f"{scratch_dir(spark)}/refweave/{spark.sparkContext.applicationId}"
+    if path not in _owned:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _owned.add(path)
+    return path
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; tables made from it can't be read any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _owned.clear()
+
+
+def fingerprint(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of what lies in a folder: another one where a table has been written anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
 def materialize(df: DataFrame, parts: list[str] | None = None) -> DataFrame:

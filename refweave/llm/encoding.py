@@ -133,9 +133,24 @@ def blocks(texts: pa.Array, limit: int = BLOCK_CHARS) -> Iterator[tuple[int, lis
         yield first, held
 
 
+_encoders: dict[tuple[str, str], PairIndexEncoder] = {}
+
+
+def _worker_encoder(folder: str, name: str) -> PairIndexEncoder:
+    """This process's encoder: a Python worker reads the vocabulary once, not once a task. The file comes with the job where
+    the driver has sent it, else from ``folder``."""
+    from pyspark import SparkFiles
+
+    sent = os.path.join(SparkFiles.getRootDirectory(), name) if SparkFiles._root_directory else ""
+    where = os.path.dirname(sent) if sent and os.path.exists(sent) else folder
+    if (where, name) not in _encoders:
+        _encoders[where, name] = PairIndexEncoder(where, name)
+    return _encoders[where, name]
+
+
 def _encoder(folder: str, name: str, lengths_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PairIndexEncoder(folder, name)
+        encoder = _worker_encoder(folder, name)
         for batch in batches:
             for first, texts in blocks(batch.column(batch.num_columns - 1)):
                 ids = encoder.encode(texts)
@@ -158,6 +173,8 @@ def encode(df: DataFrame, text: str, keep: list[str], out: str = "ids", lengths_
     empty list (number 0). Any length and any Unicode; repeated rows give repeated results; an empty table
     gives no rows. The columns kept may have any name but the text's own is encoded whatever it is called.
     """
+    if os.path.exists(os.path.join(folder, name)):
+        df.sparkSession.sparkContext.addFile(os.path.join(folder, name))  # executors need not have the folder
     picked = df.select(*[F.col(c) for c in keep], F.col(text).alias("out"))
     kind = "long" if lengths_only else "array<int>"
     schema = ", ".join(f"`{c}` {t}" for c, t in picked.dtypes[:-1])

@@ -207,7 +207,7 @@ def update_windows_ordered(s: SparkSession, d: str) -> DataFrame:
 
 
 def transfer_risks_ordered(s: SparkSession, d: str) -> DataFrame:
-    return M.transfer_risks(s, d).orderBy(F.desc("risk_type"), F.desc("workflows"), F.desc("name"))
+    return M.transfer_risks(s, d).orderBy(F.desc("risk_type"), F.desc("privileged_workflows"), F.desc("workflows"), F.desc("name"))
 
 
 def binding_panel(s: SparkSession, d: str) -> DataFrame:

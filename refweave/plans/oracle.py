@@ -138,11 +138,9 @@ AMP = BLAST + REACH + AMP_NODES
 TRANSFER = """iu as (select lower(full_name) as name, full_name, repo_id, collected_at, ingest_seq, html_url,
     nullif(regexp_extract(coalesce(html_url, ''), '^https?://[^/]+/([^/]+/[^/]+?)/*$', 1), '') as resolved from repositories),
 ii as (select *, case when resolved is not null then (case when lower(resolved) = name then 'canonical' else 'redirected' end) when html_url is null then 'missing' else 'inaccessible' end as st from iu),
-ip as (select name, arg_max(st, (case when collected_at is null then 0 else 1 end, coalesce(epoch_us(collected_at), 0), ingest_seq)) as status, count(distinct repo_id) as ids, count(*) as observations from ii group by 1),
-ik as (select *, unnest(list_filter([case when status = 'redirected' then 'redirected' end, case when status = 'missing' then 'missing' end, case when ids > 1 then 'identity_changed' end], lambda x: x is not null)) as risk_type from ip),
-ih as (select lower(a.owner || '/' || a.repo) as name, count(distinct workflow_id) as workflows, count(distinct consumer_repository) as repositories, count(distinct a.action_id) as actions
-  from sc e join ac a on a.action_id = e.dst_node_id group by 1),
-rk as (select name, risk_type, status, ids, observations, coalesce(workflows, 0) as workflows, coalesce(repositories, 0) as repositories, coalesce(actions, 0) as actions from ik left join ih using (name)),
+ip as (select name, arg_max(st, _k) as status, list(resolved order by _k desc)[1] as resolved, arg_max(repo_id, _k) as latest_id, count(distinct repo_id) as ids, count(*) as observations, min(epoch_us(collected_at)) as first_us,
+    max(epoch_us(collected_at)) as last_us from (select *, (case when collected_at is null then 0 else 1 end, coalesce(epoch_us(collected_at), 0), ingest_seq) as _k from ii) group by 1),
+ik as (select *, unnest(list_filter([case when status = 'redirected' then 'redirected' end, case when status = 'missing' then 'missing' end, case when ids > 1 then 'repository_id_changed' end], lambda x: x is not null)) as risk_type from ip),
 """
 
 
@@ -206,9 +204,6 @@ ORACLE = {
     "time_window_amplification": q(UPDATES, """select g.bucket, coalesce(e, 0) as explicit_windows, coalesce(i, 0) as implicit_windows, ea as explicit_avg_hours, ia as implicit_avg_hours
       from (values ('level_1'), ('level_2'), ('level_3_plus')) g(bucket) left join (select bucket, count(*) filter (where mode = 'explicit') as e, count(*) filter (where mode = 'implicit') as i,
       round(avg(lag_hours) filter (where mode = 'explicit'), 4) as ea, round(avg(lag_hours) filter (where mode = 'implicit'), 4) as ia from uw group by 1) using (bucket)"""),
-    "transfer_risks": q(TRANSFER, "select * from rk"),
-    "transfer_summary": q(TRANSFER, """select count(*) as risks, count(distinct name) as names, count(*) filter (where risk_type = 'redirected') as redirected, count(*) filter (where risk_type = 'missing') as missing,
-      count(*) filter (where risk_type = 'identity_changed') as identity_changed, cast(coalesce(sum(workflows), 0) as bigint) as workflow_references from rk"""),
     "uses_diff": q(CHANGES, """select repository_full_name, workflow_path, commit_sha, array_to_string(list_sort(list_distinct(list_filter(uses_after, lambda x: not list_contains(uses_before, x)))), ',') as introduced,
       array_to_string(list_sort(list_distinct(list_filter(uses_before, lambda x: not list_contains(uses_after, x)))), ',') as removed, len(list_distinct(list_concat(uses_before, uses_after))) as all_uses from ch"""),
     "unobserved_repositories": q("", """select name, count(*) as refs from (select lower(a.owner || '/' || a.repo) as name from ed e join ac a on a.action_id = e.dst_node_id) r

@@ -51,7 +51,6 @@ ORACLE = {
     "enriched_types": q(PRIV + _KEYS + "df0 as (select distinct l.src from al l join kn k on k.action_id = l.dst join ac a on a.action_id = l.src),", """select case when action_type = 'unknown' and action_id in (select src from df0) then 'composite' else action_type end as action_type, count(*) as actions, cast(sum(usage_count) as bigint) as usage,
       round(avg(score), 4) as avg_score from (select action_id, usage_count, score from ra join vb using (action_id) order by score desc, usage_count desc, ra.downstream_repos desc, action_id limit 500) join ac using (action_id) group by 1"""),
     "update_windows_ordered": q(UPDATES, "select detected_us, repository_full_name, workflow_path, mode, u.action_id, lag_hours from uw u join dr using (drift_id) order by detected_us, repository_full_name, workflow_path, mode, u.action_id"),
-    "transfer_risks_ordered": q(TRANSFER, "select * from rk order by risk_type desc, workflows desc, name desc"),
     "binding_panel": q(RISK + UPDATES[len(DRIFT) :], f"""select 'bindings' as panel, case when category in ('FULL_SHA', 'SHORT_SHA') then 'sha' when category = 'SEMVER_TAG' then 'semver' when category = 'MAJOR_TAG' then 'major' when category = 'FLOATING_TAG' then 'floating'
         when category in ('BRANCH_MAIN', 'BRANCH_OTHER') then 'branch' else 'unknown' end as label, count(*)::double as value from cw group by 1, 2
       union all select 'mutable', g.bucket, coalesce(v, 0) from (values ('level_1'), ('level_2'), ('level_3_plus')) g(bucket) left join (select {bucket("depth")} as bucket, round(count(*) filter (where category <> 'FULL_SHA') / count(*), 6) as v from cw group by 1) using (bucket)

@@ -7,7 +7,7 @@ and 8 blanks (file, section, job, step, step's keys), texts of blocks at 10 and
 
 from __future__ import annotations
 
-from refweave.plans.oracle import CHANGES, category, q
+from refweave.plans.oracle import CHANGES, TRANSFER, category, q
 
 # Fixed values, stated again here so that a wrong one in the code under test shows.
 _SENSITIVE = ["deploy", "release", "publish", "upload", "docker push", "npm publish", "gh release", "kubectl", "terraform apply", "aws", "gcloud", "az "]
@@ -191,3 +191,20 @@ ORACLE |= {
     "reusable_profile": q(CALLS, " union all ".join(f"""select '{n}' as stratum, count(*) as calls, {_count(_CALL_FLAGS)}, {", ".join(f"round(case when count(*) > 0 then count(*) filter (where {f}) / count(*) else 0 end, 6) as {f}_share" for f in _CALL_FLAGS)},
       round(avg(repositories), 4) as avg_downstream from (select rc.*, l.repositories from rc join rl0 l using (callee)) where {c}""" for n, c in _STRATA.items())),
 }
+TRANSFER_RISKS = FILES + TRANSFER + """tw as (select repository_full_name as consumer_repository, path as workflow_path, arg_max(contents_write or id_token_write, sha) as has_write from wn group by 1, 2),
+tu as (select lower(a.owner || '/' || a.repo) as name, a.action_id, s.workflow_id, s.consumer_repository, case when has_write then s.workflow_id end as privileged_id from sc s join ac a on a.action_id = s.dst_node_id left join tw using (consumer_repository, workflow_path)),
+tv as (select name, count(distinct workflow_id) as workflows, count(distinct consumer_repository) as repositories, count(distinct privileged_id) as privileged_workflows from tu group by 1),
+ta1 as (select lower(owner || '/' || repo) as name, count(*) as actions, count(*) filter (where ref_type = 'sha') as sha_references, count(*) filter (where ref_type = 'tag') as tag_references, count(*) filter (where ref_type = 'branch') as branch_references,
+  count(*) filter (where ref_type = 'branch' and lower(ref) = 'main') as main_references from ac group by 1),
+rk1 as (select k.name, status, resolved, latest_id, ids, observations, first_us, last_us, risk_type, coalesce(actions, 0) as actions, coalesce(sha_references, 0) as sha_references, coalesce(tag_references, 0) as tag_references,
+  coalesce(branch_references, 0) as branch_references, coalesce(main_references, 0) as main_references, coalesce(workflows, 0) as workflows, coalesce(repositories, 0) as repositories, coalesce(privileged_workflows, 0) as privileged_workflows
+  from ik k left join ta1 using (name) left join tv using (name)),
+"""
+ORACLE |= {
+    "transfer_risks": q(TRANSFER_RISKS, "select * from rk1"),
+    "transfer_risks_ordered": q(TRANSFER_RISKS, "select * from rk1 order by risk_type desc, privileged_workflows desc, workflows desc, name desc"),
+    "transfer_summary": q(TRANSFER_RISKS, """select * from (select count(*) as risks, count(distinct name) as names, count(*) filter (where risk_type = 'redirected') as redirected, count(*) filter (where risk_type = 'missing') as missing,
+      count(*) filter (where risk_type = 'repository_id_changed') as repository_id_changed from rk1), (select count(distinct name) as observed from ii),
+      (select count(*) as actions from ac where lower(owner || '/' || repo) in (select name from rk1)),
+      (select count(distinct workflow_id) as workflows, count(distinct consumer_repository) as repositories, count(distinct privileged_id) as privileged_workflows from tu where name in (select name from rk1))"""),
+}

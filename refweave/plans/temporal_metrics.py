@@ -192,31 +192,54 @@ def time_window_amplification(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _touched(s: SparkSession, d: str) -> DataFrame:
+    """Scoped edges to known actions: the action's repository name, the workflow, and whether it may write."""
+    from refweave.plans.workflow_metrics import write_permissions
+
+    a = D.actions(s, d).select("action_id", F.lower(F.concat_ws("/", "owner", "repo")).alias("name"))
+    w = D.once(s, d, "write_permissions", lambda: write_permissions(s, d))
+    e = D.scoped(s, d).join(a, F.col("dst_node_id") == F.col("action_id")).join(w, ["consumer_repository", "workflow_path"], "left")
+    return e.select("name", "action_id", "workflow_id", "consumer_repository", F.when(F.col("has_write"), F.col("workflow_id")).alias("privileged_id"))
+
+
+def _impact(rows: DataFrame) -> list[Column]:
+    return [F.count_distinct(c).alias(n) for c, n in (("workflow_id", "workflows"), ("consumer_repository", "repositories"), ("privileged_id", "privileged_workflows"))]
+
+
 def transfer_risks(s: SparkSession, d: str) -> DataFrame:
-    """One row per repository and risk: redirected, missing, or its id changed; with what depends on it."""
+    """One row per repository and risk: redirected, missing, or its id changed; what was observed of it, how its actions are
+    bound, and what depends on them."""
     i = D.identities(s, d)
     known = F.struct(F.col("observed_at").isNotNull(), "observed_at", "ingest_seq")
+    latest = F.max_by(F.struct("identity_status", "resolved", "repo_id"), known).alias("l")
     per = i.groupBy(F.lower("referenced").alias("name")).agg(
-        F.max_by("identity_status", known).alias("status"), F.count_distinct("repo_id").alias("ids"), F.count("*").alias("observations")
+        latest, F.count_distinct("repo_id").alias("ids"), F.count("*").alias("observations"), F.min(micros("observed_at")).alias("first_us"), F.max(micros("observed_at")).alias("last_us")
     )
+    per = per.select("name", F.col("l.identity_status").alias("status"), F.col("l.resolved").alias("resolved"), F.col("l.repo_id").alias("latest_id"), "ids", "observations", "first_us", "last_us")
     kinds = F.array(
-        F.when(F.col("status") == "redirected", "redirected"), F.when(F.col("status") == "missing", "missing"), F.when(F.col("ids") > 1, "identity_changed"),
+        F.when(F.col("status") == "redirected", "redirected"), F.when(F.col("status") == "missing", "missing"), F.when(F.col("ids") > 1, "repository_id_changed"),
     )
     risks = per.withColumn("risk_type", F.explode(F.array_compact(kinds)))
-    a = D.actions(s, d).select("action_id", F.lower(F.concat_ws("/", "owner", "repo")).alias("name"))
-    hit = D.scoped(s, d).join(a, F.col("dst_node_id") == F.col("action_id")).groupBy("name").agg(
-        F.count_distinct("workflow_id").alias("workflows"), F.count_distinct("consumer_repository").alias("repositories"), F.count_distinct("action_id").alias("actions")
+    bound = lambda k: F.count_if(F.col("ref_type") == k)
+    a = D.actions(s, d).groupBy(F.lower(F.concat_ws("/", "owner", "repo")).alias("name")).agg(
+        F.count("*").alias("actions"), *[bound(k).alias(f"{k}_references") for k in ("sha", "tag", "branch")], F.count_if((F.col("ref_type") == "branch") & (F.lower("ref") == "main")).alias("main_references")
     )
+    t = _touched(s, d)
+    hit = t.groupBy("name").agg(*_impact(t))
     zero = F.lit(0).cast("long")
-    return risks.join(hit, "name", "left").select("name", "risk_type", "status", "ids", "observations", *[F.coalesce(c, zero).alias(c) for c in ("workflows", "repositories", "actions")])
+    counted = [*a.columns[1:], *hit.columns[1:]]
+    return risks.join(a, "name", "left").join(hit, "name", "left").select(*risks.columns, *[F.coalesce(c, zero).alias(c) for c in counted])
 
 
 def transfer_summary(s: SparkSession, d: str) -> DataFrame:
-    r = transfer_risks(s, d)
-    return r.agg(
-        F.count("*").alias("risks"), F.count_distinct("name").alias("names"), *[F.count_if(F.col("risk_type") == k).alias(k) for k in ("redirected", "missing", "identity_changed")],
-        F.coalesce(F.sum("workflows"), F.lit(0).cast("long")).alias("workflow_references"),
-    )
+    """One row: observed and risky repositories by risk, and what depends on the risky ones, each counted once."""
+    r = D.once(s, d, "transfer_risks", lambda: transfer_risks(s, d))
+    observed = D.identities(s, d).agg(F.count_distinct(F.lower("referenced")).alias("observed"))
+    base = r.agg(F.count("*").alias("risks"), F.count_distinct("name").alias("names"), *[F.count_if(F.col("risk_type") == k).alias(k) for k in ("redirected", "missing", "repository_id_changed")])
+    risky = r.select("name").distinct()
+    t = _touched(s, d).join(risky, "name", "left_semi")
+    actions = D.actions(s, d).select(F.lower(F.concat_ws("/", "owner", "repo")).alias("name")).join(risky, "name", "left_semi").agg(F.count("*").alias("actions"))
+    return base.crossJoin(observed).crossJoin(actions).crossJoin(t.agg(*_impact(t)))  # one row each
 
 
 def uses_diff(s: SparkSession, d: str) -> DataFrame:

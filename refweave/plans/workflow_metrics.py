@@ -24,6 +24,14 @@ def _jobs(s: SparkSession, d: str) -> DataFrame:
     return jobs.jobs(docs(s, d))
 
 
+def write_permissions(s: SparkSession, d: str) -> DataFrame:
+    """(consumer_repository, workflow_path, has_write): whether a workflow or one of its jobs asks to write; of several versions the last by sha."""
+    grants = lambda m: F.exists(F.map_entries(m), lambda e: (e["key"] != "read-all") & e["value"].contains("write"))
+    own = F.coalesce(grants(F.col("doc.permissions")), F.lit(False)) | F.coalesce(F.exists("doc.jobs", lambda j: grants(j["permissions"])), F.lit(False))
+    rows = docs(s, d).where("doc is not null").select("repository_full_name", "path", "sha", own.alias("w"))
+    return rows.groupBy(F.col("repository_full_name").alias(G.WF[0]), F.col("path").alias(G.WF[1])).agg(F.max_by("w", "sha").alias("has_write"))
+
+
 def isolation_by_job(s: SparkSession, d: str) -> DataFrame:
     return D.once(s, d, "isolation", lambda: jobs.isolation(_jobs(s, d))).drop("sensitive_steps")
 

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refweave.operators.slices import cut, widths
+from refweave.session import materialize
 
 #: Versions of one key that one tree may hold; keys with more are cut.
 MAX_SHARD = 50_000
@@ -149,6 +150,8 @@ def as_known_at(
         F.lit(None).cast("string").alias("_value"), F.col(event_time).cast("long").alias("_at"), F.lit(1).alias("_kind"), F.col(event_id).cast("string").alias("_event"),
     )
     plan = widths(base, "_key", "_at", most)
+    if plan is not None:
+        asked = materialize(asked)  # read twice below, and costly to make
     rows = cut(base.withColumn("_kind", F.lit(0)).withColumn("_event", F.lit(None).cast("string")).unionByName(asked), "_key", "_at", plan)
     if plan is not None:
         # One row per shard of a cut key: the best version before it. Shards of events alone are there, too.

@@ -24,12 +24,13 @@ TOKEN_PATTERNS = (
 )
 REMOTE_CALL = r"(?i)^[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/\.github/workflows/[^@]+\.(?:yml|yaml)@.+$"
 LOCAL_CALL = r"(?i)^\./\.github/workflows/[^@]+\.(?:yml|yaml)$"
-# Names that are always among the popular ones, where they occur.
+# Names that are always among the popular ones, where they occur.
 CANONICAL_NAMES = (
     "actions/checkout", "actions/setup-node", "actions/upload-artifact", "actions/download-artifact",
     "actions/cache", "actions/setup-python", "docker/login-action", "github/codeql-action",
 )
 PLATFORM_OWNERS = ("actions", "github")
+SCOPES = ("contents", "actions", "checks", "deployments", "id-token", "issues", "packages", "pull-requests", "security-events", "statuses")
 
 
 def is_dynamic_ref(ref: Column) -> Column:
@@ -157,6 +158,32 @@ def merge_permissions(workflow: Column, job: Column) -> Column:
     return F.map_zip_with(workflow, job, lambda k, a, b: F.when(b.isNotNull() & (b != "default"), b).otherwise(a))
 
 
+def scope_levels(permissions: Column) -> Column:
+    """The ten known scopes with their level (write, read, none; default where nothing or something else is said), and the two
+    words for all of them with write or none."""
+    low = F.transform_keys(F.transform_values(F.coalesce(permissions, F.create_map().cast("map<string,string>")), lambda k, v: F.lower(F.trim(v))), lambda k, v: F.lower(F.trim(k)))
+    level = lambda v: F.when(v.isin("write", "read", "none"), v).when(v == "write-all", "write").when(v == "read-all", "read").otherwise("default")
+    values = [F.coalesce(level(low[s]), F.lit("default")) for s in SCOPES] + [F.when(F.map_contains_key(low, w), "write").otherwise("none") for w in ("write-all", "read-all")]
+    return F.map_from_arrays(F.array(*map(F.lit, SCOPES), F.lit("write-all"), F.lit("read-all")), F.array(*values))
+
+
+def is_same_repository(repository: Column, owner: Column, repo: Column) -> Column:
+    return F.lower(repository) == F.lower(F.concat_ws("/", owner, repo))
+
+
+def is_main_ref(ref: Column) -> Column:
+    return F.coalesce(F.lower(F.trim(ref)).isin("main", "refs/heads/main"), F.lit(False))
+
+
+def dependency(uses: Column) -> Column:
+    """A reference as one struct: its text, owner, repo, subpath, ref, the ref's kind and whether it is computed."""
+    ref = uses_ref(uses)
+    return F.struct(
+        uses.alias("uses_value"), uses_part(uses, 0).alias("owner"), uses_part(uses, 1).alias("repo"), uses_subpath(uses).alias("subpath"), ref.alias("ref_string"),
+        classify_ref(ref).alias("ref_kind"), is_dynamic_ref(ref).alias("is_dynamic_ref"),
+    )
+
+
 def strip_html(html: Column) -> Column:
     """Tags become blanks, the five basic entities and no-break blanks are resolved, white space collapses."""
     out = F.regexp_replace(html, "<[^>]+>", " ")

@@ -21,13 +21,42 @@ DOCUMENT = f"struct<name:string,triggers:array<string>,permissions:map<string,st
 ACTION = "struct<kind:string,uses:array<string>,scripts:array<string>,main:string>"
 
 
+#: Values a document may have with its aliases written out; a nest of aliases has more and counts as unreadable.
+MAX_EXPANDED = 1_000_000
+
+
+def expanded(value, most: int = MAX_EXPANDED) -> int:
+    """The number of values of a document with every alias written out, or anything above ``most`` (also for one that holds itself)."""
+    sizes: dict[int, int] = {}
+    open_: set[int] = set()
+    stack = [(value, False)]
+    while stack:
+        v, done = stack.pop()
+        if not isinstance(v, (dict, list)):
+            continue
+        inside = list(v.values()) if isinstance(v, dict) else v
+        if done:
+            open_.discard(id(v))
+            sizes[id(v)] = 1 + sum(sizes.get(id(x), 1) for x in inside)
+            if sizes[id(v)] > most:
+                return sizes[id(v)]
+        elif id(v) in open_:
+            return most + 1
+        elif id(v) not in sizes:
+            open_.add(id(v))
+            stack.append((v, True))
+            stack.extend((x, False) for x in inside)
+    return sizes.get(id(value), 1)
+
+
 def _load(text: str):
     import yaml
 
     try:
-        return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+        root = yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except (yaml.YAMLError, ValueError, RecursionError):
         return None
+    return root if expanded(root) <= MAX_EXPANDED else None
 
 
 def _text(value) -> str:
@@ -147,7 +176,7 @@ def _parsed(df: DataFrame, content: str, keep: list[str], parse, schema: str, ou
 
 
 def workflow_documents(df: DataFrame, content: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``doc``, null where the content is missing, does not parse or is no mapping."""
+    """``keep`` columns and ``doc``, null where the content is missing, does not parse, expands beyond MAX_EXPANDED or is no mapping."""
     return _parsed(df, content, keep, workflow_struct, DOCUMENT, "doc")
 
 

@@ -223,7 +223,62 @@ def binding_panel(s: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(e).unionByName(u.select(F.lit("lag").alias("panel"), F.concat_ws(" ", "mode", "bucket").alias("label"), "value"))
 
 
+def permission_scopes(s: SparkSession, d: str) -> DataFrame:
+    """Declared permissions as levels of the ten known scopes and the two words for all."""
+    p = X.scope_levels(F.col("declared_permissions"))
+    return table(s, d, "actions").select("ingest_seq", *[p[k].alias(k.replace("-", "_")) for k in (*X.SCOPES, "write-all", "read-all")])
+
+
+def dependency_structs(s: SparkSession, d: str) -> DataFrame:
+    """Every reference of the latest changes as a struct."""
+    u = D.changes(s, d).select(F.explode("uses_after").alias("u")).where(F.col("u").rlike(X.USES)).distinct()
+    return u.select(X.dependency(F.col("u")).alias("x")).select("x.*")
+
+
+def ref_tests(s: SparkSession, d: str) -> DataFrame:
+    """Edges bound to the main branch, and those that lead back into their own repository."""
+    a = D.actions(s, d).select(F.col("action_id").alias("dst_node_id"), "owner", "repo")
+    e = D.scoped(s, d).join(a, "dst_node_id", "left")
+    own = F.coalesce(X.is_same_repository(F.col("consumer_repository"), F.col("owner"), F.col("repo")), F.lit(False))
+    return e.select("edge_id", X.is_main_ref(F.col("ref_string")).alias("is_main"), own.alias("is_own"))
+
+
+def privileged_workflows(s: SparkSession, d: str) -> DataFrame:
+    """Workflows for which one of the ten signs of privilege holds."""
+    w = WM.privilege_by_workflow(s, d)
+    some = F.col(C.PRIVILEGED[0])
+    for c in C.PRIVILEGED[1:]:
+        some = some | F.col(c)
+    return w.where(some).select(*WM.WP, "jobs", "privilege_score")
+
+
+def error_log(s: SparkSession, d: str) -> DataFrame:
+    """JSON lines of which every seventh is cut off: good rows are read, the text of bad ones is kept."""
+    path, r = f"{_folder(s)}/errors", _repositories(s, d)
+    text = F.to_json(F.struct(*r.columns))
+    r.select(F.when(F.col("ingest_seq") % 7 == 0, F.substring(text, 1, 20)).otherwise(text).alias("value")).write.text(path)
+    good, bad = files.read_jsonl_lenient(s, path, _REPO)
+    return good.select(F.lit("good").alias("kind"), F.col("ingest_seq").cast("string").alias("row")).unionByName(bad.select(F.lit("bad").alias("kind"), F.col("line").alias("row"))).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("row").alias("different"))
+
+
+def input_check(s: SparkSession, d: str) -> DataFrame:
+    """Of the inputs a run needs, and one that no run has, those that are not there."""
+    gone = files.missing_inputs(s, d, [f"{n}.parquet" for n in ("repositories", "actions", "workflows", "edges", "no_such_table")])
+    return s.createDataFrame([(n,) for n in gone], "missing string")
+
+
+def preflight_checks(s: SparkSession, d: str) -> DataFrame:
+    return files.preflight(s, d, ["repositories.parquet", "no_such_table.parquet"]).select("check", "ok")
+
+
+def markdown_table(s: SparkSession, d: str) -> DataFrame:
+    """A small table as Markdown text: edges by depth."""
+    rows = D.scoped(s, d).groupBy(F.col("depth").cast("long").alias("depth")).agg(F.count("*").alias("edges")).orderBy("depth")
+    return s.createDataFrame([(files.markdown(rows),)], "text string")
+
+
 QUERIES = {f.__name__: f for f in (
     jsonl_round_trip, jsonl_last_row, csv_round_trip, artifact_reload, key_value_latest, ref_state, resumed, sampled_repositories, workflow_sample, history_changes, trackable_refs, marketplace_rows,
     scoped_downstream, cdg_from_files, metadata_supplement, identity_supplement, enriched_types, update_windows_ordered, transfer_risks_ordered, binding_panel,
+    permission_scopes, dependency_structs, ref_tests, privileged_workflows, error_log, input_check, preflight_checks, markdown_table,
 )}

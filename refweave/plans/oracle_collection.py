@@ -57,3 +57,20 @@ ORACLE = {
       union all select 'drift', g.bucket, coalesce(v, 0) from (values ('level_1'), ('level_2'), ('level_3_plus')) g(bucket) left join (select {bucket("max_depth")} as bucket, sum(drift_refs)::double as v from rw group by 1) using (bucket)
       union all select 'lag', mode || ' ' || bucket, round(avg(lag_hours), 4) from uw group by 1, 2"""),
 }
+_SCOPES = ("contents", "actions", "checks", "deployments", "id-token", "issues", "packages", "pull-requests", "security-events", "statuses")
+_LEVEL = """coalesce(case when lower(trim(declared_permissions['{0}'])) in ('write', 'read', 'none') then lower(trim(declared_permissions['{0}'])) when lower(trim(declared_permissions['{0}'])) = 'write-all' then 'write'
+  when lower(trim(declared_permissions['{0}'])) = 'read-all' then 'read' else 'default' end, 'default')"""
+ORACLE |= {
+    "permission_scopes": "select ingest_seq, " + ", ".join(f"{_LEVEL.format(k)} as {k.replace('-', '_')}" for k in _SCOPES)
+    + ", " + ", ".join(f"case when list_contains(map_keys(declared_permissions), '{w}') then 'write' else 'none' end as {w.replace('-', '_')}" for w in ("write-all", "read-all")) + " from actions",
+    "dependency_structs": q(CHANGES, f"""select distinct uses as uses_value, split_part({_NAME}, '/', 1) as owner, split_part({_NAME}, '/', 2) as repo, case when len(split({_NAME}, '/')) > 2 then array_to_string(split({_NAME}, '/')[3:], '/') end as subpath,
+      {_REF} as ref_string, {_KIND.format(_REF)} as ref_kind, regexp_matches({_REF}, '\\$\\{{\\{{\\s*[^}}]+\\s*\\}}\\}}') as is_dynamic_ref from (select unnest(uses_after) as uses from ch) where regexp_full_match(uses, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+(/.+)?@.+')"""),
+    "ref_tests": q("", "select edge_id, coalesce(lower(trim(ref_string)) in ('main', 'refs/heads/main'), false) as is_main, coalesce(lower(consumer_repository) = lower(a.owner || '/' || a.repo), false) as is_own from sc left join ac a on a.action_id = sc.dst_node_id"),
+    "privileged_workflows": q(FILES, """select repository_full_name, path, jobs, privilege_score from pw where id_token_write or contents_write or actions_write or packages_write or deployments_write or security_events_write or write_all
+      or secrets_in_env or secrets_in_with or explicit_token"""),
+    "error_log": """select 'good' as kind, count(*) as n, count(distinct ingest_seq) as different from repositories where ingest_seq % 7 <> 0
+      union all select 'bad', count(*), count(distinct substr('{"repo_id":' || repo_id || ',"full_name":"' || full_name, 1, 20)) from repositories where ingest_seq % 7 = 0""",
+    "input_check": "select 'no_such_table.parquet' as missing",
+    "preflight_checks": "select * from (values ('inputs', false), ('yaml', true)) x(\"check\", ok)",
+    "markdown_table": q("mt as (select depth::bigint as depth, count(*) as n from sc group by 1),", "select '| depth | edges |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || depth || ' | ' || n || ' |', chr(10) order by depth) as text from mt"),
+}

@@ -222,8 +222,8 @@ def preflight(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- a partitioned search source
 class _Range(InputPartition):
-    def __init__(self, low: int, high: int):
-        self.low, self.high = low, high
+    def __init__(self, low: int, high: int, places: list[tuple[int, int, int]]):
+        self.low, self.high, self.places = low, high, places  # places: value, offset and length of each hit's line
 
 
 def bisect_ranges(count: Callable[[int, int], int], low: int, high: int, most: int) -> list[tuple[int, int]]:
@@ -265,19 +265,30 @@ class _RangeReader(DataSourceReader):
         self.path, self.column = options["path"], options["column"]
         self.low, self.high, self.most = (int(options.get(k, v)) for k, v in (("low", "0"), ("high", "1000000"), ("most", "1000")))
 
-    def _rows(self) -> Iterator[tuple[int, str]]:
-        with open(self.path, encoding="utf-8") as f:
+    def _places(self) -> list[tuple[int, int, int]]:
+        """Value, offset and length of every line, by value: the one pass over the whole file."""
+        found, at = [], 0
+        with open(self.path, "rb") as f:
             for line in f:
                 if line.strip():
                     value = json.loads(line).get(self.column)
                     if value is not None:
-                        yield int(value), line.strip()
+                        found.append((int(value), at, len(line)))
+                at += len(line)
+        return sorted(found)
 
     def partitions(self) -> list[InputPartition]:
-        values = sorted(v for v, _ in self._rows())
         from bisect import bisect_left, bisect_right
 
-        return [_Range(a, b) for a, b in bisect_ranges(lambda a, b: bisect_right(values, b) - bisect_left(values, a), self.low, self.high, self.most)]
+        places = self._places()
+        values = [p[0] for p in places]
+        cut = lambda a, b: (bisect_left(values, a), bisect_right(values, b))
+        ranges = bisect_ranges(lambda a, b: cut(a, b)[1] - cut(a, b)[0], self.low, self.high, self.most)
+        return [_Range(a, b, places[slice(*cut(a, b))]) for a, b in ranges]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        yield from (row for row in self._rows() if partition.low <= row[0] <= partition.high)
+        """Only the lines of the range, each at its place."""
+        with open(self.path, "rb") as f:
+            for value, at, length in sorted(partition.places, key=lambda p: p[1]):
+                f.seek(at)
+                yield value, f.read(length).decode("utf-8").strip()

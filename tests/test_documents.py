@@ -75,3 +75,14 @@ def test_signals(spark):
 def test_workflow_level_write_all_does_not_reach_jobs(spark):
     j = jobs.jobs(docs(spark, "permissions: write-all\njobs: {a: {steps: []}, b: {permissions: write-all, steps: []}}"))
     assert {r["job_id"]: r["write_all"] for r in jobs.privilege(j, jobs.isolation(j)).collect()} == {"a": False, "b": True}
+
+
+def test_nests_of_aliases_are_not_written_out():
+    """Nine levels of nine aliases stand for 387 million values; the file counts as unreadable, a plain alias does not."""
+    nest = "a0: &a0 [x, x, x, x, x, x, x, x, x]\n" + "".join(f"a{i}: &a{i} [{', '.join([f'*a{i - 1}'] * 9)}]\n" for i in range(1, 9))
+    assert documents.workflow_struct(nest + "jobs:\n  b:\n    steps:\n    - run: x\n      with: {k: *a8}\n") is None
+    loop = "a: &a [*a]\njobs: {}\n"
+    assert documents.workflow_struct(loop) is None
+    plain = "x: &x {k: 1}\njobs:\n  b:\n    steps:\n    - uses: o/r@v1\n      with: *x\n"
+    assert documents.workflow_struct(plain)["jobs"][0]["steps"][0]["with_text"] == "{'k': 1}"
+    assert documents.expanded([[1, 2], [3]]) == 6

@@ -55,3 +55,36 @@ def test_statistics(spark):
     assert 0 < p["ci_low"] < 3.5 < p["ci_high"] < 9
     with pytest.raises(ValueError):
         stats.bootstrap(labelled, "l", "v", ["i"], most=3)
+
+
+def test_difference_interval_equals_plain_python(spark):
+    """Both samples from one seeded generator, the left one first, and the nearest-rank ends of the sorted differences."""
+    import random
+
+    rows = [("m", float(i % 7), i < 9, i) for i in range(24)] + [("one", 1.0, True, 0), ("none", None, True, 0)]
+    df = spark.createDataFrame(rows, "l string, v double, x boolean, i int")
+    got = {r["metric"]: r for r in stats.bootstrap_difference(df, "l", "v", "x", ["i"], iterations=100, seed=3).collect()}
+    left, right = [float(i % 7) for i in range(9)], [float(i % 7) for i in range(9, 24)]
+    rng, draws = random.Random(3), []
+    for _ in range(100):
+        a = [left[rng.randrange(9)] for _ in range(9)]
+        b = [right[rng.randrange(15)] for _ in range(15)]
+        draws.append(sum(a) / 9 - sum(b) / 15)
+    draws.sort()
+    m = got["m"]
+    assert (m["left_count"], m["right_count"]) == (9, 15) and m["difference"] == pytest.approx(sum(left) / 9 - sum(right) / 15, abs=1e-6)
+    assert m["ci_low"] == pytest.approx(draws[round(99 * 0.025)], abs=1e-6) and m["ci_high"] == pytest.approx(draws[round(99 * 0.975)], abs=1e-6)
+    assert got["one"]["difference"] is None and "none" not in got
+    wide = {r["l"]: r for r in stats.bootstrap_differences(df.where("l = 'm'"), "l", "v", "x", iterations=200).collect()}["m"]
+    assert wide["ci_low"] < m["difference"] < wide["ci_high"]
+    with pytest.raises(ValueError):
+        stats.bootstrap_difference(df, "l", "v", "x", ["i"], most=3)
+
+
+def test_scopes_and_structs(spark):
+    p = [({"contents": "Write", "issues": "odd", "packages": "read-all"},), ({"write-all": "x"},), (None,)]
+    got = [r[0] for r in values(spark, p, "p map<string,string>", X.scope_levels(F.col("p")))]
+    assert (got[0]["contents"], got[0]["issues"], got[0]["packages"], got[0]["actions"], got[0]["write-all"]) == ("write", "default", "read", "default", "none")
+    assert got[1]["write-all"] == "write" and set(got[2].values()) == {"default", "none"}
+    d = values(spark, [("o/r/sub@${{ x }}",)], "u string", X.dependency(F.col("u")))[0][0]
+    assert tuple(d) == ("o/r/sub@${{ x }}", "o", "r", "sub", "${{ x }}", "unknown", True)

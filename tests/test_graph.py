@@ -83,3 +83,19 @@ def test_estimate_follows_deep_chains(spark):
     rows = [(w, "n0", "workflow", "action", "o/r1", "a.yml"), *[(a, b, "action", "action", "o/r1", "a.yml") for a, b in pairwise(names)]]
     est = {r["action_id"]: r["repositories"] for r in graph.downstream_estimate(spark.createDataFrame(rows, E).coalesce(1)).collect()}
     assert est == dict.fromkeys(names, 1)
+
+
+def test_union_counts_equal_sets(spark):
+    """Bitmaps over numbered values against plain sets, with members of many groups and values beyond one bitmap."""
+    rng = random.Random(8)
+    pairs = [(f"a{rng.randrange(30)}", f"r{rng.randrange(400)}") for _ in range(2000)] + [("big", f"x{i}") for i in range(40_000)]
+    members = [(f"g{rng.randrange(12)}", f"a{rng.randrange(35)}") for _ in range(80)] + [("g0", "big"), ("g1", "big"), ("empty", "nothing")]
+    p, m = spark.createDataFrame(pairs + pairs[:50], "action_id string, repository string"), spark.createDataFrame(members + members[:5], "g string, action_id string")
+    held = {}
+    for a, r in pairs:
+        held.setdefault(a, set()).add(r)
+    want = {}
+    for g, a in members:
+        want.setdefault(g, set()).update(held.get(a, ()))
+    got = {r["g"]: r["n"] for r in graph.union_counts(m, p, ["g"]).collect()}
+    assert got == {g: len(x) for g, x in want.items() if x}

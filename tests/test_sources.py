@@ -71,3 +71,41 @@ def test_range_search(spark, tmp_path):
     spark.dataSource.register(files.RangeSearch)
     df = spark.read.format("range_search").options(path=str(path), column="stars", low="0", high="200", most="150").load()
     assert df.count() == 1000 and df.rdd.getNumPartitions() >= 7
+    assert df.where("value >= 90").count() == sum(i % 97 >= 90 for i in range(1000))
+    assert {json.loads(r["record"])["n"] for r in df.collect()} == set(range(1000))
+
+
+def test_resumption_and_reference_state(spark):
+    units = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "unit string")
+    states = spark.createDataFrame([("a", "completed"), ("b", "completed"), ("c", "failed")], "unit string, status string")
+    left = files.pending(units, states, spark.createDataFrame([("a",), ("c",)], "unit string"))
+    assert {tuple(r) for r in left.collect()} == {("b", "completed"), ("c", "failed"), ("d", "new")}
+    wanted = spark.createDataFrame([("x", "v1", "tag"), ("x", "v2", "tag"), ("x", "main", "branch"), ("y", "v1", "tag")], "action_id string, ref_name string, ref_type string")
+    own = spark.createDataFrame([("x", "v1", "tag", "new")], "action_id string, ref_name string, ref_type string, sha string")
+    old = spark.createDataFrame([("x", "v1", "old"), ("x", "v2", "old"), ("x", "main", "old")], "action_id string, tag_name string, sha string")
+    got = {(r["action_id"], r["ref_name"]): r["sha"] for r in files.load_ref_state(wanted, own, old).collect()}
+    assert got == {("x", "v1"): "new", ("x", "v2"): "old", ("x", "main"): None, ("y", "v1"): None}
+
+
+def test_csv_keeps_blanks_quotes_and_lines(spark, tmp_path):
+    rows = [(" a ", 1), ('say "x", y', 2), ("two\nlines", 3), ("", 4)]
+    files.write_csv(spark.createDataFrame(rows, "s string, n long"), str(tmp_path / "x.csv"))
+    schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("n", T.LongType())])
+    assert sorted(map(tuple, files.read_csv_typed(spark, str(tmp_path / "x.csv"), schema).collect()), key=lambda r: r[1]) == rows
+
+
+def test_intermediates_follow_the_tables(spark, tmp_path):
+    """A table written anew within a session is read anew."""
+    from refweave.plans import domain
+
+    def write(n):
+        spark.range(n).selectExpr("id as repo_id").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+
+    make = lambda: spark.read.parquet(str(tmp_path / "t.parquet"))
+    write(3)
+    assert domain.once(spark, str(tmp_path), "t", make).count() == 3 and domain.once(spark, str(tmp_path), "t", make).count() == 3
+    import time
+
+    time.sleep(1.1)
+    write(5)
+    assert domain.once(spark, str(tmp_path), "t", make).count() == 5

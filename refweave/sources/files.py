@@ -111,6 +111,20 @@ def latex(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", *body, r"\end{tabular}"])
 
 
+def svg_bars(df: DataFrame, label: str, value: str, limit: int = 40, width: int = 640) -> str:
+    """A small table as a horizontal bar chart: one bar a row, in the table's order; missing and negative values have no bar."""
+    from html import escape
+
+    rows = [(r[label], r[value]) for r in df.select(label, value).limit(limit).collect()]
+    most = max([float(v) for _, v in rows if v is not None and v > 0], default=1.0)
+    bars = []
+    for i, (name, v) in enumerate(rows):
+        long = 0 if v is None else max(0.0, float(v)) / most * (width - 300)
+        text = escape("" if name is None else str(name))
+        bars.append(f'<text x="190" y="{24 * i + 17}" text-anchor="end">{text}</text><rect x="200" y="{24 * i + 4}" width="{long:.1f}" height="16"/><text x="{206 + long:.1f}" y="{24 * i + 17}">{"" if v is None else escape(str(v))}</text>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{24 * len(rows) + 8}" font-family="sans-serif" font-size="12">' + "".join(bars) + "</svg>"
+
+
 @dataclass
 class Report:
     """Named tables to export. A table that fails is noted, the others are written."""

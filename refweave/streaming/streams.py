@@ -42,6 +42,15 @@ def run(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+#: How often collection and analysis run.
+COLLECT_EVERY, ANALYSE_EVERY = "6 hours", "24 hours"
+
+
+def start(df: DataFrame, folder: str, every: str = COLLECT_EVERY):
+    """The same stream run on and on, a batch each ``every``; the query can be stopped and started again from its state below ``folder``."""
+    return df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(processingTime=every).start()
+
+
 def _changed(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
     # Of a batch only positions and codes of its values are kept; a trigger's size bounds the rows of one reference.

@@ -109,3 +109,25 @@ def test_intermediates_follow_the_tables(spark, tmp_path):
     time.sleep(1.1)
     write(5)
     assert domain.once(spark, str(tmp_path), "t", make).count() == 5
+
+
+def test_bars(spark):
+    from xml.etree import ElementTree
+
+    df = spark.createDataFrame([("a<b", 4.0), (None, 2.0), ("none", None), ("less", -1.0)], "l string, v double")
+    root = ElementTree.fromstring(files.svg_bars(df, "l", "v"))
+    widths = [float(r.get("width")) for r in root.iter("{http://www.w3.org/2000/svg}rect")]
+    assert widths == [340.0, 170.0, 0.0, 0.0] and ElementTree.fromstring(files.svg_bars(df.limit(0), "l", "v")) is not None
+
+
+def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
+    """Two runs of one scheduled stream: the second one writes only what came since."""
+    from refweave.streaming import streams
+
+    source = str(tmp_path / "in")
+    for first, n in ((0, 3), (3, 5)):
+        spark.range(first, n).write.mode("append").parquet(source)
+        q = streams.start(spark.readStream.schema("id long").parquet(source), str(tmp_path / "run"), "1 second")
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "run" / "out")).collect()) == [0, 1, 2, 3, 4]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,17 +54,95 @@ def downstream_repositories(edges: DataFrame) -> DataFrame:
     return _spread(start, action_links(edges), "repository").select(F.col("node").alias("action_id"), "repository")
 
 
-def union_counts(members: DataFrame, pairs: DataFrame, group: list[str], by: str = "action_id", what: str = "repository") -> DataFrame:
-    """(group, n): how many different ``what`` the pairs (by, what) of a group's members hold together.
+def numbered(values: DataFrame, what: str) -> DataFrame:
+    """(what, rank): the distinct values numbered from 1 in their order."""
+    return ranked(values.select(what).distinct().withColumn("_one", F.lit(1)), "_one", [], by=[what]).select(what, "rank")
+
+
+def _bitmaps(pairs: DataFrame, by: str, rank: str = "rank") -> DataFrame:
+    """(by, _bucket, _bits) of pairs (by, rank): 32,768 numbers a bitmap."""
+    return pairs.groupBy(by, F.bitmap_bucket_number(rank).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rank)).alias("_bits"))
+
+
+def _flow(start: DataFrame, links: DataFrame) -> Iterator[DataFrame]:
+    """Sets flow along links (send, take) until none grows: the bitmaps (node, _bucket, _bits, _n, _was) after each round.
+
+    A round hands on only what grew in the round before. A set of thousands of values is a few kilobytes of a row, so the
+    work is links x rounds x bitmaps and not the pairs of the closure.
+    """
+    now = materialize(start.select("node", "_bucket", "_bits", F.bitmap_count("_bits").alias("_n"), F.lit(0).cast("long").alias("_was")))
+    yield now
+    links = materialize(links.select("send", "take").distinct())
+    while True:
+        grown = now.where("_n > _was")
+        if grown.isEmpty():
+            return
+        moved = grown.join(links, grown["node"] == links["send"]).select(F.col("take").alias("node"), "_bucket", "_bits", F.lit(0).cast("long").alias("_n"))
+        both = now.select("node", "_bucket", "_bits", "_n").unionByName(moved).groupBy("node", "_bucket").agg(F.bitmap_or_agg("_bits").alias("_bits"), F.max("_n").alias("_was"))
+        now = materialize(both.select("node", "_bucket", "_bits", F.bitmap_count("_bits").alias("_n"), "_was"))
+        yield now
+
+
+def downstream_sets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which repositories' workflows reach an action, as bitmaps (action_id, _bucket, _bits), and the numbers of the
+    repositories (repository, rank)."""
+    direct = edges.where("src_kind = 'workflow' and dst_kind = 'action'").select(F.split("src_node_id", "::").getItem(1).alias("repository"), F.col("dst_node_id").alias("node")).distinct()
+    numbers = materialize(numbered(direct, "repository"))
+    for last in _flow(_bitmaps(direct.join(numbers, "repository"), "node"), action_links(edges).select(F.col("src").alias("send"), F.col("dst").alias("take"))):
+        pass
+    return last.select(F.col("node").alias("action_id"), "_bucket", "_bits"), numbers
+
+
+def members(sets: DataFrame, numbers: DataFrame, what: str) -> DataFrame:
+    """(_bucket, _key, what): the values of each different bitmap; equal bitmaps, as of actions on one loop, are opened once."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, key, bits in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")) + (bucket - 1) * 32768 + 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), bucket)), pa.array([key] * len(at), pa.string()), pa.array(at)], names=["_bucket", "_key", "rank"])
+
+    different = sets.select("_bucket", F.md5("_bits").alias("_key"), "_bits").dropDuplicates(["_bucket", "_key"])
+    return different.mapInArrow(opened, "_bucket long, _key string, rank long").join(numbers, "rank").select("_bucket", "_key", what)
+
+
+def set_sizes(sets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n): how many values a set holds, or the sets of one group together."""
+    return sets.groupBy(*by, "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n")).groupBy(*by).agg(F.sum("_n").cast("long").alias("n"))
+
+
+def union_counts(members_: DataFrame, sets: DataFrame, group: list[str], by: str = "action_id") -> DataFrame:
+    """(group, n): how many different values the sets (by, _bucket, _bits) of a group's members hold together.
+
+    A member of many groups is joined as a few rows of bits and not once per value. Groups whose members hold nothing
+    are not there.
+    """
+    return set_sizes(members_.select(*group, by).distinct().join(sets, by).select(*group, "_bucket", "_bits"), group)
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(node_id, reached, max_hops, sum_hops) of every node with a link out: how much it depends on, itself left out, and how far away.
 
-    The members' sets are bitmaps over numbered values, so a member of many groups is joined as a few rows of bits
-    and not once per value. Groups whose members hold nothing are not there.
+    After round k a node's set is what lies within k links, so that what a set gains in round k is k links away.
     """
-    numbered = ranked(pairs.select(what).distinct().withColumn("_one", F.lit(1)), "_one", [], by=[what]).select(what, "rank")
-    bits = pairs.select(by, what).distinct().join(numbered, what)
-    bits = materialize(bits.groupBy(by, F.bitmap_bucket_number("rank").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("rank")).alias("_bits")))
-    per = members.select(*group, by).distinct().join(bits, by).groupBy(*group, "_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_bits")).alias("_n"))
-    return per.groupBy(*group).agg(F.sum("_n").cast("long").alias("n"))
+    links = materialize(edges.select(F.col("src_node_id").alias("src"), F.col("dst_node_id").alias("dst")).distinct())
+    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+    own = _bitmaps(nodes.join(numbered(nodes, "node"), "node"), "node")
+    gains = None
+    for k, now in enumerate(_flow(own, links.select(F.col("dst").alias("send"), F.col("src").alias("take")))):
+        if k:
+            gain = now.where("_n > _was").groupBy("node").agg(F.sum(F.col("_n") - F.col("_was")).alias("gain")).withColumn("hops", F.lit(k))
+            gains = gain if gains is None else gains.unionByName(gain)
+    if gains is None:
+        gains = own.select("node", F.lit(0).cast("long").alias("gain"), F.lit(0).alias("hops")).limit(0)
+    return gains.groupBy(F.col("node").alias("node_id")).agg(F.sum("gain").alias("reached"), F.max("hops").cast("long").alias("max_hops"), F.sum(F.col("gain") * F.col("hops")).alias("sum_hops"))
+
+
+def reached_workflows(edges: DataFrame) -> DataFrame:
+    """(node_id, reached): workflows that a node leads to, itself left out. Only links that end in a workflow start such a way."""
+    links = edges.select(F.col("src_node_id").alias("dst"), F.col("dst_node_id").alias("src"), F.col("dst_kind").alias("kind")).distinct()
+    ends = links.where("kind = 'workflow'").select(F.col("src").alias("reached"), F.col("src").alias("node"))
+    return _spread(ends, links.select("src", "dst"), "reached").where("node <> reached").select(F.col("node").alias("node_id"), "reached")
 
 
 def forward_reach(edges: DataFrame) -> DataFrame:

@@ -98,5 +98,14 @@ def blast_pairs(s: SparkSession, d: str) -> DataFrame:
     return once(s, d, "blast_pairs", lambda: graph.downstream_repositories(edges(s, d)))
 
 
-def reach_pairs(s: SparkSession, d: str) -> DataFrame:
-    return once(s, d, "reach_pairs", lambda: graph.forward_reach(edges(s, d)))
+def downstream_sets(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """As graph.downstream_sets, made once."""
+    made: list[DataFrame] = []
+
+    def make() -> list[DataFrame]:
+        if not made:
+            made.extend(graph.downstream_sets(edges(s, d)))
+        return made
+
+    sets = once(s, d, "downstream_sets", lambda: make()[0])
+    return sets, once(s, d, "downstream_numbers", lambda: make()[1])

@@ -26,9 +26,14 @@ def implicit_ratio(s: SparkSession, d: str) -> DataFrame:
 
 def blast_radius(s: SparkSession, d: str) -> DataFrame:
     """Per action: downstream repositories, those with more than 50 stars, and these ones' stars together."""
-    pairs = D.blast_pairs(s, d).join(D.repository_names(s, d), F.col("repository") == F.col("full_name"), "left")
+    sets, numbers = D.downstream_sets(s, d)
+    sets = sets.withColumn("_key", F.md5("_bits"))
     high = F.col("stars") > HIGH_STARS
-    hit = pairs.groupBy("action_id").agg(F.count("*").alias("repos"), F.count_if(high).alias("high_star_repos"), F.sum(F.when(high, F.col("stars")).otherwise(0)).alias("high_star_coverage"))
+    stars = D.repository_names(s, d).select(F.col("full_name").alias("repository"), "stars")
+    worth = graph.members(sets, numbers, "repository").join(stars, "repository", "left").groupBy("_bucket", "_key").agg(
+        F.count("*").alias("repos"), F.count_if(high).alias("high_star_repos"), F.sum(F.when(high, F.col("stars")).otherwise(0)).alias("high_star_coverage")
+    )
+    hit = sets.select("action_id", "_bucket", "_key").join(worth, ["_bucket", "_key"]).groupBy("action_id").agg(*[F.sum(c).alias(c) for c in ("repos", "high_star_repos", "high_star_coverage")])
     zero = F.lit(0).cast("long")
     ids = D.edges(s, d).where("dst_kind = 'action'").select(F.col("dst_node_id").alias("action_id")).distinct()
     return ids.join(hit, "action_id", "left").select("action_id", *[F.coalesce(c, zero).alias(c) for c in ("repos", "high_star_repos", "high_star_coverage")])
@@ -45,7 +50,8 @@ def downstream_closure(s: SparkSession, d: str) -> DataFrame:
 
 def forward_reach(s: SparkSession, d: str) -> DataFrame:
     """Per node: how many it reaches, how deep, how far on average."""
-    return D.reach_pairs(s, d).groupBy("node_id").agg(F.count("*").alias("reached"), F.max("hops").cast("long").alias("max_hops"), F.round(F.avg("hops"), 6).alias("avg_hops"))
+    r = graph.reach_counts(D.edges(s, d))
+    return r.select("node_id", "reached", "max_hops", F.round(F.col("sum_hops") / F.col("reached"), 6).alias("avg_hops"))
 
 
 def min_depths(s: SparkSession, d: str) -> DataFrame:
@@ -125,7 +131,7 @@ def ref_risk_by_workflow(s: SparkSession, d: str) -> DataFrame:
         *counts, F.max("depth").cast("long").alias("max_depth"), F.round(F.sum(F.col("repos") * F.col("weight")), 4).alias("risk_score"),
         F.count_distinct(F.when(moved, F.struct("action_id", "bound_ref"))).alias("drift_refs"), F.round(F.sum(F.when(moved, F.col("repos") * F.col("weight")).otherwise(0.0)), 4).alias("drift_score"),
     )
-    union = graph.union_counts(c, D.blast_pairs(s, d), WF).withColumnRenamed("n", "downstream_repos")
+    union = graph.union_counts(c, D.downstream_sets(s, d)[0], WF).withColumnRenamed("n", "downstream_repos")
     out = workflow_nodes(s, d).join(per, WF, "left").join(union, WF, "left")
     whole = [k.lower() for k in X.REF_CATEGORIES] + ["max_depth", "drift_refs", "downstream_repos"]
     out = out.select(*WF, *[F.coalesce(x, zero).alias(x) for x in whole], *[F.coalesce(x, F.lit(0.0)).alias(x) for x in ("risk_score", "drift_score")])
@@ -162,7 +168,7 @@ def ref_risk_summary(s: SparkSession, d: str) -> DataFrame:
         F.round(X.rate(F.sum(high), F.sum("refs")), 6).alias("high_risk_ratio"),
     )
     known = D.actions(s, d).select("action_id")
-    affected = D.blast_pairs(s, d).join(known, "action_id", "left_semi").agg(F.count_distinct("repository").alias("affected_repos"))
+    affected = graph.set_sizes(D.downstream_sets(s, d)[0].join(known, "action_id", "left_semi"), []).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("affected_repos"))
     return a.crossJoin(w).crossJoin(affected)  # one row each
 
 
@@ -226,7 +232,7 @@ def amplification_by_node(s: SparkSession, d: str) -> DataFrame:
     outdeg = links.groupBy(F.col("src_node_id").alias("node_id")).agg(F.count("*").alias("out_degree"))
     reach = D.once(s, d, "reach", lambda: forward_reach(s, d)).select("node_id", F.col("reached").alias("fanout"), F.col("max_hops").alias("max_depth"), F.col("avg_hops").alias("avg_depth"))
     stars = D.repository_names(s, d).select(F.col("full_name").alias("repository"), "stars")
-    flows = D.reach_pairs(s, d).where(F.col("reached").startswith("workflow::")).select("node_id", F.split("reached", "::", 3)[1].alias("repository"), "reached").join(stars, "repository", "left")
+    flows = graph.reached_workflows(D.edges(s, d)).select("node_id", F.split("reached", "::", 3)[1].alias("repository"), "reached").join(stars, "repository", "left")
     flows = flows.groupBy("node_id").agg(F.count("*").alias("reached_workflows"), F.count_distinct("repository").alias("reached_repos"), F.count_distinct(F.when(F.col("stars") > HIGH_STARS, F.col("repository"))).alias("reached_high_star"))
     blast = D.once(s, d, "blast", lambda: blast_radius(s, d)).select(F.col("action_id").alias("node_id"), F.col("repos").alias("blast_repos"))
     out = ids.join(indeg, "node_id", "left").join(outdeg, "node_id", "left").join(reach, "node_id", "left").join(flows, "node_id", "left").join(blast, "node_id", "left")

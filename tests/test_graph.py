@@ -97,5 +97,33 @@ def test_union_counts_equal_sets(spark):
     want = {}
     for g, a in members:
         want.setdefault(g, set()).update(held.get(a, ()))
-    got = {r["g"]: r["n"] for r in graph.union_counts(m, p, ["g"]).collect()}
+    sets = graph._bitmaps(p.join(graph.numbered(p, "repository"), "repository"), "action_id")
+    got = {r["g"]: r["n"] for r in graph.union_counts(m, sets, ["g"]).collect()}
     assert got == {g: len(x) for g, x in want.items() if x}
+
+
+def test_sets_flow_as_pairs_do(spark):
+    """Bitmaps against the listed closure, on random graphs with loops: members, sizes, hops."""
+    rng = random.Random(3)
+    rows = [(f"workflow::o/r{rng.randrange(12)}::w.yml", f"a{rng.randrange(25)}", "workflow", "action", "o/r", "w.yml") for _ in range(20)]
+    rows += [(f"a{rng.randrange(25)}", f"a{rng.randrange(25)}", "action", "action", "o/r", "w.yml") for _ in range(30)] + [("a1", "a1", "action", "action", "o/r", "w.yml"), ("a2", "workflow::o/r3::w.yml", "action", "workflow", "o/r", "w.yml")]
+    e = spark.createDataFrame(rows, E)
+    want = {}
+    for r in graph.downstream_repositories(e).collect():
+        want.setdefault(r["action_id"], set()).add(r["repository"])
+    sets, numbers = graph.downstream_sets(e)
+    keyed = {(r["_bucket"], r["_key"]): set() for r in graph.members(sets, numbers, "repository").collect()}
+    for r in graph.members(sets, numbers, "repository").collect():
+        keyed[r["_bucket"], r["_key"]].add(r["repository"])
+    import hashlib
+
+    assert {r["action_id"]: keyed[r["_bucket"], hashlib.md5(r["_bits"]).hexdigest()] for r in sets.collect()} == want
+    assert {r["action_id"]: r["n"] for r in graph.set_sizes(sets, ["action_id"]).collect()} == {a: len(x) for a, x in want.items()}
+    far = {}
+    for r in graph.forward_reach(e).collect():
+        far.setdefault(r["node_id"], []).append(r["hops"])
+    got = {r["node_id"]: (r["reached"], r["max_hops"], r["sum_hops"]) for r in graph.reach_counts(e).collect()}
+    assert got == {v: (len(h), max(h), sum(h)) for v, h in far.items()}
+    flows = {(r["node_id"], r["reached"]) for r in graph.reached_workflows(e).collect()}
+    assert flows == {(r["node_id"], r["reached"]) for r in graph.forward_reach(e).collect() if r["reached"].startswith("workflow::")}
+    assert graph.reach_counts(e.limit(0)).count() == 0 and graph.downstream_sets(e.limit(0))[0].count() == 0

@@ -7,9 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from refweave.operators.history import attribute_hash
+from refweave.session import materialize
 
 
-def snapshot_intervals(snapshots: DataFrame, key: str, snapshot: str, read_at: str, attrs: list[str]) -> DataFrame:
+def deliveries(snapshots: DataFrame, key: str, snapshot: str) -> DataFrame:
+    """(_snap, _rank): the deliveries in order; one row each, written once."""
+    rows = snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull())
+    return materialize(rows.select(F.col(snapshot).alias("_snap")).distinct().withColumn("_rank", F.row_number().over(W.orderBy("_snap"))))
+
+
+def snapshot_intervals(snapshots: DataFrame, key: str, snapshot: str, read_at: str, attrs: list[str], ranks: DataFrame | None = None) -> DataFrame:
     """Validity intervals of each key's row: the longest runs of consecutive deliveries with an equal row hash.
 
     Result: key, row_hash, first_rank, last_rank (positions among the deliveries present), n_snapshots.
@@ -22,7 +29,7 @@ def snapshot_intervals(snapshots: DataFrame, key: str, snapshot: str, read_at: s
         F.max(F.struct(F.col(read_at).alias("_at"), *[F.col(a).alias(f"_v{i}") for i, a in enumerate(attrs)])).alias("_row")
     )
     held = held.select("_key", "_snap", attribute_hash(*[f"_row._v{i}" for i in range(len(attrs))]).alias("row_hash"))
-    ranks = rows.select(F.col(snapshot).alias("_snap")).distinct().withColumn("_rank", F.row_number().over(W.orderBy("_snap")))
+    ranks = deliveries(snapshots, key, snapshot) if ranks is None else ranks
     w = W.partitionBy("_key").orderBy("_rank")
     marked = (
         held.join(ranks, "_snap")
@@ -42,9 +49,8 @@ def snapshot_changes(snapshots: DataFrame, key: str, snapshot: str, read_at: str
     first delivery is ``added``; an end before the last delivery that no interval adjoins is ``removed``,
     in the delivery that follows. One delivery, or none, gives no events.
     """
-    runs = snapshot_intervals(snapshots, key, snapshot, read_at, attrs)
-    ranks = snapshots.where(F.col(key).isNotNull() & F.col(snapshot).isNotNull()).select(F.col(snapshot).alias("_snap")).distinct()
-    ranks = ranks.withColumn("_rank", F.row_number().over(W.orderBy("_snap")))
+    ranks = deliveries(snapshots, key, snapshot)
+    runs = snapshot_intervals(snapshots, key, snapshot, read_at, attrs, ranks)
     w = W.partitionBy(key).orderBy("first_rank")
     adjoining = runs.withColumn("_before", F.lag("last_rank").over(w)).withColumn("_after", F.lead("first_rank").over(w))
     events = adjoining.select(

@@ -73,3 +73,23 @@ def test_too_many_links_flow_as_bitmaps(spark, monkeypatch):
     want = sorted(graph.reach_counts(e).collect())
     monkeypatch.setattr(sweep, "MAX_LINKS", 0)
     assert sorted(graph.reach_counts(e).collect()) == want and len(want) == 49
+
+
+def test_downstream_of_a_loop_writes_links_only(spark):
+    """Repositories, their worth and the union over groups against plain sets, and nothing but links written."""
+    e, rows = dense(spark, 1500, 400)
+    worth = {f"o/r{i}": 60 + i for i in range(0, 400, 3)}
+    w = spark.createDataFrame(list(worth.items()), "repository string, worth long")
+    groups = [("g0", "a1"), ("g0", "a2"), ("g1", "a7"), ("none", "unknown")]
+    to, sets = {}, {}
+    for a, b, *_ in rows:
+        to.setdefault(a, set()).add(b)
+    for a in [x for x in to if x.startswith("workflow")]:
+        for v in far(to, a):
+            sets.setdefault(v, set()).add(a.split("::")[1])
+    before = written(spark)
+    got = {r[0]: tuple(r[1:]) for r in graph.downstream_counts(e, w).collect()}
+    unions = {r["group"]: r["n"] for r in graph.downstream_unions(e, spark.createDataFrame(groups, "group string, action_id string")).collect()}
+    assert written(spark) - before < 1_000_000
+    assert got == {v: (len(x), len(x & worth.keys()), sum(worth.get(r, 0) for r in x)) for v, x in sets.items()}
+    assert unions == {"g0": len(sets["a1"] | sets["a2"]), "g1": len(sets["a7"])}

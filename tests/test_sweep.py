@@ -93,3 +93,20 @@ def test_downstream_of_a_loop_writes_links_only(spark):
     assert written(spark) - before < 1_000_000
     assert got == {v: (len(x), len(x & worth.keys()), sum(worth.get(r, 0) for r in x)) for v, x in sets.items()}
     assert unions == {"g0": len(sets["a1"] | sets["a2"]), "g1": len(sets["a7"])}
+
+
+def test_pairs_of_a_loop_are_handed_on(spark, monkeypatch):
+    """The listed pairs are right, whatever way they are found, and leave nothing but links on disk."""
+    e, rows = dense(spark, 1500, 400)
+    to = {}
+    for a, b, *_ in rows:
+        to.setdefault(a, set()).add(b)
+    want = {(v, a.split("::")[1]) for a in to if a.startswith("workflow") for v in far(to, a)}
+    monkeypatch.setattr(sweep, "PAIRS", 3000)
+    before = written(spark)
+    found = graph.downstream_repositories(e).toPandas()
+    assert written(spark) - before < 1_000_000 and len(found) == len(want) and set(zip(found["action_id"], found["repository"])) == want
+    small, _ = dense(spark, 40, 9)
+    few = sorted(graph.downstream_repositories(small).collect())
+    monkeypatch.setattr(sweep, "MAX_NAMES", 0)
+    assert sorted(graph.downstream_repositories(small).select("action_id", "repository").collect()) == few and len(few) == 360

@@ -110,3 +110,36 @@ def test_pairs_of_a_loop_are_handed_on(spark, monkeypatch):
     few = sorted(graph.downstream_repositories(small).collect())
     monkeypatch.setattr(sweep, "MAX_NAMES", 0)
     assert sorted(graph.downstream_repositories(small).select("action_id", "repository").collect()) == few and len(few) == 360
+
+
+@pytest.mark.parametrize("block_bytes", [16, 64, 1 << 20])
+def test_totals_equal_plain_search(monkeypatch, block_bytes):
+    monkeypatch.setattr(sweep, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(sweep, "MAX_WORDS", 1)
+    rng = random.Random(block_bytes)
+    for _ in range(60):
+        n = rng.randrange(1, 150)
+        links = [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randrange(3 * n))]
+        origins = sorted(rng.sample(range(n), rng.randrange(n + 1)))
+        worth = [rng.choice([-1, 0, 3, 77]) for _ in origins]
+        g = sweep.dag(np.arange(n) * 7, *(np.array([x[i] for x in links], np.int64) for i in (0, 1)), np.array(origins, np.int64), np.array(worth, np.int64))
+        sums, to, want = sweep._total(g, range(g.blocks)), {}, {}
+        for a, b in links:
+            to.setdefault(a, set()).add(b)
+        for o, w in zip(origins, worth):
+            for v in far(to, o):
+                x = want.setdefault(v, [0, 0, 0])
+                want[v] = [x[0] + 1, x[1] + (w >= 0), x[2] + max(w, 0)]
+        assert {int(g.ids[i]) // 7: sums[:, i].tolist() for i in np.flatnonzero(sums[0])} == want
+
+
+def test_a_link_passes_its_words_once(monkeypatch):
+    """On a loop of n nodes with tails, rounds would pass every link n times."""
+    n, passed = 400, []
+    merge = sweep._merge
+    monkeypatch.setattr(sweep, "_merge", lambda rows, send, take, moved: (passed.append(len(send)), merge(rows, send, take, moved)))
+    send = np.r_[np.arange(n), np.arange(n), np.arange(n, 2 * n)]
+    take = np.r_[(np.arange(n) + 1) % n, np.arange(n, 2 * n), np.arange(2 * n, 3 * n)]
+    g = sweep.dag(np.arange(3 * n), send, take, np.arange(n), np.full(n, -1))
+    sums = sweep._total(g, range(g.blocks))
+    assert sum(passed) <= len(send) * g.blocks and sums[0].tolist() == [n - 1] * n + [n] * 2 * n

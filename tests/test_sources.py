@@ -1,6 +1,7 @@
 """Sources and sinks."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import types as T
@@ -131,3 +132,40 @@ def test_a_stream_goes_on_where_it_stopped(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "run" / "out")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_what_was_shuffled_for_intermediates_is_deleted(spark):
+    """Of five shuffles none but the last one's files stay."""
+    import gc
+    import time
+
+    from refweave.session import materialize
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: str(disk.getAllFiles().mkString(" ")).count("/shuffle_")
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(3)
+    before, kept = held(), []
+    for i in range(5):
+        kept.append(materialize(spark.range(200_000).selectExpr(f"id % 5000 + {i} as k").groupBy("k").count()))
+        if not i:
+            one = held() - before
+    until = time.time() + 10
+    while held() > before + one and time.time() < until:
+        time.sleep(0.2)
+    assert held() <= before + one and [k.count() for k in kept] == [5000] * 5
+
+
+def test_kept_edges_are_not_shuffled_again(spark):
+    from refweave.plans import domain as D
+    from refweave.plans import graph_metrics as G
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no data")
+    D.forget()
+    fresh = sorted(map(str, D.scoped(spark, folder).collect()))
+    G.ref_risk_by_workflow(spark, folder)
+    again = D.scoped(spark, folder)
+    assert "Exchange" not in again._jdf.queryExecution().executedPlan().toString() and sorted(map(str, again.collect())) == fresh

@@ -27,6 +27,15 @@ def test_links_are_gone_once_swept(spark):
     assert [tuple(r) for r in unions.collect()] == [("g", 2)] and {r["node_id"]: r["reached"] for r in reach.collect()}["A"] == 3
 
 
+def test_links_sent_to_the_workers_are_gone_once_swept(spark):
+    """The driver keeps no file of the links that a sweep sent, and the counts can still be read."""
+    e, there = edges(spark), lambda: {p.name for p in Path(spark.sparkContext._temp_dir).glob("*")}
+    worth, before = spark.createDataFrame([("o/r1", 5)], "repository string, worth long"), there()
+    counts, reach = graph.downstream_counts(e, worth), graph.reach_counts(e)
+    assert there() <= before
+    assert {r["action_id"]: r["repositories"] for r in counts.collect()} == {"A": 1, "B": 2, "C": 1, "D": 2} and {r["node_id"]: r["reached"] for r in reach.collect()}["A"] == 3
+
+
 def test_intermediates_are_small(spark):
     before, old = left(spark), spark.conf.get(session._CLEANUP, None)
     session.materialize(spark.range(100).selectExpr("id % 7 as k").groupBy("k").count())

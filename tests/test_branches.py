@@ -71,3 +71,10 @@ def test_large_sets_and_counting(spark):
     links = [(f"d{i}", "x", "x", "tag") for i in range(2100)] + [("x", "y", "y", "tag"), ("x", "d0", "d0", "tag")]
     got = graph.expand_counts(spark.createDataFrame(direct, DIRECT), spark.createDataFrame(links, NESTED)).collect()
     assert {r["depth"]: r["edges"] for r in got} == {1: 2100, 2: 2100, 3: 2}
+
+
+def test_actions_that_only_use_themselves(spark):
+    direct = [("o/r", "a.yml", "s", "s", "tag"), ("o/q", "a.yml", "b", "b", "tag"), ("o/q", "a.yml", "s", "s", "tag")]
+    links = [(x, x, x, "tag") for x in "st"] + [("a", "b", "b", "tag"), ("b", "c", "c", "tag"), ("z", "a", "a", "tag")]
+    got = graph.expand_counts(spark.createDataFrame(direct, DIRECT), spark.createDataFrame(links, NESTED)).collect()
+    assert sorted((r["consumer_repository"], r["depth"], r["edges"]) for r in got) == [("o/q", 1, 2), ("o/q", 2, 1), ("o/r", 1, 1)]
